@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.llm import language_id, packing, simhash
+from proselake.llm import language_id, packing, simhash, suffix_array
 from proselake.llm.common import table
 
 
@@ -32,11 +32,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that start in an earlier one."""
+    return suffix_array.digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op3_packing": op3_packing,
         "op4_language_id": op4_language_id,
+        "op8_suffix_array": op8_suffix_array,
     }
 
 
