@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.llm import language_id, packing, simhash, suffix_array
+from proselake.llm import forest, hash_index, language_id, packing, simhash, suffix_array
 from proselake.llm.common import table
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every hundredth vector among all others."""
+    return hash_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates of all documents: doc_id, fingerprint in hex, component_id, n_same (rows with that fingerprint)."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -37,12 +42,19 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal labels, a row for each vector."""
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_multi_index_hashing": op1_multi_index_hashing,
         "op2_simhash": op2_simhash,
         "op3_packing": op3_packing,
         "op4_language_id": op4_language_id,
         "op8_suffix_array": op8_suffix_array,
+        "op9_projection_forest": op9_projection_forest,
     }
 
 
