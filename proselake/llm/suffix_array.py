@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,6 +207,14 @@ def _blob(a: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(a, dtype=kind).tobytes()
 
 
+def _packed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw) if raw else raw
+
+
 def _group_texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Ids, text hashes and texts of a group's rows, in order of the ids."""
     ids, th = t["id"].to_numpy(), t["th"].to_numpy()
@@ -293,16 +302,16 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = []
         for b, got in send.items():
             i, h, s, n, x = zip(*got)
-            rows.append((b, 1, g, _blob(i, "<i8"), _blob(h, "<i8"), _blob(s, "<i8"), _blob(n, "<u2"), b"".join(x)))
+            rows.append((b, 1, g, *map(_packed, (_blob(i, "<i8"), _blob(h, "<i8"), _blob(s, "<i8"), _blob(n, "<u2"), b"".join(x)))))
         if covered:
             i, h, s, n = zip(*covered)
-            rows.append((g % buckets, 0, g, _blob(i, "<i8"), _blob(h, "<i8"), _blob(s, "<i8"), _blob(n, "<u2"), b""))
+            rows.append((g % buckets, 0, g, *map(_packed, (_blob(i, "<i8"), _blob(h, "<i8"), _blob(s, "<i8"), _blob(n, "<u2"))), b""))
         cols = list(zip(*rows)) or [[]] * 8
         return pa.table([pa.array(c, x) for c, x in zip(cols, (pa.int32(),) * 3 + (pa.binary(),) * 5)], names=part_names)
 
     def spans_of_bucket(t: pa.Table) -> pa.Table:
         out: list[tuple[int, bytes, bytes, bytes, bytes]] = []
-        got = t.to_pylist()
+        got = [{k: _unpacked(v) if isinstance(v, bytes) else v for k, v in r.items()} for r in t.to_pylist()]
         for r in got:
             if r["kind"] == 0:
                 s = np.frombuffer(r["at"], "<i8")
