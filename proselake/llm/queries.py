@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.llm import forest, hash_index, language_id, packing, simhash, suffix_array
+from proselake.llm import compact_windows, forest, hash_index, language_id, packing, pfair, simhash, site_style, suffix_array, url_tree
 from proselake.llm.common import table
 
 
@@ -37,6 +37,23 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that nearly repeat across documents, a row for each document."""
+    return compact_windows.near_duplicates(table(spark, sf_dir, "documents")).drop("spans").withColumnRenamed("id", "doc_id")
+
+
+def op6_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, or else by its template's share of good pages."""
+    found = url_tree.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
+def op7_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in one stream that mixes their sources evenly by characters."""
+    docs = table(spark, sf_dir, "documents")
+    return pfair.schedule(docs).select("doc_id", "source", "block", "release", "deadline", "slot", "nth")
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 50-byte strings that start in an earlier one."""
     return suffix_array.digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -47,14 +64,23 @@ def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return site_style.main_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_multi_index_hashing": op1_multi_index_hashing,
         "op2_simhash": op2_simhash,
         "op3_packing": op3_packing,
         "op4_language_id": op4_language_id,
+        "op5_compact_windows": op5_compact_windows,
+        "op6_url_tree": op6_url_tree,
+        "op7_pfair": op7_pfair,
         "op8_suffix_array": op8_suffix_array,
         "op9_projection_forest": op9_projection_forest,
+        "op10_site_style": op10_site_style,
     }
 
 

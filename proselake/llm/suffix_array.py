@@ -223,18 +223,20 @@ def _group_texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return ids[order], th[order], [col[k].as_py().encode("utf-8", "surrogatepass") for k in order.tolist()]
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, group_bytes: int = 4 << 20, finish=None, schema: str | None = None) -> DataFrame:
-    """A row for each document, made by `finish(ids, texts, spans)` where spans are the removed ones of each text.
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, group_bytes: int = 4 << 20, finish=None, schema: str | None = None, carry: list[str] | None = None) -> DataFrame:
+    """A row for each document, made by `finish(ids, texts, spans, rows)`: spans are the removed ones of each text, rows a
+    table with the columns named in `carry`, as carry_0, carry_1 and so on.
 
     A byte is removed if a string of `window` bytes that covers it also starts in a document with a smaller id. A null text
     is empty. Rows with a null id come after all ids; rows that share an id never remove from each other.
     """
     if window < GRAM + 8:
         raise ValueError(f"window must be at least {GRAM + 8}")
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    carried = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry or [])]
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carried)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    base = base.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", F.xxhash64("text").alias("th"), "text")
+    base = base.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", F.xxhash64("text").alias("th"), "text", *(f"carry_{k}" for k in range(len(carried))))
     buckets = groups
 
     def grams(t: pa.Table) -> pa.Table:
@@ -364,6 +366,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.table([pa.array(c, x) for c, x in zip(cols, (pa.int32(),) + (pa.binary(),) * 4)], names=["g", "id", "th", "start", "end"])
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by([("id", "ascending"), ("th", "ascending")])
         ids, th, texts = _group_texts(left)
         found: dict[tuple[int, int], np.ndarray] = {}
         if right.num_rows:
@@ -374,7 +377,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for a, b in zip(at, np.append(at[1:], len(i))):
                 found[int(i[a]), int(h[a])] = merged(both[a:b])
         none = np.zeros((0, 2), np.int64)
-        return finish([None if x == NO_ID else x for x in ids.tolist()], texts, [found.get(k, none) for k in zip(ids.tolist(), th.tolist())])
+        return finish([None if x == NO_ID else x for x in ids.tolist()], texts, [found.get(k, none) for k in zip(ids.tolist(), th.tolist())], left.select([f"carry_{k}" for k in range(len(carried))]))
 
     asked = base.groupBy("g").applyInArrow(grams, "bucket int, g int, grams binary, many binary")
     told = asked.groupBy("bucket").applyInArrow(shared, "g int, grams binary")
@@ -408,7 +411,7 @@ def whole_characters(text: bytes, spans: np.ndarray) -> np.ndarray:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes."""
 
-    def finish(ids: list, texts: list[bytes], spans: list[np.ndarray]) -> pa.Table:
+    def finish(ids: list, texts: list[bytes], spans: list[np.ndarray], _) -> pa.Table:
         removed = [int((s[:, 1] - s[:, 0]).sum()) for s in spans]
         sha = [hashlib.sha256(keep_bytes(t, s)).hexdigest() for t, s in zip(texts, spans)]
         cols = [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(sha, pa.string())]
@@ -417,14 +420,18 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     return removed_spans(docs, id_col, text_col, window, finish=finish, schema="id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
-    """Per row: id, the text without the removed spans (only characters that are covered whole go), and the spans in bytes."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: list[str] | None = None) -> DataFrame:
+    """Per row: id, the text without the removed spans (only characters that are covered whole go), the spans in bytes, and the columns to carry."""
+    carry = carry or []
 
-    def finish(ids: list, texts: list[bytes], spans: list[np.ndarray]) -> pa.Table:
+    def finish(ids: list, texts: list[bytes], spans: list[np.ndarray], rows: pa.Table) -> pa.Table:
         whole = [whole_characters(t, s) for t, s in zip(texts, spans)]
         kept = [keep_bytes(t, s).decode("utf-8", "surrogatepass") for t, s in zip(texts, whole)]
         pairs = [[{"start": a, "end": b} for a, b in s.tolist()] for s in spans]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table([pa.array(ids, pa.int64()), pa.array(kept, pa.string()), pa.array(pairs, kind)], names=["id", "kept_text", "spans"])
+        return pa.table([pa.array(ids, pa.int64()), pa.array(kept, pa.string()), pa.array(pairs, kind), *rows.columns], names=["id", "kept_text", "spans", *(f"carry_{k}" for k in range(len(carry)))])
 
-    return removed_spans(docs, id_col, text_col, window, finish=finish, schema="id long, kept_text string, spans array<struct<start:long,end:long>>")
+    kinds = dict(docs.dtypes)
+    schema = "id long, kept_text string, spans array<struct<start:long,end:long>>" + "".join(f", carry_{k} {kinds[c]}" for k, c in enumerate(carry))
+    found = removed_spans(docs, id_col, text_col, window, finish=finish, schema=schema, carry=carry)
+    return found.withColumnsRenamed({f"carry_{k}": c for k, c in enumerate(carry)})
