@@ -79,7 +79,7 @@ def phases(blocks: dict[str, int], shares: dict[str, int], most_slots: int = 1_0
     return out
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, block_size: int = 1 << 20, period: int = 1000) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, block_size: int = 1 << 16, period: int = 1000) -> DataFrame:
     """`docs` with block, release, deadline, slot and nth: ordered by (slot, nth) they are the mixed stream.
 
     weights: target weight by source (a null source is the key ''); those without one, or all, weigh as much as they hold.
