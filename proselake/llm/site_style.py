@@ -231,7 +231,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     parsed = rows.mapInArrow(parse, "id long, url string, paths array<string>, texts array<string>").withColumn("host", host_of(F.col("url")))
     asked = F.exists("paths", lambda p: (p != "") & (p != "-"))
-    parsed = parsed.withColumn("key", F.when(asked, F.col("host")))
+    # pages that ask nothing are spread out; a host never begins with a space and a number like theirs
+    parsed = parsed.withColumn("key", F.when(asked, F.col("host")).otherwise(F.concat(F.lit(" "), F.xxhash64("id", "url").cast("string"))))
     joined = parsed.join(low.withColumnRenamed("host", "key"), "key", "left")
     pairs = F.arrays_zip("paths", "texts")
     keep = F.filter(pairs, lambda b: (b["paths"] != "-") & ~F.array_contains(F.coalesce("low", F.array().cast("array<string>")), b["paths"]))
