@@ -13,7 +13,7 @@ NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 
 def mentions(reply: Column, term: Column) -> Column:
     """The term stands whole in the reply, in any case."""
-    return F.lower(reply).rlike(F.concat(F.lit(r"(?U)\b"), T.escaped(F.lower(term)), F.lit(r"\b")))
+    return F.regexp_like(F.lower(reply), F.concat(F.lit(r"(?U)\b"), T.escaped(F.lower(term)), F.lit(r"\b")))
 
 
 def answer_ok(reply: Column, expect: Column, reject: Column) -> Column:
@@ -36,7 +36,7 @@ def call_ok(reply: Column, tool: Column, args: Column, contains: Column) -> Colu
     pairs = F.map_entries(F.coalesce(args, F.create_map().cast("map<string,string>")))
 
     def bound(e: Column) -> Column:
-        return body.rlike(F.concat(F.lit(r"(?U)\b"), T.escaped(F.lower(e["key"])), F.lit(r"\s*:\s*\[?\s*"), T.escaped(F.lower(e["value"])), F.lit(r"\b")))
+        return F.regexp_like(body, F.concat(F.lit(r"(?U)\b"), T.escaped(F.lower(e["key"])), F.lit(r"\s*:\s*\[?\s*"), T.escaped(F.lower(e["value"])), F.lit(r"\b")))
 
     texts = F.coalesce(contains, F.array().cast("array<string>"))
     good = (name == tool) & F.forall(pairs, bound) & F.forall(texts, lambda c: F.contains(body, F.lower(c)))
