@@ -100,19 +100,20 @@ def pool(sources: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (ranked(k, s) for k, s in enumerate(sources)))
 
 
-def first_wins(rows: DataFrame, text_col: str = "text", label_col: str = "label", order: list[str] | None = None) -> DataFrame:
-    """Valid rows with key, rank among rows of the key (1 stays) and kept_label; ties go by `order`."""
+def first_of_each(rows: DataFrame, text_col: str = "text", order: list[str] | None = None) -> DataFrame:
+    """The first valid row of each key, by `order`, with the key. An aggregate with map-side combining: a frequent key meets in no task."""
     valid = rows.where(is_single_line(text_col)).withColumn("key", T.dedup_key(text_col))
-    w = Window.partitionBy("key").orderBy(*(order or ["prio", "idx"]))
-    return valid.withColumn("rank", F.row_number().over(w)).withColumn("kept_label", F.first(label_col).over(w))
+    first = F.min_by(F.struct(*rows.columns), F.struct(*(order or ["prio", "idx"])))
+    return valid.groupBy("key").agg(first.alias("_r")).select("key", "_r.*")
 
 
-def dedupe_counts(rows: DataFrame, **how) -> DataFrame:
+def dedupe_counts(rows: DataFrame, text_col: str = "text", label_col: str = "label", order: list[str] | None = None) -> DataFrame:
     """One row: kept, duplicates, bad rows, and duplicates whose label differs from the kept row's."""
-    label = how.get("label_col", "label")
-    r = first_wins(rows, **how)
-    bad = rows.select(F.count_if(~is_single_line(how.get("text_col", "text"))).alias("bad"))
-    kept = r.select(F.count_if(F.col("rank") == 1).alias("kept"), F.count_if(F.col("rank") > 1).alias("dup"), F.count_if((F.col("rank") > 1) & (F.col(label) != F.col("kept_label"))).alias("conflict"))
+    by = rows.where(is_single_line(text_col)).groupBy(T.dedup_key(text_col).alias("key"), F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*(order or ["prio", "idx"]))).alias("first"))
+    keys = by.groupBy("key").agg(F.sum("n").alias("n"), F.min_by("n", "first").alias("same"), F.sum(F.when(F.col("label").isNull(), F.col("n")).otherwise(0)).alias("unlabelled"), F.min_by(F.col("label").isNotNull(), "first").alias("known"))
+    differ = F.when(F.col("known"), F.col("n") - F.col("same") - F.col("unlabelled")).otherwise(0)
+    kept = keys.agg(F.count(F.lit(1)).alias("kept"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dup"), F.coalesce(F.sum(differ), F.lit(0)).alias("conflict"))
+    bad = rows.select(F.count_if(~is_single_line(text_col)).alias("bad"))
     return kept.crossJoin(bad)  # one row each
 
 
@@ -141,7 +142,8 @@ def class_distribution(rows: DataFrame, label: str = "label") -> DataFrame:
 def round_robin(rows: DataFrame, task: str, order: str, n: int, shots: int = 0) -> DataFrame:
     """The first n rows taken in turn from each task, after `shots` rows of each are held out."""
     depth = F.row_number().over(Window.partitionBy(task).orderBy(order))
-    return rows.withColumn("depth", depth - shots).where(F.col("depth") > 0).orderBy("depth", task).limit(n)
+    # no task gives more than n rows, so that ranks beyond them are dropped before the shuffle
+    return rows.withColumn("depth", depth).where(F.col("depth") <= n + shots).withColumn("depth", F.col("depth") - shots).where(F.col("depth") > 0).orderBy("depth", task).limit(n)
 
 
 def shuffled(rows: DataFrame, key: str, salt: str) -> DataFrame:

@@ -31,18 +31,29 @@ def confusion(rows: DataFrame, threshold: float, label: str = "label", score: st
     return c.select("*", p.alias("precision"), r.alias("recall"), f.alias("f1"), T.ratio(F.col("tn") + F.col("tp"), every).alias("accuracy"))
 
 
-def sweep(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(threshold, tp, fp, precision, recall, f1) at every distinct score and at 1.0.
+def _counted(rows: DataFrame, label: str, score: str, parts: int = 1024) -> DataFrame:
+    """(threshold, pos, tp, fp, positives) at every distinct score, and at 1.0 if there is none.
 
-    Rows are counted by score first, so that the running sums see a row for each score, not for each example.
+    Rows are counted by score first. Running sums go over ranges of scores, each in a task of its own, and start from the
+    sums of the ranges above; only those, one for each range, meet in one task.
     """
-    by = rows.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
-    spark = rows.sparkSession
-    by = by.unionByName(spark.range(1).select(F.lit(1.0).alias("threshold"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"))).groupBy("threshold").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    s = by.select("threshold", F.sum("pos").over(down).alias("tp"), (F.sum("n").over(down) - F.sum("pos").over(down)).alias("fp"), F.sum("pos").over(Window.partitionBy()).alias("positives"))
+    by = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
+    top = rows.sparkSession.range(1).select(F.lit(1.0).alias("threshold"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"))
+    by = by.unionByName(top).groupBy("threshold").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    by = by.withColumn("part", F.least(F.greatest(F.floor(F.col("threshold") * parts), F.lit(-1)), F.lit(parts)).cast("int"))
+    sums = by.groupBy("part").agg(F.sum("pos").alias("part_pos"), F.sum("n").alias("part_n"))
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("part", F.coalesce(F.sum("part_pos").over(above), F.lit(0)).alias("base_pos"), F.coalesce(F.sum("part_n").over(above), F.lit(0)).alias("base_n"), F.sum("part_pos").over(Window.partitionBy()).alias("positives"))
+    down = Window.partitionBy("part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    own = by.select("threshold", "pos", "part", F.sum("pos").over(down).alias("own_pos"), F.sum("n").over(down).alias("own_n")).join(base, "part")
+    tp = F.col("base_pos") + F.col("own_pos")
+    return own.select("threshold", "pos", tp.alias("tp"), (F.col("base_n") + F.col("own_n") - tp).alias("fp"), "positives")
+
+
+def sweep(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """(threshold, tp, fp, precision, recall, f1) at every distinct score and at 1.0."""
     p, r, f = _rates(F.col("tp"), F.col("fp"), F.col("positives") - F.col("tp"))
-    return s.select("threshold", "tp", "fp", p.alias("precision"), r.alias("recall"), f.alias("f1"))
+    return _counted(rows, label, score).select("threshold", "tp", "fp", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
 def pick_threshold(swept: DataFrame, target: float = 0.9) -> DataFrame:
@@ -59,10 +70,10 @@ def band_too_wide(swept: DataFrame, target: float = 0.9, low: float = 0.05, high
     return swept.agg(F.coalesce((F.min(t) <= low) & (F.max(t) >= high), F.lit(False)).alias("too_wide"))
 
 
-def average_precision(swept: DataFrame) -> DataFrame:
-    """Sum of precision times the gain in recall, from the highest score down."""
-    gain = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("threshold"))), F.lit(0.0))
-    return swept.withColumn("gain", gain).agg(F.sum(F.col("gain") * F.col("precision")).alias("average_precision"))
+def average_precision(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Sum over distinct scores of precision times the gain in recall."""
+    p, _, _ = _rates(F.col("tp"), F.col("fp"), F.lit(0))
+    return _counted(rows, label, score).agg(F.sum(p * T.ratio(F.col("pos"), F.col("positives"))).alias("average_precision"))
 
 
 def calibrate(rows: DataFrame, target: float = 0.9, **names) -> dict:

@@ -34,7 +34,7 @@ def pool_rows(spark, d):
 
 @query(f"SELECT doc_id, i, label, md5(key) AS key FROM {RANKED} WHERE rank=1")
 def pool_dedupe(spark, d):
-    r = D.first_wins(pool_rows(spark, d), order=["source", "idx"]).where("rank = 1")
+    r = D.first_of_each(pool_rows(spark, d), order=["source", "idx"])
     return r.select("doc_id", F.col("i").cast("long").alias("i"), "label", F.md5("key").alias("key"))
 
 
@@ -196,7 +196,7 @@ def band_check(spark, d):
 
 @query(f"WITH {_SWEEP}, g AS (SELECT precision*(recall-coalesce(lag(recall) OVER (ORDER BY threshold DESC),0)) AS a FROM f) SELECT round(sum(a),8) AS average_precision FROM g")
 def average_precision(spark, d):
-    return rounded(E.average_precision(E.sweep(scored(spark, d))), "average_precision")
+    return rounded(E.average_precision(scored(spark, d)), "average_precision")
 
 
 @query(f"SELECT label, count(*) AS n, round(sum(count(*)) OVER ()/(count(*) OVER ()*count(*)),8) AS weight FROM {SCORED} GROUP BY label")
