@@ -237,7 +237,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     base = base.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", F.xxhash64("text").alias("th"), "text", *(f"carry_{k}" for k in range(len(carried))))
-    buckets = groups
+    buckets, carry_names = groups, [f"carry_{k}" for k in range(len(carried))]
 
     def grams(t: pa.Table) -> pa.Table:
         ids, _, texts = _group_texts(t)
@@ -377,7 +377,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for a, b in zip(at, np.append(at[1:], len(i))):
                 found[int(i[a]), int(h[a])] = merged(both[a:b])
         none = np.zeros((0, 2), np.int64)
-        return finish([None if x == NO_ID else x for x in ids.tolist()], texts, [found.get(k, none) for k in zip(ids.tolist(), th.tolist())], left.select([f"carry_{k}" for k in range(len(carried))]))
+        return finish([None if x == NO_ID else x for x in ids.tolist()], texts, [found.get(k, none) for k in zip(ids.tolist(), th.tolist())], left.select(carry_names))
 
     asked = base.groupBy("g").applyInArrow(grams, "bucket int, g int, grams binary, many binary")
     told = asked.groupBy("bucket").applyInArrow(shared, "g int, grams binary")
@@ -408,7 +408,7 @@ def whole_characters(text: bytes, spans: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, group_bytes: int = 4 << 20) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes."""
 
     def finish(ids: list, texts: list[bytes], spans: list[np.ndarray], _) -> pa.Table:
@@ -417,7 +417,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         cols = [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(sha, pa.string())]
         return pa.table(cols, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed_spans(docs, id_col, text_col, window, finish=finish, schema="id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed_spans(docs, id_col, text_col, window, group_bytes, finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: list[str] | None = None) -> DataFrame:
