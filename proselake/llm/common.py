@@ -14,10 +14,13 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; a folder of our own only where it is unset (tests, local runs)."""
+    """Use the shared folder that the session names in spark.checkpoint.dir; one of our own only in local runs where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="proselake-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="proselake-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

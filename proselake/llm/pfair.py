@@ -6,8 +6,8 @@ slots. The shares sum to H, so every block meets its deadline and no source is e
 The schedule repeats after H slots: one period is laid out by the driver from the shares alone and joined as a table.
 
 When a source has no block left, a new phase begins in which the others share the slots by their weights. Every document
-is in the stream once. The driver sees the number of blocks of each source, never rows; more than `most_slots` table rows
-(periods times phases) are refused.
+is in the stream once. The driver sees the number of blocks of each source, never rows. Once the periods of all phases would
+hold more than `most_slots` slots, the last phase goes on to the end, and slots of sources that run out stay empty.
 """
 
 from __future__ import annotations
@@ -63,13 +63,11 @@ def phases(blocks: dict[str, int], shares: dict[str, int], most_slots: int = 1_0
         own = {s: shares[s] for s in left}
         h = sum(own.values())
         used += h
-        if used > most_slots:
-            raise ValueError(f"more than {most_slots} slots of periods: use fewer sources or a shorter period")
         slots = one_period(own)
         ends = {s: (n - 1) // own[s] * h + slots[s][(n - 1) % own[s]] + 1 for s, n in left.items()}
-        length = min(ends.values())
+        length = min(ends.values()) if used + h <= most_slots else max(ends.values())
         for s in list(left):
-            n = length // h * own[s] + sum(t < length % h for t in slots[s])
+            n = min(left[s], length // h * own[s] + sum(t < length % h for t in slots[s]))
             out.append({"source": s, "phase": len(out), "first": done[s], "end": done[s] + n, "slot": start, "share": own[s], "period": h, "pattern": slots[s]})
             done[s] += n
             left[s] -= n

@@ -97,6 +97,22 @@ def test_one_period():
     assert sum(pfair.whole_shares({"a": 1e-9, "b": 1, "c": 2.5}, 100).values()) == 100
 
 
+def test_many_sources():
+    rng = random.Random(2)
+    blocks = {f"s{k}": rng.randrange(1, 30) for k in range(60)}
+    shares = pfair.whole_shares({s: rng.random() + 0.01 for s in blocks}, 600)
+    for most in (10**6, 2000):
+        plan = pfair.phases(blocks, shares, most)
+        assert (len({p["slot"] for p in plan}) == 3) == (most == 2000)
+        seen = set()
+        for s, n in blocks.items():
+            own = sorted((p for p in plan if p["source"] == s), key=lambda p: p["first"])
+            assert own[0]["first"] == 0 and own[-1]["end"] == n and all(a["end"] == b["first"] for a, b in zip(own, own[1:]))
+            at = [p["slot"] + i // p["share"] * p["period"] + p["pattern"][i % p["share"]] for p in own for i in range(p["end"] - p["first"])]
+            assert at == sorted(at) and not seen.intersection(at)
+            seen.update(at)
+
+
 @pytest.mark.parametrize("weights", [None, {"src1": 5.0, "src2": 1.0, "": 0.5}])
 def test_mix(spark, weights):
     rng = random.Random(9)
