@@ -84,5 +84,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Every window of 50 bytes, its smallest document, and what the windows of smaller documents cover.
+SUFFIX_ARRAY_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text,''))) AS h, octet_length(encode(coalesce(text,''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2*i+1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, n-49))) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s),
+r AS (SELECT w.doc_id, w.i FROM w JOIN f USING (s) WHERE f.low < w.doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM r),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+sp AS (SELECT doc_id, min(i) AS s, max(i)+50 AS e FROM k GROUP BY doc_id, span),
+b AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM sp),
+j AS (SELECT b.doc_id, sum(e-s) AS removed, count(*) AS spans, max(e) AS last, string_agg(substr(d.h, 2*before+1, 2*(s-before)), '' ORDER BY s) AS kept FROM b JOIN d USING (doc_id) GROUP BY b.doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+sha256(unhex(coalesce(kept, '') || substr(h, 2*coalesce(last, 0)+1))) AS kept_sha256 FROM d LEFT JOIN j USING (doc_id)"""
+
+FOREST_SQL = """WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id AS node, vec_id AS root FROM e UNION SELECT p.b, reach.root FROM reach JOIN p ON p.a = reach.node),
+c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node), l AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c ON c.node = e.vec_id LEFT JOIN l ON l.a = e.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_suffix_array": SUFFIX_ARRAY_SQL, "op9_projection_forest": FOREST_SQL}
