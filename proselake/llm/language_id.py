@@ -60,11 +60,16 @@ def fit(places: list[np.ndarray], labels: list[str], landmarks: int = 256, ridge
         own = order[y[order] == c]
         turn[own] = np.arange(len(own))
     z = np.argsort(turn * len(languages) + y, kind="stable")[:landmarks]
-    x = np.zeros((len(places), PLACES), np.float32)
-    for k, p in enumerate(places):
-        x[k, p] = 1 / np.sqrt(len(p))
-    marks = x[z]
-    k_nm, k_mm = (x @ marks.T).astype(np.float64), (marks @ marks.T).astype(np.float64)
+
+    def presence(rows: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(rows), PLACES), np.float32)
+        for k, p in enumerate(rows):
+            x[k, p] = 1 / np.sqrt(len(p))
+        return x
+
+    marks = presence([places[k] for k in z])
+    k_nm = np.concatenate([presence(places[k : k + 64]) @ marks.T for k in range(0, len(places), 64)]).astype(np.float64)
+    k_mm = k_nm[z]
     val, vec = np.linalg.eigh(k_mm)
     good = val > 1e-6 * val.max()
     root = vec[:, good] / np.sqrt(val[good])
@@ -89,11 +94,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     keys = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("long").alias("id"))
-    n = keys.select("lang").distinct().count()
-    if not n:
+    counts = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each language
+    if not counts:
         return None
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = keys.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= max(1, max_rows // n)).select(F.col("id").alias("chosen")).distinct()
+    # hashes under a share of their range that holds twice as many rows as wanted; the ranks below see no more than those
+    wanted = max(1, max_rows // len(counts))
+    shares = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, (2 * wanted + 50) / n)))
+    place = F.shiftrightunsigned(F.xxhash64("id"), 1) / F.lit(float(1 << 63))
+    near = keys.where(place <= shares[F.col("lang")])
+    by_hash = Window.partitionBy("lang").orderBy(place, "id")
+    chosen = near.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= wanted).select(F.col("id").alias("chosen")).distinct()
     texts = usable.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
