@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proselake.plans import data_plans, registry, text_plans, vector_plans  # noqa: F401  (they register their queries)
+from proselake.plans import building_plans, data_plans, registry, text_plans, vector_plans  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, registry.Query]:

@@ -82,3 +82,15 @@ def norms_restored(removed: DataFrame, reference: str = "val") -> DataFrame:
     """(row, col, val, new) with each column of `new` scaled to the length of the reference column."""
     by = removed.groupBy("col").agg(F.sqrt(F.sum(F.col(reference) * F.col(reference))).alias("ref"), F.sqrt(F.sum(F.col("new") * F.col("new"))).alias("own"))
     return removed.join(by, "col").select("row", "col", "val", (F.col("new") * F.col("ref") / F.greatest("own", F.lit(1e-8))).alias("new"))
+
+
+def mean_pooled(tokens: DataFrame, keys: list[str], vec_col: str = "embedding", mask: str | None = None) -> DataFrame:
+    """(keys, dim, x): mean of the tokens' vectors, of those under the mask only; 0 where the mask leaves none."""
+    weight = F.lit(1.0) if mask is None else F.col(mask).cast("double")
+    long = tokens.select(*keys, weight.alias("_w"), F.posexplode(F.col(vec_col).cast("array<double>")).alias("dim", "v"))
+    return long.groupBy(*keys, "dim").agg((F.sum(F.col("v") * F.col("_w")) / F.greatest(F.sum("_w"), F.lit(1.0))).alias("x"))
+
+
+def covariance_axis(long: DataFrame, covariate: str) -> DataFrame:
+    """(dim, axis): unit direction along which vectors move with the covariate, the population covariance of each dimension."""
+    return unit(long.groupBy("dim").agg(F.covar_pop(covariate, "x").alias("c")), "c", "axis").select("dim", "axis")
