@@ -91,9 +91,14 @@ def array_of(words) -> Column:
     return F.array(*(F.lit(w) for w in words))
 
 
+def content(t: Column, stopwords=lexicon.STOPWORDS) -> Column:
+    """Tokens that are no stop words; the list becomes a hash set in the plan."""
+    stop = list(stopwords)
+    return F.filter(t, lambda w: ~w.isin(stop)) if stop else t
+
+
 def content_words(t: Column, stopwords=lexicon.STOPWORDS) -> Column:
-    stop = array_of(stopwords)
-    return F.size(F.filter(t, lambda w: ~F.array_contains(stop, w)))
+    return F.size(content(t, stopwords))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -116,10 +121,15 @@ def contains_run(short: Column, long: Column) -> Column:
     return (F.size(short) < F.size(long)) & F.exists(starts, lambda i: F.slice(long, i, F.size(short)) == short)
 
 
+def joined_ngrams(t: Column, n: int) -> Column:
+    """n-grams as texts, which are told apart by hashing; arrays would be compared one by one."""
+    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+
+
 def repeated_share(t: Column, n: int) -> Column:
     """1 - distinct / all n-grams; 0 where there are n tokens or fewer."""
-    g = ngrams(t, n)
-    return F.when(F.size(t) > n, 1 - ratio(F.size(F.array_distinct(g)), F.size(g))).otherwise(0.0)
+    return F.when(F.size(t) > n, 1 - F.size(F.array_distinct(joined_ngrams(t, n))) / (F.size(t) - n + 1)).otherwise(0.0)
 
 
 def density(c: Column | str, terms: list[str]) -> Column:

@@ -40,13 +40,13 @@ def repeated_phrases(messages: DataFrame, unit: str = "conv_id", order: str = "t
     place = F.row_number().over(Window.partitionBy(unit).orderBy(order)) - 1
     m = messages.select(unit, place.alias("msg"), F.count(F.lit(1)).over(Window.partitionBy(unit)).alias("total"), text_col).where(F.col("total") >= least_messages)
     s = m.select(unit, "msg", "total", F.explode(T.sentences(text_col)).alias("sentence")).withColumn("t", T.tokens("sentence"))
-    grams = F.flatten(F.array(*(T.ngrams(F.col("t"), n) for n in range(min_n, max_n + 1))))
-    g = s.select(unit, "msg", "total", F.explode(grams).alias("gram")).distinct()
-    found = g.groupBy(unit, "total", "gram").agg(F.sort_array(F.collect_list("msg")).alias("messages"))
-    found = found.where((F.size("messages") >= least_messages) & (T.content_words(F.col("gram"), stopwords) >= least_content))
+    grams = F.array_distinct(F.flatten(F.array(*(T.joined_ngrams(F.col("t"), n) for n in range(min_n, max_n + 1)))))
+    g = s.select(unit, "msg", "total", F.explode(grams).alias("phrase"))
+    found = g.groupBy(unit, "total", "phrase").agg(F.sort_array(F.collect_set("msg")).alias("messages"))
+    found = found.where(F.size("messages") >= least_messages).withColumn("gram", F.split("phrase", " ")).where(T.content_words(F.col("gram"), stopwords) >= least_content)
     if in_last:
         found = found.where(F.element_at("messages", -1) == F.col("total") - 1)
-    return found.select(unit, "gram", F.array_join("gram", " ").alias("phrase"), F.size("messages").alias("n_messages"), "messages")
+    return found.select(unit, "gram", "phrase", F.size("messages").alias("n_messages"), "messages")
 
 
 def chains(a: Column, b: Column, stopwords=lexicon.STOPWORDS) -> Column:
@@ -70,12 +70,13 @@ def distinct_phrases(phrases: DataFrame, unit: str = "conv_id", stopwords=lexico
     b = phrases.select(F.col(unit).alias("b_unit"), *(F.col(c).alias(f"b_{c}") for c in ("gram", "phrase", "n_messages", "messages")))
     pair = a.join(b, (F.col(unit) == F.col("b_unit")) & (F.col("a_phrase") != F.col("b_phrase")))
     same = F.col("a_messages") == F.col("b_messages")
-    a_in_b, b_in_a = T.contains_run(F.col("a_gram"), F.col("b_gram")), T.contains_run(F.col("b_gram"), F.col("a_gram"))
-    # a's loss: struct order is fewer messages, fewer words, later in the alphabet
+    padded = {x: F.concat(F.lit(" "), F.col(f"{x}_phrase"), F.lit(" ")) for x in "ab"}  # words hold no spaces, so a run of words is a substring
+    a_in_b = (F.size("a_gram") < F.size("b_gram")) & F.contains(padded["b"], padded["a"])
+    b_in_a = (F.size("b_gram") < F.size("a_gram")) & F.contains(padded["a"], padded["b"])
     a_worse = (F.col("a_n_messages") < F.col("b_n_messages")) | (
         (F.col("a_n_messages") == F.col("b_n_messages")) & ((F.size("a_gram") < F.size("b_gram")) | ((F.size("a_gram") == F.size("b_gram")) & (F.col("a_phrase") > F.col("b_phrase"))))
     )
-    loses = (a_in_b & same) | (b_in_a & ~same) | (~a_in_b & ~b_in_a & same & chains(F.col("a_gram"), F.col("b_gram"), stopwords) & a_worse)
+    loses = (a_in_b & same) | (b_in_a & ~same) | (same & a_worse & ~a_in_b & ~b_in_a & chains(F.col("a_gram"), F.col("b_gram"), stopwords))  # the costly test last
     gone = pair.where(loses).select(unit, F.col("a_phrase").alias("phrase")).distinct()
     return phrases.join(gone, [unit, "phrase"], "left_anti")
 
@@ -92,7 +93,7 @@ def two_pass_phrases(messages: DataFrame, unit: str = "conv_id", short_messages:
     return distinct_phrases(short.unionByName(long), unit)
 
 
-def variant_score(variant: str, sentence: Column, t: Column, joined: Column) -> Column:
+def variant_score(variant: str, sentence: Column, t: Column, joined: Column, own: Column) -> Column:
     """How well a stock expression fits a sentence, 0 to 1: see cliches()."""
     import re
 
@@ -107,9 +108,9 @@ def variant_score(variant: str, sentence: Column, t: Column, joined: Column) ->
     wanted = T.array_of(grams)
     window = F.least(F.lit(len(words) + 2), F.size(t))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - window + 1))
-    own = F.transform(T.ngrams(t, 3), lambda g: F.array_join(g, " "))
     best = F.aggregate(starts, F.lit(0), lambda b, i: F.greatest(b, F.size(F.array_intersect(wanted, F.slice(own, i, F.greatest(F.lit(0), window - 2))))))
-    return F.when(F.exists(own, lambda g: F.array_contains(wanted, g)), best / F.lit(float(len(grams)))).otherwise(0.0)
+    some = reduce(lambda a, b: a | b, (F.contains(joined, F.lit(g)) for g in grams))
+    return F.when(some, best / F.lit(float(len(grams)))).otherwise(0.0)
 
 
 def cliches(df: DataFrame, bank: list, unit: str = "doc_id", text_col: str = "text", threshold: float = 0.4) -> DataFrame:
@@ -120,6 +121,7 @@ def cliches(df: DataFrame, bank: list, unit: str = "doc_id", text_col: str = "te
     expression scores 1 unless its match spans a sentence boundary.
     """
     s = exploded_sentences(df, unit, text_col).withColumn("t", T.tokens("sentence", T.PHRASE_TOKEN)).withColumn("joined", F.array_join("t", " "))
+    s = s.withColumn("own", T.joined_ngrams(F.col("t"), 3))
     hits = []
     for k, group in enumerate(bank):
         if isinstance(group, dict) and group.get("kind") == "regex":
@@ -129,7 +131,7 @@ def cliches(df: DataFrame, bank: list, unit: str = "doc_id", text_col: str = "te
             variants = group["variants"] if isinstance(group, dict) else group
             scored = []
             for v in variants:
-                score = variant_score(v, F.col("sentence"), F.col("t"), F.col("joined"))
+                score = variant_score(v, F.col("sentence"), F.col("t"), F.col("joined"), F.col("own"))
                 scored.append(F.struct(F.lit(k).alias("grp"), F.lit(v).alias("phrase"), score.alias("score")))
             best = reduce(lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a), scored)
             least = F.lit(threshold)
@@ -171,15 +173,11 @@ def structure_share(df: DataFrame, text_col: str = "text") -> DataFrame:
 def intra_repeat(df: DataFrame, unit: str, text_col: str = "text", stopwords=lexicon.GUARD_STOPWORDS) -> DataFrame:
     """(unit, rate): the larger of the repeated share of 2- to 4-grams and the most frequent content word's share."""
     t = df.select(unit, T.tokens(F.coalesce(text_col, F.lit("")), T.GUARD_TOKEN).alias("t")).where(F.size("t") >= 4)
-    stop = T.array_of(stopwords)
-    content = F.array_sort(F.filter("t", lambda w: ~F.array_contains(stop, w)))
-    t = t.withColumn("c", content)
-    # the longest run of equal words in the sorted content words
-    longest = F.aggregate(
-        "c",
-        F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("best")),
-        lambda a, w: F.struct(w.alias("w"), F.when(a["w"] == w, a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["best"], F.when(a["w"] == w, a["n"] + 1).otherwise(1)).alias("best")),
-        lambda a: a["best"],
-    )
+    t = t.withColumn("c", F.array_sort(T.content(F.col("t"), stopwords)))
+    # places where a word of the sorted content words begins; the widest gap is the most frequent word's count
+    n = F.size("c")
+    begins = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get("c", i) != F.get("c", i - 1)))
+    t = t.withColumn("b", begins)
+    longest = F.when(n > 0, F.array_max(F.zip_with(F.slice("b", 2, F.greatest(F.lit(1), n)), F.slice("b", 1, F.greatest(F.lit(1), F.size("b") - 1)), lambda x, y: x - y))).otherwise(0)
     seq = F.greatest(*(T.repeated_share(F.col("t"), n) for n in (2, 3, 4)))
     return t.select(unit, F.greatest(seq, T.ratio(longest, F.size("c"))).alias("rate"))

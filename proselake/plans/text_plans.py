@@ -82,7 +82,7 @@ len(list_filter(t, lambda w: NOT list_contains({STOP}, w))) AS n_content FROM t"
 def token_stats(spark, d):
     t = table(spark, d, "documents").select("doc_id", T.tokens("text").alias("t"))
     c = F.col("t")
-    trigrams = F.size(F.array_distinct(F.transform(T.ngrams(c, 3), lambda g: F.array_join(g, " "))))
+    trigrams = F.size(F.array_distinct(T.joined_ngrams(c, 3)))
     return t.select("doc_id", *(x.cast("long").alias(n) for n, x in (("n_tokens", F.size(c)), ("n_distinct", F.size(F.array_distinct(c))), ("n_trigrams", trigrams), ("n_content", T.content_words(c)))))
 
 
