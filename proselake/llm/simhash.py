@@ -160,7 +160,7 @@ def shard_links(codes: DataFrame, radius: int = 2, blocks: int = 4, tree_limit:
             m |= ((1 << (bounds[i + 1] - bounds[i])) - 1) << bounds[i]
         masks.append(m - (1 << 64) if m >> 63 else m)
     keyed = codes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("choice", "key"))
-    # the choice goes into the key's free bits' hash only; equal (choice, key) meet, others may share a partition
+    # rows of one (choice, key) stand together in one partition, next to those of other keys
     keyed = keyed.repartition("choice", "key").sortWithinPartitions("choice", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
