@@ -11,7 +11,7 @@ from proselake.operators import detectors
 from proselake.operators import evaluation as E
 from proselake.operators import grading as G
 from proselake.operators import objective as O
-from proselake.plans.registry import exploded_, key_, query, sentences_, strip_, table, tokens_, words
+from proselake.plans.registry import exploded_, key_, query, sentences_, strip_, table, tokens_
 from proselake.plans.text_plans import _REP, GUARD, STOP
 
 # ---- labelled sentences: those of labelled documents, in order of source and place ----
