@@ -13,7 +13,7 @@ Copies collapse to one fingerprint before the shuffle; links leave a shard as st
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     digests = map(xxhash.xxh64_digest, shingles, repeat(SEED))
     counts = np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
-        block = b"".join(d for d, _ in zip(digests, range(min(CHUNK, n - at))))
+        block = b"".join(islice(digests, min(CHUNK, n - at)))
         bits = np.unpackbits(np.frombuffer(block, np.uint8)).reshape(-1, 64)
         counts += bits.sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")

@@ -51,6 +51,13 @@ def test_fingerprints_and_groups(spark):
     assert [got[k]["component_id"] for k in range(len(texts))] == brute_components(len(texts), links)
 
 
+def test_shingles_at_chunk_ends():
+    """A text of over two chunks, of which a shingle lost at each chunk's end changes a bit."""
+    rng = random.Random(1)
+    text = " ".join(str(rng.randrange(1000)) for _ in range(140_000))
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
 def test_dense_shards(spark):
     """Codes in one ball, beyond the tree's limit, against all pairs."""
     rng = np.random.default_rng(2)
