@@ -1,10 +1,10 @@
 """URL filters (operator 6): a path-template tree for each host.
 
 Segments that are variable by their form (numbers, dates, long hexadecimal or mixed names) become wildcards at once, so that
-a host's urls shrink to counts of templates before anything is shuffled. Level by level, a node with too many different
-children makes a wildcard of those that hold a small share. Sibling templates that differ in one segment and have
-statistically similar shares of good pages are merged for judging. A template is rejected if its share of good labels,
-smoothed towards its host's and that towards all pages', is under a threshold.
+a host's urls shrink to counts of templates before anything is shuffled. Level by level, to the end of the longest path, a
+node with too many different children makes a wildcard of those that hold a small share. Sibling templates that differ in
+one segment and have statistically similar shares of good pages are merged for judging. A template is rejected if its share
+of good labels, smoothed towards its host's and that towards all pages', is under a threshold.
 
 Fixed rules on hosts and path beginnings go first; the longest that fits wins.
 """
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from proselake.llm.common import cut
 from proselake.llm.site_style import host_of
 
-LEVELS = 6
 #: Rules of the url query.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -42,10 +41,10 @@ def rule_that_fits(host: Column, path: Column, rules: list[tuple[str, str]]) ->
 
 
 def segments(path: Column) -> Column:
-    """Up to LEVELS segments of the path; variable ones by form are wildcards; what is deeper is one wildcard."""
+    """All segments of the path; variable ones by form are wildcards."""
     raw = F.filter(F.split(path, "/"), lambda s: s != "")
     ending = F.regexp_extract
-    kinds = F.transform(
+    return F.transform(
         raw,
         lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$"), F.concat(F.lit("{number}"), ending(s, r"(\.[A-Za-z][A-Za-z0-9]{0,4})$", 1)))
         .when(s.rlike(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"), F.lit("{date}"))
@@ -53,13 +52,14 @@ def segments(path: Column) -> Column:
         .when(s.rlike(r"^(?=.*[0-9].*[0-9].*[0-9]).{8,}$"), F.lit("{mixed}"))
         .otherwise(s),
     )
-    return F.when(F.size(kinds) > LEVELS, F.concat(F.slice(kinds, 1, LEVELS), F.array(F.lit("{rest}")))).otherwise(kinds)
 
 
 def templates(urls: DataFrame, most_children: int = 24, least_share: float = 0.05) -> DataFrame:
     """(host, kinds, template) for each different row of (host, kinds, n, good, labelled), which come counted already."""
     tree = cut(urls.withColumn("t", F.col("kinds")))
-    for level in range(LEVELS):
+    # only where a host has so many children over all prefixes can one prefix have them
+    places = tree.select("host", F.posexplode("t").alias("level", "child")).groupBy("host", "level").agg(F.count_distinct("child").alias("children"))
+    for level in sorted(r["level"] for r in places.where(F.col("children") > most_children).select("level").distinct().collect()):
         at = F.lit(level + 1)
         child = F.get("t", F.lit(level))
         prefix = F.array_join(F.slice("t", 1, level), "/") if level else F.lit("")
@@ -71,7 +71,7 @@ def templates(urls: DataFrame, most_children: int = 24, least_share: float = 0.0
         if small.isEmpty():
             continue
         tree = tree.withColumn("prefix", prefix).withColumn("child", child).join(small, ["host", "prefix", "child"], "left")
-        wild = F.concat(F.slice("t", 1, level), F.array(F.lit("*")), F.slice("t", level + 2, LEVELS + 1))
+        wild = F.concat(F.slice("t", 1, level), F.array(F.lit("*")), F.slice("t", F.lit(level + 2), F.greatest(F.size("t"), F.lit(1))))
         tree = cut(tree.withColumn("t", F.when(F.col("small") & (F.size("t") >= at), wild).otherwise(F.col("t"))).drop("prefix", "child", "small"))
     return tree.withColumn("template", F.concat(F.lit("/"), F.array_join("t", "/"))).drop("t")
 

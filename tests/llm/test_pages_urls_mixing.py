@@ -82,6 +82,16 @@ def test_templates(spark):
     assert all(r["verdict"] == ("block" if r["id"] % 2 else "allow") for r in got)
 
 
+def test_deep_templates(spark):
+    """Branches, wildcards and verdicts below a common path of six segments."""
+    rows = [(k, f"http://h.org/a/b/c/d/e/f/{'bad' if k % 2 else 'good'}/{k}/slug-{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}/end") for k in range(600)]
+    df = spark.createDataFrame([*rows, (600, "http://h.org/" + "x/" * 40)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(600)], "doc_id long, quality int")
+    got = url_tree.filter_urls(df, labels, rules=[]).collect()
+    assert {r["template"] for r in got} == {"/a/b/c/d/e/f/bad/{number}/*/end", "/a/b/c/d/e/f/good/{number}/*/end", "/x" * 40}
+    assert all(r["verdict"] == ("block" if r["id"] % 2 else "allow") for r in got if r["id"] < 600)
+
+
 def test_one_period():
     rng = random.Random(6)
     for _ in range(40):
