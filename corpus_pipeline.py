@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from proselake.llm import language_id, packing, pfair, simhash, suffix_array
 from proselake.llm.common import ensure_checkpoint_dir
+from proselake.llm.queries import TARGETS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,8 +42,8 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixed stream: every source at the share of what it holds."""
-    slots = pfair.schedule(docs.select(*COLUMNS))
+    """All documents, in the order of the mixed stream: sources at their target weights as long as each lasts."""
+    slots = pfair.schedule(docs.select(*COLUMNS), TARGETS)
     return slots.repartitionByRange("slot", "nth").sortWithinPartitions("slot", "nth").select(*COLUMNS)
 
 

@@ -2,20 +2,22 @@
 
 Each source is cut into blocks of about equal size. Block i (from 0) of a source with share s of a period of H slots is
 released at floor(i * H / s) and due by ceil((i + 1) * H / s); earliest deadline first, among released blocks, fills the
-slots. The shares sum to H, so every block meets its deadline and no source is ever a whole block away from its weight.
-The schedule repeats after H slots: one period is laid out by the driver from the shares alone and joined as a table.
+slots. The shares are the exact weights as whole numbers and sum to H, so every block meets its deadline and no source is
+ever a whole block away from its weight. A short period is laid out once by the driver and repeated; under weights with a
+long one, the driver lays out the slots of the whole stream, a row for each block.
 
 When a source has no block left, a new phase begins in which the others share the slots by their weights. Every document
-is in the stream once. The driver sees the number of blocks of each source, never rows. Once the periods of all phases would
-hold more than `most_slots` slots, the last phase goes on to the end, and slots of sources that run out stay empty.
+is in the stream once. The driver sees the number of blocks of each source, never rows. Once the repeated periods of all
+phases would hold more than `most_slots` slots, the last phase goes on to the end, and slots of sources that run out stay empty.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
+import math
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +36,26 @@ def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return shares
 
 
-def one_period(shares: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in a period of as many slots as there are shares, earliest deadline first."""
+def exact_shares(weights: dict[str, Fraction]) -> dict[str, int]:
+    """Weights as the smallest whole numbers in the same proportion."""
+    unit = math.lcm(*(w.denominator for w in weights.values()))
+    whole = {s: int(w * unit) for s, w in weights.items()}
+    common = math.gcd(*whole.values())
+    return {s: n // common for s, n in whole.items()}
+
+
+def one_period(shares: dict[str, int], blocks: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """Slots of each source's blocks in a period of as many slots as there are shares, earliest deadline first.
+
+    blocks: the period ends early, with the last block of the first source that runs out.
+    """
     h = sum(shares.values())
     slots: dict[str, list[int]] = {s: [] for s in shares}
     later = [(0, -(-h // n), s) for s, n in shares.items()]  # release, deadline, source
     heapq.heapify(later)
     ready: list[tuple[int, str]] = []
-    for t in range(h):
+    t = -1
+    while (t := t + 1) < h:
         while later and later[0][0] <= t:
             _, due, s = heapq.heappop(later)
             heapq.heappush(ready, (due, s))
@@ -49,26 +63,38 @@ def one_period(shares: dict[str, int]) -> dict[str, list[int]]:
         assert t < due
         slots[s].append(t)
         i = len(slots[s])
+        if blocks and i == blocks[s]:
+            break
         if i < shares[s]:
             heapq.heappush(later, (i * h // shares[s], -(-(i + 1) * h // shares[s]), s))
     return slots
 
 
-def phases(blocks: dict[str, int], shares: dict[str, int], most_slots: int = 1_000_000) -> list[dict]:
-    """Phases of the whole stream, for each source in each: first block, end block, first slot, share, period and pattern."""
+def phases(blocks: dict[str, int], shares: dict[str, int], most_slots: int = 1_000_000, period: int = 1000) -> list[dict]:
+    """Phases of the whole stream, for each source in each: first block, end block, first slot, share, period and pattern.
+
+    pattern, release and deadline hold for the first `share` blocks of the phase; the next ones are `period` slots later. A
+    phase whose shares sum to more than `period` is laid out to its end: its share is all its blocks.
+    """
     left = {s: n for s, n in blocks.items() if n}
     done = dict.fromkeys(left, 0)
     start, out, used = 0, [], 0
     while left:
         own = {s: shares[s] for s in left}
         h = sum(own.values())
-        used += h
-        slots = one_period(own)
-        ends = {s: (n - 1) // own[s] * h + slots[s][(n - 1) % own[s]] + 1 for s, n in left.items()}
-        length = min(ends.values()) if used + h <= most_slots else max(ends.values())
+        repeated = h <= period
+        slots = one_period(own, None if repeated else left)
+        if repeated:
+            used += h
+            ends = {s: (n - 1) // own[s] * h + slots[s][(n - 1) % own[s]] + 1 for s, n in left.items()}
+            length = min(ends.values()) if used + h <= most_slots else max(ends.values())
+        else:
+            length = sum(map(len, slots.values()))
         for s in list(left):
-            n = min(left[s], length // h * own[s] + sum(t < length % h for t in slots[s]))
-            out.append({"source": s, "phase": len(out), "first": done[s], "end": done[s] + n, "slot": start, "share": own[s], "period": h, "pattern": slots[s]})
+            n = min(left[s], length // h * own[s] + sum(t < length % h for t in slots[s])) if repeated else len(slots[s])
+            some = range(len(slots[s]))
+            window = {"release": [i * h // own[s] for i in some], "deadline": [min(-(-(i + 1) * h // own[s]), 1 << 62) for i in some]}
+            out.append({"source": s, "phase": len(out), "first": done[s], "end": done[s] + n, "slot": start, "share": max(1, len(slots[s])), "period": h if repeated else length, "pattern": slots[s], **window})
             done[s] += n
             left[s] -= n
             if not left[s]:
@@ -80,7 +106,8 @@ def phases(blocks: dict[str, int], shares: dict[str, int], most_slots: int = 1_0
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, block_size: int = 1 << 16, period: int = 1000) -> DataFrame:
     """`docs` with block, release, deadline, slot and nth: ordered by (slot, nth) they are the mixed stream.
 
-    weights: target weight by source (a null source is the key ''); those without one, or all, weigh as much as they hold.
+    weights: target weight by source (a null source is the key ''); those without one, or all, weigh as much as they
+    hold (their share of all). Decimal weights are exact. period: the longest period that is laid out once and repeated.
     size: what blocks measure, by default characters of `text`; null counts as 0. A block ends with the document that reaches
     its end, so blocks of long documents are numbered on without gaps. nth counts within a block. Documents come in the order
     of a hash of their id; ties in any order. Columns of the five names are replaced. No documents: no rows.
@@ -98,23 +125,23 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, id_col: s
     sums = sums.select("_source", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"), "_sum")
     totals = {r["_source"]: r["n"] for r in sums.groupBy("_source").agg(F.sum("_sum").alias("n")).collect()}
     blocks = {s: -(-n // block_size) for s, n in totals.items()}
-    wanted = {s: float((weights or {}).get(s, totals[s] / sum(totals.values()))) for s in totals}
+    wanted = {s: Fraction(str((weights or {}).get(s, Fraction(totals[s], sum(totals.values()))))) for s in totals}
     if any(w <= 0 for w in wanted.values()):
         raise ValueError("weights must be over 0")
-    plan = phases(blocks, whole_shares(wanted, max(period, 10 * len(wanted)))) if blocks else []
-    kind = "array<struct<source:string,phase:int,first:long,end:long,slot:long,share:long,period:long,pattern:array<long>>>"
-    laid = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), kind)).alias("p")).select("p.*")
-    cells = laid.select("source", "first", "end", "slot", "share", "period", F.posexplode("pattern").alias("k", "at"))
+    plan = phases(blocks, exact_shares(wanted), period=period) if blocks else []
+    cells = [(p["source"], p["first"], p["end"], p["slot"], p["share"], p["period"], k, *x) for p in plan for k, x in enumerate(zip(p["pattern"], p["release"], p["deadline"]))]
+    kinds = dict(source=pa.string(), first=pa.int64(), end=pa.int64(), slot=pa.int64(), share=pa.int64(), period=pa.int64(), k=pa.int64(), at=pa.int64(), release=pa.int64(), deadline=pa.int64())
+    cells = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(list(zip(*cells)) or [[]] * len(kinds), kinds.values())], names=list(kinds)))
     # blocks k, k + share, k + 2 * share ... of a phase stand at the same place of the period
     turns = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("end") - F.col("first") - 1 - F.col("k")) / F.col("share"))))
     cells = cells.where(F.col("first") + F.col("k") < F.col("end")).withColumn("turn", F.explode(turns))
-    i = F.col("turn") * F.col("share") + F.col("k")
+    begin = F.col("slot") + F.col("turn") * F.col("period")
     slots = cells.select(
         F.col("source").alias("_source"),
-        (F.col("first") + i).alias("block"),
-        (F.col("slot") + F.floor(i * F.col("period") / F.col("share"))).cast("long").alias("release"),
-        (F.col("slot") + F.ceil((i + 1) * F.col("period") / F.col("share"))).cast("long").alias("deadline"),
-        (F.col("slot") + F.col("turn") * F.col("period") + F.col("at")).cast("long").alias("slot"),
+        (F.col("first") + F.col("turn") * F.col("share") + F.col("k")).alias("block"),
+        (begin + F.col("release")).alias("release"),
+        (begin + F.col("deadline")).alias("deadline"),
+        (begin + F.col("at")).alias("slot"),
     )
     within = Window.partitionBy("_source", "_part").orderBy("_hash", F.col(id_col))
     placed = rows.withColumn("_own", F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, 0)))

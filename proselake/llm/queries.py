@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from proselake.llm import compact_windows, forest, hash_index, language_id, packing, pfair, simhash, site_style, suffix_array, url_tree
 from proselake.llm.common import table
 
+#: Target weights of the mixed stream; other sources weigh the share of all that they hold.
+TARGETS = {f"src{k}": 0.1 if k < 4 else 0.0375 for k in range(20)}
+
 
 def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest found of every hundredth vector among all others."""
@@ -49,9 +52,9 @@ def op6_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in one stream that mixes their sources evenly by characters."""
+    """All documents in one stream that mixes their sources to TARGETS, by characters, as long as each lasts."""
     docs = table(spark, sf_dir, "documents")
-    return pfair.schedule(docs).select("doc_id", "source", "block", "release", "deadline", "slot", "nth")
+    return pfair.schedule(docs, TARGETS).select("doc_id", "source", "block", "release", "deadline", "slot", "nth")
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

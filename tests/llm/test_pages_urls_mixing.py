@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from proselake.llm import pfair, site_style, url_tree
+from proselake.llm import pfair, queries, site_style, url_tree
 
 PAGES = "page_id long, url string, html string"
 
@@ -158,3 +158,36 @@ def test_weights_hold(spark):
             assert abs(have[s] - w * (t + 1)) < 1
     with pytest.raises(ValueError):
         pfair.schedule(df, {"a": -1.0})
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 2, "b": 54, "c": 1}, None])
+def test_exact_weights_over_many_blocks(spark, weights):
+    """No source is ever a block away from its unrounded weight, over more than 10,000 slots."""
+    many = {"a": 12000, "b": 12000, "c": 12000} if not weights or weights["b"] == 1 else {"a": 500, "b": 11000, "c": 300}
+    many = many if weights else {"a": 4001, "b": 7919, "c": 101}
+    edge = list(many.values())
+    source = F.when(F.col("id") < edge[0], "a").when(F.col("id") < edge[0] + edge[1], "b").otherwise("c")
+    df = spark.range(sum(edge)).select(F.col("id").alias("doc_id"), F.lit("x" * 9).alias("text"), source.alias("source"))
+    got = pfair.schedule(df, weights, block_size=10).select("source", "slot", "release", "deadline").orderBy("slot").collect()
+    assert [r["slot"] for r in got] == list(range(sum(edge))) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    of = weights or many
+    have = Counter()
+    for t, r in enumerate(got):
+        have[r["source"]] += 1
+        assert all(abs(have[s] * sum(of.values()) - w * (t + 1)) < sum(of.values()) for s, w in of.items())
+        if have[r["source"]] == many[r["source"]]:
+            break
+    assert t > 10_000
+
+
+def test_op7_mixes_to_targets(spark, tmp_path):
+    """The registered query and the stage go by stated weights, not by what the sources hold."""
+    import corpus_pipeline
+
+    docs = [(k, "x" * 65535, "en", "src0" if k % 4 else "src1", 65535) for k in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    target = queries.TARGETS["src1"] / (queries.TARGETS["src0"] + queries.TARGETS["src1"])
+    got = [r["source"] for r in queries.op7_pfair(spark, str(tmp_path)).orderBy("slot").collect()]
+    assert len(got) == 80 and all(abs(got[:t].count("src1") - target * t) < 1 for t in range(30))
+    assert [r["source"] for r in corpus_pipeline.mix_sources(spark, df, str(tmp_path)).collect()] == got
