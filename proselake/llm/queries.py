@@ -54,7 +54,7 @@ def op6_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in one stream that mixes their sources to TARGETS, by characters, as long as each lasts."""
     docs = table(spark, sf_dir, "documents")
-    return pfair.schedule(docs, TARGETS).select("doc_id", "source", "block", "release", "deadline", "slot", "nth")
+    return pfair.schedule(docs, TARGETS).select("doc_id", "source", "block", "last_block", "release", "deadline", "slot", "nth")
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
