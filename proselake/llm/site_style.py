@@ -2,19 +2,29 @@
 
 The pages of a host are merged by the style of their branches: the path of tags and classes from the body down. A branch's
 importance is a weighted sum of the entropy of its contents and that of its layouts over the host's pages, each with the
-logarithm to the base of the number of pages: 1 where every page has another content, 0 where all have the same.
-Presentation nodes with a fixed meaning start with an importance of their own: navigation, page headers, footers, asides,
-forms, adverts, notices and comments have none; articles and other main regions have all, and then what stands outside of
-them has none. Branches of low importance are cut from each page, and the rest is written out block by block.
+logarithm to the base of the number of pages: 1 where every page has another content, 0 where all have the same. Outside of
+a main region it is also weighed by the branch's volume against that of the host's main text.
 
-Only branches that no fixed meaning decides are counted. They are counted with map-side combining, by host, path and
-content, so that a host with a third of all pages meets in no task; hosts join their low branches by key.
+What an element is called only sets the importance that its branch needs, its prior:
+
+- `m`, in an article or another main region: none. An outer or inner word never drops such text.
+- `o`, in no such region: `least`. On a page that has a main region the rest (`x`) needs `most`, as much as an article has.
+- `a`, in a main region, in an element whose name is ambiguous (notice, discussion, legal ...): `least`.
+- `s`, menus, headers, footers, asides, forms, adverts and so on: `most`, at twice the volume.
+
+Reader comments, hidden branches, scripts, and menus, forms or adverts in the midst of an article are never main text. Where a
+host has fewer than `least_pages` pages with a branch, entropy says nothing and the prior decides: `m`, `o` and `a` stay.
+An article in a form, or in an element named like noise, counts where the page has no other; so does a form around all text.
+
+Pages are parsed once. Branches are counted with map-side combining, by host, path and content, so that a host with a third
+of all pages meets in no task; pages join only the branches of their host whose importance overturns the prior.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,21 +32,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proselake.llm.common import cut
+
 #: Elements of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video map textarea select".split())
 FLOW_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote figcaption td th caption".split())
 BLOCK = FLOW_TEXT | frozenset("html head body article section main div header footer nav aside form fieldset address ul ol dl table thead tbody tfoot tr figure hr details summary dialog menu hgroup search legend title center".split())
-NOISE_TAGS = frozenset("nav footer aside form menu dialog button fieldset search head title label legend input".split())
+NOISE_TAGS = frozenset("nav footer aside form menu dialog button fieldset search label legend input".split())
 MAIN_TAGS = frozenset(("article", "main"))
 #: Words in class, id and role that name a branch's purpose.
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "sidebar sidebars aside footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup "
-    "login share sharing social comment comments reply replies disqus respond discussion related recommended recommendations widget widgets pagination pager search form copyright legal disclaimer "
-    "skip toc tags complementary contentinfo dialog".split()
+    "sidebar sidebars footer masthead topbar toolbar cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login "
+    "share sharing related recommended recommendations pagination pager skip complementary contentinfo".split()
 )
-MAIN_WORDS = frozenset("article content main post story entry body articlebody maincontent".split())
+AMBIGUOUS_WORDS = frozenset("aside header notice notices alert alerts social respond discussion widget widgets search form copyright legal disclaimer toc tags dialog".split())
+MAIN_WORDS = frozenset("article content main post story entry articlebody maincontent".split())
+#: Words of a name that say how a branch looks, not what it is; and those that say what it has.
+SHAPE_WORDS = frozenset("left right top bottom inner outer wrapper wrap container box list item items area block section widget links link bar buttons button text body content posts post entry slot unit panel group col column row".split())
+HAVING_WORDS = frozenset("has with no is without not hide show".split())
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<decl>[!?][^>]*)>?|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -44,35 +60,77 @@ SPACE = re.compile(r"\s+")
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+def _purpose(name: str) -> str:
+    """What one name of an element tells: 'comment', 'noise', 'ambiguous', 'main' or ''.
+
+    The last word that isn't about shape counts; a name of noise and shape alone is noise, one that says what it has is nothing.
+    """
+    words = WORD.findall(name)
+    if not words or words[0] in HAVING_WORDS:
+        return ""
+    core = [w for w in words if w not in SHAPE_WORDS] or words[-1:]
+    kinds = (("comment", COMMENT_WORDS), ("noise", NOISE_WORDS), ("ambiguous", AMBIGUOUS_WORDS), ("main", MAIN_WORDS))
+    if len(core) > 1 and core[0] in COMMENT_WORDS | NOISE_WORDS and all(any(w in of for _, of in kinds[:3]) for w in core):
+        return "comment" if core[0] in COMMENT_WORDS else "noise"
+    return next((kind for kind, of in kinds if core[-1] in of), "main" if words[-1] in MAIN_WORDS and len(core) == len(words) else "")
+
+
 def _style(tag: str, attrs: str) -> tuple[str, set[str], bool]:
-    """Style of an element, the words that name it, and whether it is hidden."""
+    """Style of an element, its purposes by name, and whether it is hidden."""
     if not attrs or attrs.isspace():
         return tag, set(), False
-    words, hidden, style = set(), False, tag
+    told, hidden, style = set(), False, tag
     for name, *values in ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             hidden = True
         else:
-            words.update(WORD.findall(value))
+            told.update(map(_purpose, value.split()))
             if name == "class":
                 style = f"{tag}.{'.'.join(sorted(re.sub(r'[0-9]+', '', value).split()))}"
-    return style, words, hidden
+    return style, told - {""}, hidden
 
 
 class _Node:
-    __slots__ = ("tag", "path", "state", "region")
+    __slots__ = ("tag", "path", "kind", "begin")
+
+    def __init__(self, tag: str, path: str, kind: str) -> None:
+        self.tag, self.path, self.kind, self.begin = tag, path, kind, (0, 0)
+
 
-    def __init__(self, tag: str, path: str, state: str, region: int) -> None:
-        self.tag, self.path, self.state, self.region = tag, path, state, region
+def _child(top: _Node, tag: str, attrs: str) -> _Node:
+    """The node of an element in `top`. Kinds: o, m, a, s as above; w: main in noise; f: in a form; n: never main text."""
+    kind, path = top.kind, top.path
+    if kind == "n":
+        return _Node(tag, path, "n")
+    style, told, hidden = _style(tag, attrs)
+    own = f"{path}/{style}"
+    within = kind in "maw"
+    if hidden or tag in ("head", "title") or "comment" in told:
+        return _Node(tag, own, "n")
+    named_main = "main" in told and not told & {"noise", "ambiguous"} and tag in ("div", "section", "td", "main", "article")
+    if tag in MAIN_TAGS or named_main:
+        return _Node(tag, own, kind if within else {"o": "m", "s": "w", "f": "w"}[kind])
+    if tag in NOISE_TAGS or tag == "header" and not within:
+        if within:
+            return _Node(tag, own, "n")
+        return _Node(tag, own, "f" if tag in ("form", "fieldset") and kind in "of" else "s")
+    if tag not in FLOW_TEXT or tag in ("p", "li"):
+        if "noise" in told:
+            return _Node(tag, own, "n" if within else "s")
+        if "ambiguous" in told and kind in "mof":
+            return _Node(tag, own, "a" if kind == "m" else "s")
+    if tag in FLOW_TEXT or tag not in BLOCK or kind == "s":
+        return _Node(tag, path, kind)
+    return _Node(tag, own, kind)
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, str, bool, float]]:
-    """Text blocks of a page in order: (path of the innermost branch that no meaning decides, or '' ; inside a main region; text; noise; share of link text)."""
+def blocks(page: str | None) -> list[tuple[str, str, str, float]]:
+    """Text blocks of a page in order: (path of the innermost branch, kind, text, share of link text)."""
     if not page:
         return []
-    out: list[tuple[str, bool, str, bool, float]] = []
-    stack = [_Node("", "", "open", 0)]
+    out: list[tuple[str, str, str, float]] = []
+    stack = [_Node("", "", "o")]
     parts: list[str] = []
     linked: list[int] = []
     pos, links = 0, 0
@@ -81,15 +139,17 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, bool, float]]:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                n = stack[-1]
                 share = sum(linked) / max(1, sum(map(len, parts)))
-                out.append((n.path if n.state == "branch" else "", n.region > 0, text, n.state == "noise", share))
+                out.append((stack[-1].path, stack[-1].kind, text, share))
             parts.clear()
             linked.clear()
 
     def pop_to(k: int) -> None:
         nonlocal links
         links -= sum(n.tag == "a" for n in stack[k:])
+        n = stack[k]
+        if n.tag not in BLOCK and n.kind in "ns" and stack[k - 1].kind not in "ns" and n.begin[0] == len(out):
+            del parts[n.begin[1] :]  # noise in the midst of a line
         del stack[k:]
 
     for m in TAG.finditer(page):
@@ -144,23 +204,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, bool, float]]:
                         break
         if tag in ("html", "body"):
             continue
-        top = stack[-1]
-        if top.state == "noise":
-            node = _Node(tag, top.path, "noise", top.region)
-        else:
-            style, words, hidden = _style(tag, attrs)
-            path = f"{top.path}/{style}"
-            if tag in MAIN_TAGS or (tag in ("div", "section") and words & MAIN_WORDS and not words & NOISE_WORDS) or "main" in words and "nav" not in words:
-                node = _Node(tag, path, "noise" if words & NOISE_WORDS and tag == "article" and top.region else "open", top.region + 1)
-            elif hidden or tag in NOISE_TAGS or (tag not in FLOW_TEXT or tag == "p" or tag == "li") and words & NOISE_WORDS:
-                node = _Node(tag, path, "noise", top.region)
-            elif tag == "header":
-                node = _Node(tag, path, "open" if top.region else "noise", top.region)
-            elif tag in FLOW_TEXT or tag not in BLOCK:
-                node = _Node(tag, top.path, top.state, top.region)
-            else:
-                node = _Node(tag, path, "branch", top.region)
-        stack.append(node)
+        stack.append(_child(stack[-1], tag, attrs))
+        stack[-1].begin = len(out), len(parts)
         if tag == "a":
             links += 1
     if pos < len(page):
@@ -169,12 +214,22 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, bool, float]]:
     return out
 
 
-def _kept(page: str | None) -> list[tuple[str, str, float]]:
-    """(undecided path or '', text, share of links) of the blocks that no fixed meaning cuts."""
-    found = blocks(page)
-    if any(region and not noise for _, region, _, noise, _ in found):
-        found = [b for b in found if b[1]]
-    return [(path, text, share) for path, _, text, noise, share in found if not noise]
+def settled(page: str | None, most_links: float = 0.8, form_times: int = 4, form_chars: int = 200) -> list[tuple[str, str, str]]:
+    """(path, kind, text) of a page's blocks, kinds settled to m, a, o, x and s by what else the page has."""
+    found = [(p, k, t, share) for p, k, t, share in blocks(page) if k != "n"]
+    size = Counter()
+    for _, k, t, _ in found:
+        size[k] += len(t)
+    to = {"w": "s", "f": "s"}
+    if size["m"] or size["w"] > size["o"]:
+        to |= {"o": "x"} if size["m"] else {"o": "x", "w": "m"}
+    elif size["f"] >= form_chars and size["f"] > form_times * size["o"]:
+        to |= {"f": "o"}
+    out = []
+    for p, k, t, share in found:
+        k = to.get(k, k)
+        out.append((p, "s" if k in "oa" and p and share > most_links else k, t))
+    return out
 
 
 def host_of(url):
@@ -183,58 +238,81 @@ def host_of(url):
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def branch_importance(pages: DataFrame, url_col: str = "url", html_col: str = "html", content_weight: float = 0.9) -> DataFrame:
-    """(host, path, pages, importance) of the branches that no fixed meaning decides. One page alone: importance 1."""
+PARSED = "id long, url string, host string, paths array<string>, kinds array<string>, texts array<string>, branches array<struct<path:string,kind:string,content:long,layout:long,chars:long>>"
+
+
+def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_links: float = 0.8) -> DataFrame:
+    """A row for each page: its blocks, and for each branch of one kind the hash of its text, its number of blocks and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("content", pa.int64()), ("layout", pa.int64()), ("chars", pa.int64())]))
         for b in batches:
-            rows = []
-            for host, page in zip(b.column(0).to_pylist(), b.column(1)):
-                own: dict[str, list[str]] = {}
-                for path, text, _ in _kept(page.as_py()):
-                    if path:
-                        own.setdefault(path, []).append(text)
-                rows += [(host, p, xxhash.xxh64_intdigest("\n".join(t)) >> 1, len(t)) for p, t in own.items()]
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "path", "content", "layout"])
-
-    seen = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "host string, path string, content long, layout long")
-    counted = seen.groupBy("host", "path", "content", "layout").agg(F.count(F.lit(1)).alias("n"))
+            paths, kinds, texts, branches = [], [], [], []
+            for page in b.column(3):
+                got = settled(page.as_py(), most_links)
+                own: dict[tuple[str, str], list[str]] = {}
+                for p, k, t in got:
+                    own.setdefault((p, k), []).append(t)
+                paths.append([p if k != "m" else None for p, k, _ in got])
+                kinds.append([k for _, k, _ in got])
+                texts.append([t for _, _, t in got])
+                branches.append([{"path": p, "kind": k, "content": xxhash.xxh64_intdigest("\n".join(t).encode("utf-8", "surrogatepass")) >> 1, "layout": len(t), "chars": sum(map(len, t))} for (p, k), t in own.items()])
+            strings = pa.list_(pa.string())
+            cols = [b.column(0), b.column(1), b.column(2), pa.array(paths, strings), pa.array(kinds, strings), pa.array(texts, strings), pa.array(branches, kind)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "url", "host", "paths", "kinds", "texts", "branches"])
+
+    url = F.col(url_col).cast("string")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), host_of(url).alias("host"), F.col(html_col).cast("string").alias("html"))
+    return rows.mapInArrow(run, PARSED)
+
+
+def branch_importance(parsed_pages: DataFrame, content_weight: float = 0.9) -> DataFrame:
+    """(host, path, kind, pages, importance, volume): the style tree's branches.
+
+    importance: entropy of contents and layouts; 1 for one page alone. volume: mean size against that of the host's main text
+    (kind m, or o where it has none).
+    """
+    counted = cut(parsed_pages.select("host", F.explode("branches").alias("b")).groupBy("host", "b.path", "b.kind", "b.content", "b.layout").agg(F.count(F.lit(1)).alias("n"), F.sum("b.chars").alias("chars")))
 
     def entropy(of: str) -> DataFrame:
-        c = counted.groupBy("host", "path", of).agg(F.sum("n").alias("n"))
-        part = c.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+        c = counted.groupBy("host", "path", "kind", of).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+        part = c.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum("chars").alias("chars"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
         m = F.col("pages")
-        return part.select("host", "path", "pages", F.when(m > 1, 1 - F.col("nlogn") / (m * F.log(m))).otherwise(1.0).alias(f"{of}_entropy"))
+        return part.select("host", "path", "kind", "pages", "chars", F.when(m > 1, 1 - F.col("nlogn") / (m * F.log(m))).otherwise(1.0).alias(f"{of}_entropy"))
 
-    both = entropy("content").join(entropy("layout").drop("pages"), ["host", "path"])
-    return both.select("host", "path", "pages", (content_weight * F.col("content_entropy") + (1 - content_weight) * F.col("layout_entropy")).alias("importance"))
+    keys = ["host", "path", "kind"]
+    both = entropy("content").join(entropy("layout").drop("pages", "chars"), keys)
 
+    def mean_of(kind: str):
+        return F.try_divide(F.sum(F.when(F.col("kind") == kind, F.col("chars"))), F.max(F.when(F.col("kind") == kind, F.col("pages"))))
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.4, least_pages: int = 4, most_links: float = 0.8) -> DataFrame:
+    main = counted.groupBy("host", "path", "kind").agg(F.sum("chars").alias("chars"), F.sum("n").alias("pages")).groupBy("host").agg(F.coalesce(mean_of("m"), mean_of("o"), F.lit(1.0)).alias("main"))
+    importance = content_weight * F.col("content_entropy") + (1 - content_weight) * F.col("layout_entropy")
+    return both.join(main, "host").select(*keys, "pages", importance.alias("importance"), (F.col("chars") / F.col("pages") / F.greatest("main", F.lit(1.0))).alias("volume"))
+
+
+def overturned(branches: DataFrame, least: float = 0.4, most: float = 0.9, least_pages: int = 4) -> DataFrame:
+    """(host, branches): the branches, as kind and path, that importance cuts against their prior (o, a) or keeps (x, s)."""
+    weighed = F.col("importance") * F.least(F.lit(1.0), F.col("volume") / F.when(F.col("kind") == "s", 2.0).otherwise(1.0))
+    low = F.col("kind").isin("o", "a") & (F.col("path") != "") & (F.col("importance") < least)
+    high = F.col("kind").isin("x", "s") & (weighed >= most)
+    told = branches.where((F.col("pages") >= least_pages) & (low | high))
+    return told.groupBy("host").agg(F.sort_array(F.collect_set(F.concat("kind", "path"))).alias("branches"))
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.4, most: float = 0.9, least_pages: int = 4, most_links: float = 0.8, broadcast_rows: int = 10_000) -> DataFrame:
     """(id, url, text, n_chars) of every row: the blocks that are left, joined by two line ends.
 
-    A branch that no fixed meaning decides is cut if its importance on its host is under `least` and `least_pages` pages have
-    it, or if more than `most_links` of its text is links. Null html: an empty text. A null url: the host is ''. Rows that
-    repeat an id stay. An empty table gives an empty result.
+    least, most: the importance that branches need by their prior; a branch of no main region more than `most_links` of whose
+    text is links counts as noise. Null html: an empty text. A null url: the host is ''. Rows that repeat an id stay. An empty
+    table gives an empty result. The table of overturned branches is broadcast up to `broadcast_rows` hosts, else joined.
     """
-    low = branch_importance(pages, url_col, html_col).where((F.col("importance") < least) & (F.col("pages") >= least_pages))
-    low = low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [_kept(p.as_py()) for p in b.column(2)]
-            paths = [[p if not (p and s > most_links) else "-" for p, _, s in g] for g in got]
-            texts = [[t for _, t, _ in g] for g in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(paths, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.string()))], names=["id", "url", "paths", "texts"])
-
-    parsed = rows.mapInArrow(parse, "id long, url string, paths array<string>, texts array<string>").withColumn("host", host_of(F.col("url")))
-    asked = F.exists("paths", lambda p: (p != "") & (p != "-"))
-    # pages that ask nothing are spread out; a host never begins with a space and a number like theirs
-    parsed = parsed.withColumn("key", F.when(asked, F.col("host")).otherwise(F.concat(F.lit(" "), F.xxhash64("id", "url").cast("string"))))
-    joined = parsed.join(low.withColumnRenamed("host", "key"), "key", "left")
-    pairs = F.arrays_zip("paths", "texts")
-    keep = F.filter(pairs, lambda b: (b["paths"] != "-") & ~F.array_contains(F.coalesce("low", F.array().cast("array<string>")), b["paths"]))
+    rows = cut(parsed(pages, id_col, url_col, html_col, most_links))
+    other = cut(overturned(branch_importance(rows), least, most, least_pages)).withColumnRenamed("branches", "other")
+    few = other.count() <= broadcast_rows and not other.where(F.size("other") > 64).limit(1).count()
+    joined = rows.drop("branches").join(F.broadcast(other) if few else other, "host", "left")
+    told = F.coalesce("other", F.array().cast("array<string>"))
+    pairs = F.arrays_zip("paths", "kinds", "texts")
+    keep = F.filter(pairs, lambda b: (b["kinds"] == "m") | (b["kinds"].isin("o", "a") != F.array_contains(told, F.concat(b["kinds"], F.coalesce(b["paths"], F.lit(""))))))
     text = F.array_join(F.transform(keep, lambda b: b["texts"]), "\n\n")
     return joined.select("id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
