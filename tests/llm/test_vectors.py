@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from proselake.llm import forest, hash_index
@@ -93,7 +94,7 @@ def brute(rows, least=0.93):
 def test_forest(spark):
     x = vectors(500)
     rows = rows_of(x, [k % 2 for k in range(len(x))]) + ODD + [(9007, [float(v) for v in x[1]], None)]
-    for how in ({}, {"leaf_rows": 40, "block_rows": 60, "trees": 12}):
+    for how in ({}, {"cell_rows": 60, "block_rows": 40, "least_rows": 8, "trees": 10}, {"cell_rows": 100, "broadcast_cells": 0, "sample_rows": 80}):
         got = forest.near_duplicates(frame(spark, rows), **how).collect()
         assert len(got) == len(rows)
         want = brute(rows)
@@ -109,3 +110,35 @@ def test_repeated_and_null_ids(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (None, [1.0, 0.0], 1)]
     got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in forest.near_duplicates(frame(spark, rows)).collect())
     assert got == [("1", 2, 1, True), ("1", 2, 1, True), ("2", 2, 1, False), ("None", 0, None, False)]
+
+
+def test_clusters_stay_whole():
+    """A cluster denser than links is one leaf, so that all its pairs meet; other vectors are split."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1500, 32))
+    x[:400] = x[0] + rng.standard_normal((400, 32)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    how = forest.Splitter(32, 0.05, 0.6 * 0.14**0.5 / 32**0.5, 32, 512, 5)
+    rows, leaves = how.grow(x, 0, 1)
+    assert len(np.unique(leaves)) > 20
+    sizes = {leaf: int((rows[leaves == leaf] < 400).sum()) for leaf in np.unique(leaves)}
+    assert max(sizes.values()) > 300
+
+
+def test_forest_recall(spark):
+    """One label of 24,000 vectors, split in rounds: links of near copies and of pairs right at the threshold."""
+    rng = np.random.default_rng(8)
+    n, d = 24_000, 32
+    x = rng.standard_normal((n, d)).astype(np.float32)
+    for k in range(3000):  # cosines from 0.9 to 1
+        x[n - 1 - k] = x[k // 3] + rng.standard_normal(d).astype(np.float32) * (0.1 + 0.4 * rng.random()) * np.linalg.norm(x[k // 3]) / d**0.5
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.zeros(n, int)
+    for at in range(0, n, 2000):
+        want[at : at + 2000] = (unit[at : at + 2000] @ unit.T >= 0.93).sum(1) - 1
+    assert want.sum() > 4000
+    table = pa.table([pa.array(np.arange(n)), pa.array(list(x), pa.list_(pa.float32())), pa.array(np.ones(n, np.int32))], names=["vec_id", "embedding", "label"])
+    df = spark.createDataFrame(table)
+    got = {r["vec_id"]: r["n_links"] for r in forest.near_duplicates(df, cell_rows=4096).select("vec_id", "n_links").collect()}
+    found = np.array([got[k] for k in range(n)])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
