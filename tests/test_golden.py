@@ -79,12 +79,32 @@ def test_weights_and_thresholds(spark):
         ("The chair isn't old, it is new.", ("NOUN", "NOUN", True)),
         ("Not now.", None),
         ("Is it not a lamp, but a lantern?", None),
+        ("They don't spend money, they send gifts.", ("VERB NOUN", "VERB", False)),
+        ("He doesn't spend, but send.", None),
+        ("He doesn't spend, he sends.", ("VERB", "", False)),
+        ("The lamp is not hers but bright.", ("VERB", "NOUN", False)),
+        ("The lamp is not his but bright.", None),
+        ("It does not rain, it shines on hills.", ("NOUN", "NOUN VERB", False)),
+        ("It does not rain, and it shines.", None),
+        ("The wall hasn't fallen; it has grown old.", ("NOUN", "NOUN NOUN", False)),
+        ("The wall hasn't fallen; it has begun anew.", ("NOUN", "NOUN", True)),
+        ("She isn't cold, it is warm.", None),
+        ("The tea isn't cold, that is warm!", ("NOUN", "NOUN", True)),
+        ("He's not a guest, he's a host.", ("DET NOUN", "DET NOUN", True)),
+        ("He asked me not to go, but to stay.", None),
+        ("It was not the long and very old stone road, but mud.", None),
+        ("Not red; the door wasn't red but is blue.", ("VERB NOUN DET NOUN NEG VERB", "VERB NOUN", False)),
     ],
 )
 def test_contrast(sentence, want):
     assert grammar.contrast_of(sentence) == want
 
 
+def test_tags():
+    words = "spend send hers goes won't gently station walked glass boss news hopeful chair my".split()
+    assert [grammar.tag_of(w) for w in words] == "VERB VERB VERB VERB NEG ADV NOUN VERB NOUN NOUN VERB ADJ NOUN PRON".split()
+
+
 def test_echo():
     said = 'I said "the blue lamp is broken" today.'
     assert grammar.echoes_of('"The blue lamp?" she asked.', said) == [("The blue lamp?", "the blue lamp", 3)]
