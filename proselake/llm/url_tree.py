@@ -3,8 +3,10 @@
 Segments that are variable by their form (numbers, dates, long hexadecimal or mixed names) become wildcards at once, so that
 a host's urls shrink to counts of templates before anything is shuffled. Level by level, to the end of the longest path, a
 node with too many different children makes a wildcard of those that hold a small share. Sibling templates that differ in
-one segment and have statistically similar shares of good pages are merged for judging. A template is rejected if its share
-of good labels, smoothed towards its host's and that towards all pages', is under a threshold.
+the last segment are merged, in order of their shares of good pages, as long as a two-proportion test doesn't tell them apart;
+wildcards bound their number. A merged branch is rejected if its share of good labels, smoothed towards its parent's, that
+towards its host's and that towards all pages', is under a threshold, or if the upper bound of Wilson's interval of its share
+is under the share of all pages: then it is worse than the rest for certain.
 
 Fixed rules on hosts and path beginnings go first; the longest that fits wins.
 """
@@ -76,26 +78,48 @@ def templates(urls: DataFrame, most_children: int = 24, least_share: float = 0.0
     return tree.withColumn("template", F.concat(F.lit("/"), F.array_join("t", "/"))).drop("t")
 
 
-def judged(rows: DataFrame, alike_z: float = 1.96, strength: float = 20.0, least_good: float = 0.5) -> DataFrame:
-    """(host, kinds, template, purity, verdict) from templates(): siblings alike are pooled, shares smoothed, and compared."""
-    own = rows.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
-    parent = F.regexp_replace("template", r"/[^/]*$", "")
-    own = own.withColumn("parent", parent)
+def merged_siblings(own: DataFrame, alike_z: float) -> DataFrame:
+    """(host, template, m_good, m_labelled, branch) from (host, parent, template, good, labelled): counts of the merged siblings.
+
+    A parent has as many children as templates() leaves at most, so that they fit in one row. Branches are numbered by share;
+    siblings without a label are merged with none, and have no number.
+    """
+    known = own.where(F.col("labelled") > 0)
+    one = F.struct((F.col("good") / F.col("labelled")).alias("share"), "template", "good", "labelled")
+    rows = known.groupBy("host", "parent").agg(F.array_sort(F.collect_list(one)).alias("siblings"))
+    kind = "array<struct<good:bigint,labelled:bigint,templates:array<string>>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        both = (last["good"] + x["good"]) / (last["labelled"] + x["labelled"]).cast("double")
+        spread = F.sqrt(both * (1 - both) * (1 / last["labelled"] + 1 / x["labelled"]))
+        alike = F.abs(x["share"] - last["good"] / last["labelled"]) <= alike_z * spread
+        alone = F.array(F.struct(x["good"].alias("good"), x["labelled"].alias("labelled"), F.array(x["template"]).alias("templates")))
+        joined = F.array(F.struct((last["good"] + x["good"]).alias("good"), (last["labelled"] + x["labelled"]).alias("labelled"), F.concat(last["templates"], F.array(x["template"])).alias("templates")))
+        return F.when(F.size(acc) == 0, alone).when(alike, F.concat(F.slice(acc, 1, F.size(acc) - 1), joined)).otherwise(F.concat(acc, alone))
+
+    branches = rows.select("host", F.posexplode(F.aggregate("siblings", F.array().cast(kind), step)).alias("branch", "b"))
+    return branches.select("host", F.explode("b.templates").alias("template"), F.col("b.good").alias("m_good"), F.col("b.labelled").alias("m_labelled"), "branch")
+
+
+def judged(rows: DataFrame, alike_z: float = 1.96, strength: float = 20.0, least_good: float = 0.5, certain_z: float = 1.96) -> DataFrame:
+    """(host, kinds, template, purity, verdict) from templates(): siblings alike are merged, shares smoothed, and compared."""
+    own = rows.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
+    own = own.withColumn("parent", F.regexp_replace("template", r"/[^/]*$", ""))
     branch = own.groupBy("host", "parent").agg(F.sum("good").alias("b_good"), F.sum("labelled").alias("b_labelled"))
-    host = own.groupBy("host").agg(F.sum("good").alias("h_good"), F.sum("labelled").alias("h_labelled"))
-    every = own.agg(F.sum("good").alias("g_good"), F.sum("labelled").alias("g_labelled"))
-    r = own.join(branch, ["host", "parent"]).join(host, "host").crossJoin(F.broadcast(every))  # one row of sums
-    prior = F.coalesce(F.try_divide("g_good", F.col("g_labelled").cast("double")), F.lit(1.0))
-    on_host = (F.col("h_good") + strength * prior) / (F.col("h_labelled") + strength)
-    share = F.try_divide("b_good", F.col("b_labelled").cast("double"))
-    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (F.try_divide(F.lit(1.0), "labelled")))
-    alike = F.coalesce(F.abs(F.try_divide("good", F.col("labelled").cast("double")) - share) <= alike_z * spread, F.lit(True))
-    good = F.when(alike, F.col("b_good")).otherwise(F.col("good"))
-    labelled = F.when(alike, F.col("b_labelled")).otherwise(F.col("labelled"))
-    purity = (good + strength * on_host) / (labelled + strength)
-    scored = r.select("host", "template", purity.alias("purity"), alike.alias("merged"))
-    verdict = F.when(F.col("purity") < least_good, "block").otherwise("allow")
-    return rows.select("host", "kinds", "template").join(scored, ["host", "template"]).withColumn("verdict", verdict)
+    host = branch.groupBy("host").agg(F.sum("b_good").alias("h_good"), F.sum("b_labelled").alias("h_labelled"))
+    every = host.agg(F.sum("h_good").alias("g_good"), F.sum("h_labelled").alias("g_labelled"))
+    r = own.join(merged_siblings(own, alike_z), ["host", "template"], "left").join(branch, ["host", "parent"]).join(host, "host").crossJoin(F.broadcast(every))  # one row of sums
+    on_all = F.coalesce(F.try_divide("g_good", F.col("g_labelled").cast("double")), F.lit(1.0))
+    on_host = (F.col("h_good") + strength * on_all) / (F.col("h_labelled") + strength)
+    on_parent = (F.col("b_good") + strength * on_host) / (F.col("b_labelled") + strength)
+    good, n = F.coalesce("m_good", F.lit(0)), F.coalesce("m_labelled", F.lit(0)).cast("double")
+    purity = (good + strength * on_parent) / (n + strength)
+    share, z2 = F.try_divide(good, n), certain_z**2
+    most = F.try_divide(share + F.try_divide(F.lit(z2 / 2), n) + certain_z * F.sqrt(F.try_divide(share * (1 - share), n) + F.try_divide(F.lit(z2 / 4), n * n)), 1 + F.try_divide(F.lit(z2), n))
+    worse = F.coalesce(most < on_all, F.lit(False))
+    scored = r.select("host", "template", purity.alias("purity"), F.when((purity < least_good) | worse, "block").otherwise("allow").alias("verdict"))
+    return rows.select("host", "kinds", "template").join(scored, ["host", "template"])
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -109,6 +133,6 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     value = F.col(label_col)
     known = labels.where(F.col(label_id).isNotNull() & value.isin(0, 1)).groupBy(F.col(label_id).cast("long").alias("id")).agg(F.sum(value.cast("long")).alias("good"), F.count(F.lit(1)).alias("labelled"))
     counts = rows.join(known, "id", "left").groupBy("host", "kinds").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled"))
-    known_templates = judged(templates(counts)).select("host", "kinds", "template", "purity", F.col("verdict").alias("by_template"))
+    known_templates = judged(templates(counts)).withColumnRenamed("verdict", "by_template")
     found = rows.join(known_templates, ["host", "kinds"], "left").withColumn("fits", rule_that_fits(F.col("host"), F.col("path"), rules))
     return found.select("id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", "by_template", F.lit("allow")).alias("verdict"), "template", "purity")

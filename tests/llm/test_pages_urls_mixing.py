@@ -170,6 +170,75 @@ def test_deep_templates(spark):
     assert all(r["verdict"] == ("block" if r["id"] % 2 else "allow") for r in got if r["id"] < 600)
 
 
+def brute_purity(rows, labels, z=1.96, strength=20.0):
+    """{(host, template): (purity, verdict)} by plain loops; rows: (id, host, template), labels: (id, quality)."""
+    own = {}
+    for i, host, template in rows:
+        c = own.setdefault((host, template), [0, 0])
+        for k, q in labels:
+            if k == i and q in (0, 1):
+                c[0] += q
+                c[1] += 1
+    total = [sum(c[k] for c in own.values()) for k in (0, 1)]
+    on_all = total[0] / total[1] if total[1] else 1.0
+    out = {}
+    for host, template in own:
+        parent = template.rsplit("/", 1)[0]
+        h = [sum(c[k] for (x, _), c in own.items() if x == host) for k in (0, 1)]
+        siblings = {t: c for (x, t), c in own.items() if x == host and t.rsplit("/", 1)[0] == parent}
+        b = [sum(c[k] for c in siblings.values()) for k in (0, 1)]
+        groups = []
+        for _, t, (g, n) in sorted((c[0] / c[1], t, c) for t, c in siblings.items() if c[1]):
+            if groups:
+                last = groups[-1]
+                p = (last[0] + g) / (last[1] + n)
+                if abs(g / n - last[0] / last[1]) <= z * math.sqrt(p * (1 - p) * (1 / last[1] + 1 / n)):
+                    groups[-1] = [last[0] + g, last[1] + n, [*last[2], t]]
+                    continue
+            groups.append([g, n, [t]])
+        g, n = next(((g, n) for g, n, ts in groups if template in ts), (0, 0))
+        prior = (b[0] + strength * (h[0] + strength * on_all) / (h[1] + strength)) / (b[1] + strength)
+        purity, worse = (g + strength * prior) / (n + strength), False
+        if n:
+            p = g / n
+            worse = (p + z * z / 2 / n + z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n) < on_all
+        out[host, template] = purity, "block" if purity < 0.5 or worse else "allow"
+    return out
+
+
+def test_siblings_and_purity_by_brute_force(spark):
+    rng = random.Random(3)
+    share = {"a": 0.95, "b": 0.9, "c": 0.6, "d": 0.3, "e": 0.92}
+    rows = [(k, f"http://{rng.choice(['h', 'i', 'h'])}.org/{rng.choice('xy')}/{rng.choice('abcde')}") for k in range(900)]
+    labels = [(k, int(rng.random() < share[u[-1]])) for k, u in rows if k % 3] + [(5, None), (7, 3)]
+    got = url_tree.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int"), rules=[]).collect()
+    want = brute_purity([(r["id"], r["host"], r["template"]) for r in got], labels)
+    for r in got:
+        purity, verdict = want[r["host"], r["template"]]
+        assert abs(r["purity"] - purity) < 1e-9 and r["verdict"] == verdict
+    by = {u[-1]: set() for _, u in rows}
+    for r in got:
+        by[r["path"][-1]].add(r["verdict"])
+    assert by["a"] == by["e"] == {"allow"} and by["d"] == {"block"}
+    purities = {(r["host"], r["path"]): round(r["purity"], 9) for r in got}
+    assert len(set(purities.values())) < len(purities)  # siblings are merged
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are missing")
+def test_op6_by_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    got = queries.op6_url_tree(spark, d).collect()
+    labels = [tuple(r) for r in spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality").collect()]
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    want = brute_purity([(r["page_id"], r["host"], r["template"]) for r in got], labels)
+    assert len(got) == len(urls)
+    for r in got:
+        host, path, rule, verdict = brute_rule(urls[r["page_id"]])
+        purity, by_template = want[r["host"], r["template"]]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert abs(r["purity"] - purity) <= 1e-6 and r["verdict"] == (verdict or by_template)
+
+
 def test_one_period():
     rng = random.Random(6)
     for _ in range(40):
