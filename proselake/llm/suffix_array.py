@@ -4,9 +4,11 @@ A window is a 50-byte string of one document. Windows that are equal meet by the
 grams: consecutive windows with the same smallest gram form one record, and records are dealt to buckets by that gram.
 
 1. Documents are dealt to groups by a hash of their id, once; the exchange is used again by steps 2 and 4.
-   Each group sends its distinct grams to the grams' buckets, which send back those that several documents hold.
-2. Each group cuts the records with such a gram out of its texts. Equal records of one group are sent once, for the
-   smallest document; the others are covered by it already.
+   Each group sends its distinct grams to the grams' buckets, which send back those that several documents hold. Grams that
+   more than `hot_groups` groups hold, as those of a common line, are hot: their records differ in what stands around the line.
+   For them groups send the hashes of whole windows as well, and go on with the windows that several documents hold.
+2. Each group cuts the records with such a gram out of its texts, those of hot grams down to their shared windows. Equal
+   records of one group are sent once, for the smallest document; the others are covered by it already.
 3. Each bucket sorts the suffixes that start a window: suffixes smaller than their successors directly, the rest by bucket
    scans. Adjacent suffixes with a common prefix of a window's length form runs; a run's smallest document keeps its copy.
 4. Each group applies the covered spans to its texts.
@@ -85,11 +87,22 @@ def _segments(texts: list[bytes], window: int) -> Iterator[tuple[bytes, np.ndarr
         yield b"".join(parts), np.array(doc), np.array(place), np.array(at)
 
 
-def records(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of windows with one smallest gram: (gram, text, first window's place, number of windows)."""
+def _window_hashes(h: np.ndarray, window: int) -> np.ndarray:
+    """Odd 64-bit hash of the window at each byte, from those of grams that cover it."""
+    n = len(h) - (window - GRAM)
+    out = np.zeros(n, np.uint64)
+    for at in (*range(0, window - GRAM, GRAM), window - GRAM):
+        out = (out ^ h[at : at + n]) * _MIX[0]
+        out ^= out >> np.uint64(31)
+    return out | np.uint64(1)
+
+
+def records(texts: list[bytes], window: int, hashes: bool = False) -> Iterator[tuple]:
+    """Runs of windows with one smallest gram: (gram, text, first window's place, number of windows) and, if asked for, where they begin in the hashes of all windows of their segment, and these."""
     for raw, doc, place, at in _segments(texts, window):
         buf = np.frombuffer(raw + b"\0" * 8, np.uint8)[: len(raw)]
-        m = _window_minima(_gram_hashes(buf), window - GRAM + 1)
+        h = _gram_hashes(buf)
+        m = _window_minima(h, window - GRAM + 1)
         for end in at[1:-1]:
             m[end - window + 1 : end] = 0
         starts = np.concatenate(([0], np.flatnonzero(m[1:] != m[:-1]) + 1))
@@ -102,7 +115,8 @@ def records(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np.nd
             starts = np.repeat(starts, n) + nth * LONGEST_RUN
             sizes = np.minimum(np.repeat(sizes, n) - nth * LONGEST_RUN, LONGEST_RUN)
         part = np.searchsorted(at, starts, "right") - 1
-        yield m[starts], doc[part], place[part] + starts - at[part], sizes
+        out = m[starts], doc[part], place[part] + starts - at[part], sizes
+        yield (*out, starts, _window_hashes(h, window)) if hashes else out
 
 
 def _bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
@@ -223,7 +237,7 @@ def _group_texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return ids[order], th[order], [col[k].as_py().encode("utf-8", "surrogatepass") for k in order.tolist()]
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, group_bytes: int = 4 << 20, finish=None, schema: str | None = None, carry: list[str] | None = None) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, group_bytes: int = 4 << 20, finish=None, schema: str | None = None, carry: list[str] | None = None, hot_groups: int = 16) -> DataFrame:
     """A row for each document, made by `finish(ids, texts, spans, rows)`: spans are the removed ones of each text, rows a
     table with the columns named in `carry`, as carry_0, carry_1 and so on.
 
@@ -235,49 +249,71 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     carried = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry or [])]
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carried)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    group_bytes = min(max(group_bytes, total >> 13), max(group_bytes, 64 << 20))  # groups grow first, so that their rows to buckets stay large
     groups = max(1, -(-total // group_bytes))
     base = base.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", F.xxhash64("text").alias("th"), "text", *(f"carry_{k}" for k in range(len(carried))))
     buckets, carry_names = groups, [f"carry_{k}" for k in range(len(carried))]
 
-    def grams(t: pa.Table) -> pa.Table:
-        ids, _, texts = _group_texts(t)
-        gram, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for m, doc, _, _ in records(texts, window):
-            gram.append(m)
-            who.append(ids[doc])
-        gram, who = np.concatenate(gram), np.concatenate(who)
+    def by_bucket(g: int, gram: np.ndarray, who: np.ndarray) -> pa.Table:
+        """A row for each bucket: the group's distinct grams (or window hashes), and which of them several documents hold."""
         order = np.argsort(gram, kind="stable")
         gram, who = gram[order], who[order]
         new = np.flatnonzero(np.concatenate((np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1])))
-        last = np.append(new[1:], len(gram)) - 1
-        many = who[new] != who[last]
+        many = np.minimum.reduceat(who, new) != np.maximum.reduceat(who, new) if len(new) else np.zeros(0, bool)
         gram = gram[new]
         b = _bucket_of(gram, buckets)
         order = np.argsort(b, kind="stable")
         b, gram, many = b[order], gram[order], many[order]
         at = np.flatnonzero(np.concatenate((np.ones(min(1, len(b)), bool), b[1:] != b[:-1])))
-        to = np.append(at[1:], len(b))
-        rows = [(int(b[s]), _blob(gram[s:e], "<u8"), _blob(many[s:e], "u1")) for s, e in zip(at, to)]
+        rows = [(int(b[s]), _blob(gram[s:e], "<u8"), _blob(many[s:e], "u1")) for s, e in zip(at, np.append(at[1:], len(b)))]
         cols = list(zip(*rows)) or [[], [], []]
-        g = t["g"][0].as_py()
         return pa.table([pa.array(cols[0], pa.int32()), pa.array([g] * len(rows), pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "g", "grams", "many"])
 
+    def grams(t: pa.Table) -> pa.Table:
+        ids, _, texts = _group_texts(t)
+        gram, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for m, doc, _, _ in records(texts, window):
+            gram.append(m)
+            who.append(ids[doc])
+        return by_bucket(t["g"][0].as_py(), np.concatenate(gram), np.concatenate(who))
+
     def shared(t: pa.Table) -> pa.Table:
         own = [np.frombuffer(x.as_py(), "<u8") for x in t["grams"]]
-        every = np.concatenate(own)
         many = np.concatenate([np.frombuffer(x.as_py(), "u1") for x in t["many"]]).astype(bool)
+        every = np.concatenate(own)
         order = np.argsort(every)
         s = every[order]
-        twice = np.zeros(len(s), bool)
-        twice[1:] |= s[1:] == s[:-1]
-        twice[:-1] |= s[1:] == s[:-1]
-        hit = np.empty(len(s), bool)
-        hit[order] = twice
-        hit |= many
-        parts = np.split(hit, np.cumsum([len(x) for x in own])[:-1])
-        rows = [(g, _blob(x[h], "<u8")) for g, x, h in zip(t["g"].to_pylist(), own, parts) if h.any()]
-        cols = list(zip(*rows)) or [[], []]
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["g", "grams"])
+        new = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        n = np.empty(len(s), np.int64)
+        n[order] = np.repeat(np.diff(np.append(new, len(s))), np.diff(np.append(new, len(s))))
+        cuts_at = np.cumsum([len(x) for x in own])[:-1]
+        rows = [(g, _blob(x[h], "<u8"), _blob(w[h], "u1")) for g, x, h, w in zip(t["g"].to_pylist(), own, np.split((n > 1) | many, cuts_at), np.split(n > hot_groups, cuts_at)) if h.any()]
+        cols = list(zip(*rows)) or [[]] * 3
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["g", "grams", "hot"])
+
+    def told_grams(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted grams that others hold, and which of them are hot."""
+        gram = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in right["grams"]])
+        hot = np.concatenate([np.frombuffer(x.as_py(), "u1") for x in right["hot"]]).astype(bool)
+        order = np.argsort(gram)
+        return gram[order], hot[order]
+
+    def windows_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes) + np.repeat(starts, sizes)
+
+    def hot_windows(left: pa.Table, right: pa.Table) -> pa.Table:
+        gram, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        wanted = np.zeros(0, np.uint64)
+        if left.num_rows and right.num_rows:
+            wanted, hot = told_grams(right)
+            wanted = wanted[hot]
+        if len(wanted):
+            ids, _, texts = _group_texts(left)
+            for m, doc, _, sizes, starts, hashes in records(texts, window, hashes=True):
+                hit = wanted[np.searchsorted(wanted, m).clip(max=len(wanted) - 1)] == m
+                gram.append(hashes[windows_of(starts[hit], sizes[hit])])
+                who.append(np.repeat(ids[doc[hit]], sizes[hit]))
+        return by_bucket(left["g"][0].as_py() if left.num_rows else -1, np.concatenate(gram), np.concatenate(who))
 
     part_names = ["bucket", "kind", "g", "id", "th", "at", "n", "bytes"]
     part_schema = "bucket int, kind int, g int, id binary, th binary, at binary, n binary, bytes binary"
@@ -286,15 +322,31 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], x) for x in (pa.int32(),) * 3 + (pa.binary(),) * 5], names=part_names)
         g = left["g"][0].as_py()
-        wanted = np.sort(np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in right["grams"]]))
+        of_windows = right["windows"]
+        wanted, hot = told_grams(right.filter(pa.compute.invert(of_windows)))
+        common = right.filter(of_windows)
+        common = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_py(), "<u8") for x in common["grams"])]))
         ids, th, texts = _group_texts(left)
         first: dict[bytes, int] = {}
         send: dict[int, list] = {}
         covered: list[tuple[int, int, int, int]] = []
-        for m, doc, place, size in records(texts, window):
+        for m, doc, place, size, starts, hashes in records(texts, window, hashes=True):
             at = np.searchsorted(wanted, m).clip(max=len(wanted) - 1)
-            hit = wanted[at] == m
-            for b, k, s, n in zip(_bucket_of(m[hit], buckets).tolist(), doc[hit].tolist(), place[hit].tolist(), size[hit].tolist()):
+            hit = np.flatnonzero(wanted[at] == m)
+            warm = hot[at[hit]]
+            keep = hit[~warm]
+            own = [(m[keep], doc[keep], place[keep], size[keep])]
+            keep = hit[warm]
+            if len(keep) and len(common):  # runs of the windows of hot grams that several documents hold
+                w = windows_of(starts[keep], size[keep])
+                held = common[np.searchsorted(common, hashes[w]).clip(max=len(common) - 1)] == hashes[w]
+                of = np.repeat(keep, size[keep])[held]
+                w = w[held]
+                new = np.flatnonzero(np.concatenate((np.ones(min(1, len(w)), bool), (of[1:] != of[:-1]) | (w[1:] != w[:-1] + 1))))
+                k = of[new]
+                own.append((m[k], doc[k], place[k] + w[new] - starts[k], np.diff(np.append(new, len(w)))))
+            gram, k, s, n = (np.concatenate(x) for x in zip(*own))
+            for b, k, s, n in zip(_bucket_of(gram, buckets).tolist(), k.tolist(), s.tolist(), n.tolist()):
                 string = texts[k][s : s + n + window - 1]
                 who = int(ids[k])
                 if first.setdefault(string, who) == who:
@@ -379,9 +431,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         none = np.zeros((0, 2), np.int64)
         return finish([None if x == NO_ID else x for x in ids.tolist()], texts, [found.get(k, none) for k in zip(ids.tolist(), th.tolist())], left.select(carry_names))
 
-    asked = base.groupBy("g").applyInArrow(grams, "bucket int, g int, grams binary, many binary")
-    told = asked.groupBy("bucket").applyInArrow(shared, "g int, grams binary")
-    sent = base.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(cut_records, part_schema)
+    asked, answer = "bucket int, g int, grams binary, many binary", "g int, grams binary, hot binary"
+    told = base.groupBy("g").applyInArrow(grams, asked).groupBy("bucket").applyInArrow(shared, answer).withColumn("windows", F.lit(False))
+    hot = base.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(hot_windows, asked).groupBy("bucket").applyInArrow(shared, answer).withColumn("windows", F.lit(True))
+    sent = base.groupBy("g").cogroup(told.unionByName(hot).groupBy("g")).applyInArrow(cut_records, part_schema)
     spans = sent.groupBy("bucket").applyInArrow(spans_of_bucket, "g int, id binary, th binary, start binary, end binary")
     return base.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(apply, schema)
 
