@@ -48,16 +48,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint's 64 bits as a signed long. Other columns aren't read."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp) and the columns to carry: fp is the fingerprint's 64 bits as a signed long. Other columns aren't read."""
+    names = [f"carry_{k}" for k in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py(), words) for t in b.column(1)]
             fp = pa.array(np.array(fps, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), fp], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), fp, *b.columns[2:]], names=["id", "fp", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    kinds = dict(docs.dtypes)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names)))
+    return own.mapInArrow(run, ", ".join(["id long", "fp long", *(f"{n} {kinds[c]}" for c, n in zip(carry, names))]))
 
 
 class BKTree:
@@ -186,16 +189,18 @@ def shard_links(codes: DataFrame, radius: int = 2, blocks: int = 4, tree_limit:
     return keyed.select("fp", "choice", "key").mapInArrow(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """(id, fp, component_id, n_same): component_id is the smallest id reachable over links of `radius` bits or fewer.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, component_id, n_same, component) and the columns to carry: component_id is the smallest id reachable over links of
+    `radius` bits or fewer, component the smallest fingerprint, n_same the rows with the same one.
 
     Null or empty texts have fingerprint zero and link like any other. A row with a null id keeps its row; it takes the
     component of its fingerprint and is never its smallest id. Repeated rows stay. An empty table gives an empty result.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, words))
+    fps = cut(fingerprints(docs, id_col, text_col, words, carry))
     reps = cut(fps.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n_same")))
     comps = connected_components(shard_links(reps.select("fp"), radius))
     reps = reps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lows = reps.groupBy("component").agg(F.min("low").alias("component_id"))
-    reps = reps.join(lows, "component").select("fp", "component_id", "n_same")
-    return fps.join(reps, "fp").select("id", "fp", "component_id", "n_same")
+    reps = reps.join(lows, "component").select("fp", "component_id", "n_same", "component")
+    found = fps.join(reps, "fp").select("id", "fp", "component_id", "n_same", "component", *(f"carry_{k}" for k in range(len(carry))))
+    return found.withColumnsRenamed({f"carry_{k}": c for k, c in enumerate(carry)})

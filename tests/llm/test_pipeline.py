@@ -1,6 +1,13 @@
 import os
+import random
+import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are missing")
@@ -21,6 +28,87 @@ def test_stages(spark):
     assert {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF).collect()} == want
 
 
+def brute_fingerprint(text):
+    w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
+    shingles = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_pipeline(rows):
+    """(doc_id, piece, start, length, crc) of what is left of rows (doc_id, text, lang, source, n_chars), by plain loops."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    rows = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    rows = list(dict.fromkeys(rows))
+    fps = [brute_fingerprint(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 and group[i] != group[j]:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    kept = []
+    for g in sorted(set(group)):
+        own = [r for r, x in zip(rows, group) if x == g]
+        low = min((r[0] is None, r[0] or 0) for r in own)
+        kept.append([r for r in own if (r[0] is None, r[0] or 0) == low])
+    assert all(len(k) == 1 for k in kept)  # the fixture leaves no choice
+    texts = [(1 << 63 if k[0][0] is None else k[0][0], k[0][1].encode()) for k in kept]
+    first, out = {}, []
+    for d, t in sorted(texts):
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for d, raw in texts:
+        gone = [False] * len(raw)
+        for i in range(len(raw) - 49):
+            if first[raw[i : i + 50]] < d:
+                gone[i : i + 50] = [True] * 50
+        left, at = [], 0
+        for c in raw.decode():  # only characters that are covered whole go
+            n = len(c.encode())
+            if not all(gone[at : at + n]):
+                left.append(c)
+            at += n
+        if "".join(left).strip():
+            ids = [*t.encode("".join(left), add_special_tokens=False).ids, 2]
+            start = 0
+            for piece, n in enumerate([len(ids) % 1024 or 1024] * (len(ids) > 0) + [1024] * ((len(ids) - 1) // 1024)):
+                out.append((None if d == 1 << 63 else d, piece, start, n, zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes())))
+                start += n
+    return Counter(out)
+
+
+def documents():
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("abcdeéf") for _ in range(rng.randrange(1, 8))) for _ in range(n))
+    line, rows = say(30), []
+    for k in range(60):
+        rows.append((k, say(rng.randrange(4, 90)) + (" " + line + " " + say(12) if k % 4 == 0 else ""), "en" if k % 2 else "fr", f"src{k % 5}", k))
+    rows += [(100 + k, rows[7][1], "en", "src1", 0) for k in range(9)] + [(200, None, "en", "src1", 1), (201, "", None, None, None), (202, " 123 ?!", "fr", "x", 2), (203, say(3000), "en", "src2", 3)]
+    rows += [rows[3]] * 4 + [(None, say(40), "en", None, None), (5, say(50), "fr", "src9", 1), (None, rows[11][1], "en", "src1", 2), (300, "\t" + rows[20][1] + "\u2003", "en", "y", None), (301, "sea <|endoftext|> hill", "en", "y", 1)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("take", [1000, 0])
+def test_pipeline_by_brute_force(spark, tmp_path, take):
+    """Null, empty and repeated rows, null and repeated ids, copies, shared lines, special strings; an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = documents()[:take]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.withColumn("extra", F.lit("x")).withColumn("row_key", F.lit(1)).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == brute_pipeline(rows)
+    room = Counter()
+    for r in got:
+        room[r["sequence_id"]] += r["length"]
+    assert all(n <= 1024 for n in room.values())
+
+
 def test_entry_without_llm(tmp_path):
     """The entry module and the rest work when the subpackage and the pipeline are gone."""
     import shutil
