@@ -1,11 +1,11 @@
 """SimHash near-duplicates (operator 2): fingerprints of word shingles, linked through sharded BK-trees.
 
-Distinct fingerprints are dealt to shards by the pigeonhole principle: of `blocks` equal parts of the 64 bits, two
-fingerprints within `radius` differing bits agree on some choice of blocks - radius parts, so every choice of parts is a
-shard key. Each shard holds a BK-tree (children keyed by their integer Hamming distance to the parent); a search follows
-only edges within the radius. A shard tree is built where its members meet, not broadcast: the number of fingerprints
-that share a key has no proven bound. Shards beyond `tree_limit` members take an exact linear path: two codes within
-two bits share a variant that differs from either in one bit at most.
+Distinct fingerprints are dealt to shards by the pigeonhole principle: of radius + 1 equal parts of the 64 bits, two
+fingerprints within `radius` differing bits agree on one at least, so every part is a shard key. A shard of more than `shard_codes`
+is dealt to shards of its own by the parts of the bits that are left, and so on, which loses no pair and bounds every shard.
+Each shard holds a BK-tree (children keyed by their integer Hamming distance to the parent); a search follows only edges
+within the radius. A shard's tree is built where its members meet and isn't broadcast: broadcasting passes through the driver,
+and fingerprints of all documents may not.
 
 Copies collapse to one fingerprint before the shuffle; links leave a shard as stars, never as all pairs.
 """
@@ -13,12 +13,12 @@ Copies collapse to one fingerprint before the shuffle; links leave a shard as st
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, islice, repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proselake.llm.common import cut, local_components
@@ -111,60 +111,60 @@ def _tree_links(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
-def _variant_links(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exact links within two bits (or one) without comparing pairs: neighbours of a common variant form a clique."""
-    n = len(codes)
-    flips = [np.uint64(0)] + ([np.uint64(1) << np.uint64(i) for i in range(64)] if radius else [])
-    keys = np.concatenate([codes ^ f for f in flips])
-    owner = np.tile(np.arange(n), len(flips))
-    if radius == 1:  # only a code itself and one flip of the other may meet
-        own = np.sort(codes)
-        hit = own[np.searchsorted(own, keys).clip(max=n - 1)] == keys
-        keys, owner = keys[hit], owner[hit]
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    same = keys[1:] == keys[:-1]
-    return owner[1:][same], owner[:-1][same]
-
-
-def _shard_stars(keys: np.ndarray, codes: np.ndarray, radius: int, tree_limit: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Star edges of whole shards; keys are sorted."""
-    src, dst = [], []
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    sizes = np.diff(np.append(starts, len(keys)))
-    two = starts[sizes == 2]  # a tree of one node and one search, for all such shards at once
-    near = np.bitwise_count(codes[two] ^ codes[two + 1]) <= radius
-    src.append(np.maximum(codes[two].view(np.int64), codes[two + 1].view(np.int64))[near])
-    dst.append(np.minimum(codes[two].view(np.int64), codes[two + 1].view(np.int64))[near])
-    for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        c = codes[s : s + n]
-        u, v = _tree_links(c, radius) if n <= tree_limit or radius > 2 else _variant_links(c, radius)
+def _shard_stars(shard: np.ndarray, codes: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Star edges of whole shards, which stand together."""
+    src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+    sizes = np.diff(np.append(starts, len(shard)))
+    for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        c = np.sort(codes[s : s + n].view(np.int64))
+        u, v = _tree_links(c.view(np.uint64), radius)
         if len(u):
-            order = np.argsort(c.view(np.int64), kind="stable")
-            place = np.empty(n, np.int64)
-            place[order] = np.arange(n)
-            label = local_components(n, place[u], place[v])
-            c = c[order].view(np.int64)
+            label = local_components(n, u, v)
             moved = label != np.arange(n)
             src.append(c[moved])
             dst.append(c[label[moved]])
     return src, dst
 
 
-def shard_links(codes: DataFrame, radius: int = 2, blocks: int = 4, tree_limit: int = 512) -> DataFrame:
+def parts(mask: int, n: int) -> list[int]:
+    """Masks that add one of n equal parts of the bits that the mask leaves out."""
+    left = [b for b in range(64) if not mask >> b & 1]
+    bounds = [len(left) * k // n for k in range(n + 1)]
+    return [mask | sum(1 << b for b in left[s:e]) for s, e in zip(bounds, bounds[1:])]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def shards(codes: DataFrame, radius: int = 2, shard_codes: int = 512, broadcast_rows: int = 100_000) -> DataFrame:
+    """(fp, mask, value): the shards of each distinct code; value are its bits under the mask. No shard has more than `shard_codes`."""
+    masks = parts(0, radius + 1)
+
+    def dealt(rows: DataFrame, of: Column) -> DataFrame:
+        return rows.select("fp", F.explode(of).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+
+    done, rest = None, dealt(codes.select("fp"), F.array(*(F.lit(_signed(m)).cast("long") for m in masks)))
+    while True:
+        large = cut(rest.groupBy("mask", "value").count().where(F.col("count") > shard_codes).select("mask", "value"))
+        n = large.count()
+        if not n:
+            return rest if done is None else done.unionByName(rest)
+        few = F.broadcast(large) if n <= broadcast_rows else large
+        small = rest.join(few, ["mask", "value"], "left_anti").select("fp", "mask", "value")
+        done = small if done is None else done.unionByName(small)
+        finer = F.create_map(*(x for m in masks for x in (F.lit(_signed(m)).cast("long"), F.array(*(F.lit(_signed(k)).cast("long") for k in parts(m, radius + 1))))))
+        rest = cut(dealt(rest.join(few, ["mask", "value"], "left_semi"), finer[F.col("mask")]).distinct())  # two ways can lead to one mask
+        masks = sorted({k for m in masks for k in parts(m, radius + 1)})
+
+
+def shard_links(codes: DataFrame, radius: int = 2, shard_codes: int = 512) -> DataFrame:
     """(src, dst) star edges that connect all distinct codes (column fp) within `radius` bits, directly or in steps."""
-    if not 0 <= radius < blocks <= 16:
-        raise ValueError("0 <= radius < blocks <= 16 is required")
-    bounds = [64 * i // blocks for i in range(blocks + 1)]
-    masks = []
-    for chosen in combinations(range(blocks), blocks - radius):
-        m = 0
-        for i in chosen:
-            m |= ((1 << (bounds[i + 1] - bounds[i])) - 1) << bounds[i]
-        masks.append(m - (1 << 64) if m >> 63 else m)
-    keyed = codes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("choice", "key"))
-    # rows of one (choice, key) stand together in one partition, next to those of other keys
-    keyed = keyed.repartition("choice", "key").sortWithinPartitions("choice", "key")
+    if not 0 <= radius <= 7 or shard_codes < 1 << (radius + 1):
+        raise ValueError("0 <= radius <= 7 and shards of 2 ** (radius + 1) codes at least are required")
+    # rows of one shard stand together in one partition, next to those of others
+    keyed = shards(codes, radius, shard_codes).repartition("mask", "value").sortWithinPartitions("mask", "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k = np.zeros((0, 2), np.int64)
@@ -173,11 +173,13 @@ def shard_links(codes: DataFrame, radius: int = 2, blocks: int = 4, tree_limit:
         def out(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(c):
                 change = np.concatenate(([False], (k[1:] != k[:-1]).any(1)))
-                s, d = _shard_stars(np.cumsum(change), c, radius, tree_limit)
+                s, d = _shard_stars(np.cumsum(change), c, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s)), pa.array(np.concatenate(d))], names=["src", "dst"])
 
         for b in batches:
-            k = np.stack([b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), b.column(2).to_numpy(zero_copy_only=False)], 1)
+            if not b.num_rows:
+                continue
+            k = np.stack([b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)], 1)
             held_k = np.concatenate([held_k, k])
             held_c = np.concatenate([held_c, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
             last = np.flatnonzero((held_k != held_k[-1]).any(1))
@@ -186,7 +188,7 @@ def shard_links(codes: DataFrame, radius: int = 2, blocks: int = 4, tree_limit:
             held_k, held_c = held_k[whole:], held_c[whole:]
         yield from out(held_k, held_c)
 
-    return keyed.select("fp", "choice", "key").mapInArrow(run, "src long, dst long")
+    return keyed.select("fp", "mask", "value").mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -59,15 +59,16 @@ def test_shingles_at_chunk_ends():
 
 
 def test_dense_shards(spark):
-    """Codes in one ball, beyond the tree's limit, against all pairs."""
+    """Codes in one ball, dealt to bounded shards, against all pairs."""
     rng = np.random.default_rng(2)
     codes = np.unique(np.concatenate([np.uint64(0xABCDEF) ^ (np.uint64(1) << rng.integers(0, 30, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 30, 300).astype(np.uint64)), rng.integers(0, 1 << 63, 200).astype(np.uint64)]))
     df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
     order = np.sort(codes.view(np.int64))
     links = [(i, j) for i in range(len(order)) for j in range(i) if int(order[i] ^ order[j]).bit_count() <= 2]
     want = brute_components(len(order), links)
-    for limit in (4, 512):
-        got = {r["node"]: r["component"] for r in connected_components(simhash.shard_links(df, tree_limit=limit)).collect()}
+    for limit in (8, 40, 512):
+        assert simhash.shards(df, shard_codes=limit).groupBy("mask", "value").count().agg(F.max("count")).first()[0] <= limit
+        got = {r["node"]: r["component"] for r in connected_components(simhash.shard_links(df, shard_codes=limit)).collect()}
         assert [got.get(int(c), int(c)) for c in order] == [int(order[w]) for w in want]
 
 
