@@ -1,10 +1,12 @@
 """Approximate nearest neighbours (operator 1): multi-index hashing over learned rotated binary codes.
 
 Codes: vectors are centred, turned onto their principal axes and by several rotations learned to make the signs fit (the
-iterative-quantization objective), one bit an axis and rotation. Each code is split into one-byte substrings, and each
+iterative-quantization objective), one bit an axis and rotation. Each code is split into substrings of 16 bits, and each
 substring has its own index. If two codes differ in at most m * (s + 1) - 1 bits, one of their m substrings differs in at
-most s bits; probing the buckets within s of the query's substrings therefore finds every code of that radius. s grows
-until enough codes are found, all codes within the radius that holds them are ranked by their original vectors.
+most s bits; probing the buckets within s of the query's substrings therefore finds every code of that radius. s grows until
+that radius holds enough codes, or, from s = 3 on, until enough codes have been probed at all: where vectors lie evenly, the
+nearest codes are far beyond the radius and most are probed all the same. The probed codes nearest by all their bits are
+ranked by their original vectors.
 
 The rotations are fitted on a bounded sample; every vector is indexed. The index is dealt to shards of bounded size, the
 queries to blocks of bounded size, and each pair of shard and block is a task of its own. Equal vectors are one entry.
@@ -13,6 +15,7 @@ queries to blocks of bounded size, and each pair of shard and block is a task of
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 
 from proselake.llm.common import cut, valid_vectors
 
-_BITS_APART = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)).astype(np.uint8)
+WIDE = 16  # bits of a substring
+_MASKS = [np.array([sum(1 << b for b in bits) for bits in combinations(range(WIDE), s)], np.int64) for s in range(WIDE + 1)]
 
 
 @dataclass
@@ -34,7 +38,7 @@ class Rotations:
         return np.packbits((x - self.mean) @ self.turns > 0, axis=1)
 
 
-def learn(sample: np.ndarray, bits: int = 256, rounds: int = 20, seed: int = 7) -> Rotations:
+def learn(sample: np.ndarray, bits: int = 768, rounds: int = 20, seed: int = 7) -> Rotations:
     rng = np.random.default_rng(seed)
     mean = sample.mean(0)
     _, _, axes = np.linalg.svd(sample - mean, full_matrices=False)
@@ -51,40 +55,45 @@ def learn(sample: np.ndarray, bits: int = 256, rounds: int = 20, seed: int = 7)
 
 
 class SubstringIndex:
-    """The shard's codes, by the value of each of their bytes."""
+    """The shard's codes, by the value of each of their substrings."""
 
     def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes
-        self.words = codes.view(np.uint64) if codes.shape[1] % 8 == 0 else None
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.starts = np.stack([np.searchsorted(codes[self.order[:, j], j], np.arange(257)) for j in range(codes.shape[1])])
-
-    def within(self, code: np.ndarray, s: int) -> np.ndarray:
-        """Codes of which a substring differs from the query's in at most s bits."""
-        hit = np.zeros(len(self.codes), bool)
-        for j in range(len(code)):
-            for b in np.flatnonzero(_BITS_APART[code[j]] <= s):
-                hit[self.order[self.starts[j, b] : self.starts[j, b + 1], j]] = True
-        return np.flatnonzero(hit)
+        if codes.shape[1] % 8:
+            raise ValueError("codes must be whole 64-bit words")
+        self.words = np.ascontiguousarray(codes).view(np.uint64)
+        parts = np.ascontiguousarray(codes).view(">u2").astype(np.int64)
+        self.order = np.argsort(parts, axis=0, kind="stable").astype(np.int32)
+        self.starts = [np.searchsorted(parts[self.order[:, j], j], np.arange((1 << WIDE) + 1)).astype(np.int32) for j in range(parts.shape[1])]
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def probe(self, code: np.ndarray, s: int, hit: np.ndarray) -> None:
+        """Mark the codes of which a substring differs from the query's in exactly s bits."""
+        for j, value in enumerate(np.ascontiguousarray(code).view(">u2").astype(np.int64).tolist()):
+            at, starts = _MASKS[s] ^ value, self.starts[j]
+            first, size = starts[at], starts[at + 1] - starts[at]
+            some = np.flatnonzero(size)
+            first, size = first[some], size[some]
+            hit[self.order[np.repeat(first - (size.cumsum() - size), size) + np.arange(size.sum()), j]] = True
 
     def distances(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
-        if self.words is not None:
-            return np.bitwise_count(self.words[at] ^ code.view(np.uint64)).sum(1, dtype=np.int64)
-        return np.bitwise_count(self.codes[at] ^ code).sum(1, dtype=np.int64)
-
-    def nearest(self, code: np.ndarray, enough: int) -> np.ndarray:
-        """All codes within the smallest radius that holds `enough` of them."""
-        m = self.codes.shape[1]
-        enough = min(enough, len(self.codes))
-        for s in range(9):
-            at = self.within(code, s) if s < 4 else np.arange(len(self.codes))  # from 4 bits of 8 on, the buckets probed hold nearly all
+        return np.bitwise_count(self.words[at] ^ np.ascontiguousarray(code).view(np.uint64)).sum(1, dtype=np.int64)
+
+    def nearest(self, code: np.ndarray, enough: int, even: int = 3) -> tuple[np.ndarray, int]:
+        """The probed codes within the smallest distance that `enough` of them have, and how many were probed."""
+        m, hit = len(self.starts), np.zeros(len(self), bool)
+        enough = min(enough, len(self))
+        for s in range(WIDE + 1):
+            self.probe(code, s, hit)
+            at = np.flatnonzero(hit)
             if len(at) < enough:
                 continue
             d = self.distances(code, at)
             radius = np.partition(d, enough - 1)[enough - 1]
-            if radius < m * (s + 1) or len(at) == len(self.codes):
-                return at[d <= radius]
-        return np.arange(len(self.codes))
+            if radius < m * (s + 1) or s >= even:
+                break
+        return at[d <= radius], len(at)
 
 
 def _rows(col) -> np.ndarray:
@@ -92,7 +101,7 @@ def _rows(col) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, sample_rows: int = 10_000, bits: int = 256, enough: int = 256, shard_rows: int = 8192, block_rows: int = 65_536) -> DataFrame:
+def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, sample_rows: int = 10_000, bits: int = 768, enough: int = 512, shard_rows: int = 65_536, block_rows: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which the column `is_query` holds.
 
     Nearest first by Euclidean distance in double precision; ties go to smaller ids. Rows that are null, zero or hold null or
@@ -127,7 +136,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
             tables = SubstringIndex(model.codes(x))
             q = _rows(queries["asked"])
             for key, v, code in zip(queries["key"].to_pylist(), q, model.codes(q)):
-                at = tables.nearest(code, enough)
+                at, _ = tables.nearest(code, enough)
                 d = np.sqrt(((x[at] - v) ** 2).sum(1))
                 if len(d) > k + 1:
                     far = np.partition(d, k)[k]

@@ -59,16 +59,40 @@ def test_few_candidates(spark):
 
 
 def test_radius_is_whole():
+    """Probing finds every code of its radius, and the radius that holds enough of them where that is within it."""
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 256, (500, 8), dtype=np.uint8)
+    codes = rng.integers(0, 256, (500, 16), dtype=np.uint8)
+    q = rng.integers(0, 256, 16, dtype=np.uint8)
+    for k in range(60):  # some near the query
+        codes[k] = q ^ np.packbits(rng.permutation(np.arange(128) < k // 2))
     index = hash_index.SubstringIndex(codes)
-    q = rng.integers(0, 256, 8, dtype=np.uint8)
     d = np.bitwise_count(codes ^ q).sum(1)
-    for s in (0, 1, 2):
-        assert set(np.flatnonzero(d < 8 * (s + 1))) <= set(index.within(q, s))
-    for enough in (1, 7, 100, 500):
-        radius = np.sort(d)[enough - 1]
-        assert set(index.nearest(q, enough)) == set(np.flatnonzero(d <= radius))
+    hit = np.zeros(500, bool)
+    for s in range(4):
+        index.probe(q, s, hit)
+        assert set(np.flatnonzero(d < 8 * (s + 1))) <= set(np.flatnonzero(hit))
+        parts = np.bitwise_count((codes ^ q).view(">u2").astype(np.uint16))
+        assert set(np.flatnonzero(hit)) == set(np.flatnonzero((parts <= s).any(1)))
+    for enough in (1, 7, 40):
+        at, probed = index.nearest(q, enough)
+        assert set(at) == set(np.flatnonzero(d <= np.sort(d)[enough - 1])) and probed < 400
+    at, probed = index.nearest(q, 500)
+    assert len(at) == probed == 500
+
+
+def test_probing_prunes_clusters():
+    """Few codes are probed where queries have near neighbours, and they are found."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((200, 64))
+    x = centres[np.arange(20_000) % 200] + rng.standard_normal((20_000, 64)) * 0.15
+    model = hash_index.learn(x[:5000])
+    index, shares, hits = hash_index.SubstringIndex(model.codes(x)), [], 0
+    for k in range(0, 20_000, 500):
+        at, probed = index.nearest(model.codes(x[k : k + 1])[0], 100)
+        shares.append(probed / len(x))
+        near = np.argsort(((x - x[k]) ** 2).sum(1))[:11]
+        hits += len(set(near) & set(at))
+    assert np.mean(shares) < 0.1 and hits >= 0.95 * 11 * 40
 
 
 def brute(rows, least=0.93):
