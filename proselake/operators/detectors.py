@@ -36,49 +36,49 @@ def opening_monotony(df: DataFrame, unit: str = "doc_id", text_col: str = "text"
 
 
 def repeated_phrases(messages: DataFrame, unit: str = "conv_id", order: str = "turn", text_col: str = "text", min_n: int = 2, max_n: int = 5, least_messages: int = 2, least_content: int = 2, in_last: bool = True, stopwords=lexicon.STOPWORDS) -> DataFrame:
-    """Word runs that recur in several messages of a unit: unit, gram, phrase, n_messages, messages (their places)."""
-    place = F.row_number().over(Window.partitionBy(unit).orderBy(order)) - 1
-    m = messages.select(unit, place.alias("msg"), F.count(F.lit(1)).over(Window.partitionBy(unit)).alias("total"), text_col).where(F.col("total") >= least_messages)
-    s = m.select(unit, "msg", "total", F.explode(T.sentences(text_col)).alias("sentence")).withColumn("t", T.tokens("sentence"))
+    """Word runs that recur in several messages of a unit: unit, gram, phrase, n_messages, messages (their places in `order`)."""
+    s = messages.select(unit, F.col(order).alias("msg"), F.explode(T.sentences(text_col)).alias("sentence")).withColumn("t", T.tokens("sentence"))
     grams = F.array_distinct(F.flatten(F.array(*(T.joined_ngrams(F.col("t"), n) for n in range(min_n, max_n + 1)))))
-    g = s.select(unit, "msg", "total", F.explode(grams).alias("phrase"))
-    found = g.groupBy(unit, "total", "phrase").agg(F.sort_array(F.collect_set("msg")).alias("messages"))
+    g = s.select(unit, "msg", F.explode(grams).alias("phrase"))
+    found = g.groupBy(unit, "phrase").agg(F.sort_array(F.collect_set("msg")).alias("messages"))
     found = found.where(F.size("messages") >= least_messages).withColumn("gram", F.split("phrase", " ")).where(T.content_words(F.col("gram"), stopwords) >= least_content)
     if in_last:
-        found = found.where(F.element_at("messages", -1) == F.col("total") - 1)
+        last = messages.groupBy(unit).agg(F.max(order).alias("last"))
+        found = found.join(last, unit).where(F.element_at("messages", -1) == F.col("last"))
     return found.select(unit, "gram", "phrase", F.size("messages").alias("n_messages"), "messages")
 
 
-def chains(a: Column, b: Column, stopwords=lexicon.STOPWORDS) -> Column:
-    """Whether a run with a content word ends one gram and begins the other."""
-
-    def joint(x: Column, y: Column) -> Column:
-        most = F.least(F.size(x), F.size(y)) - 1
-        ks = F.when(most >= 1, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-        return F.exists(ks, lambda k: (F.slice(x, F.size(x) - k + 1, k) == F.slice(y, 1, k)) & (T.content_words(F.slice(y, 1, k), stopwords) > 0))
-
-    return joint(a, b) | joint(b, a)
+def _runs(gram: Column, least: int, most: Column) -> Column:
+    """All runs of a gram of `least` to `most` words."""
+    sizes = F.when(most >= least, F.sequence(F.lit(least), most)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(gram) - n + 1), lambda i: F.array_join(F.slice(gram, i, n), " ")))))
 
 
 def distinct_phrases(phrases: DataFrame, unit: str = "conv_id", stopwords=lexicon.STOPWORDS) -> DataFrame:
     """Phrases that restate no other of their unit.
 
     Of a phrase and one that contains it, the longer stays if both have the same messages, else the shorter; of two that
-    chain head to tail over the same messages, the better ranked: more messages, more words, first in the alphabet.
+    chain head to tail over the same messages, with a content word where they meet, the better ranked: more words, then first
+    in the alphabet. Phrases meet by the runs that they contain and by those that end the one and begin the other.
     """
-    a = phrases.select(unit, *(F.col(c).alias(f"a_{c}") for c in ("gram", "phrase", "n_messages", "messages")))
-    b = phrases.select(F.col(unit).alias("b_unit"), *(F.col(c).alias(f"b_{c}") for c in ("gram", "phrase", "n_messages", "messages")))
-    pair = a.join(b, (F.col(unit) == F.col("b_unit")) & (F.col("a_phrase") != F.col("b_phrase")))
-    same = F.col("a_messages") == F.col("b_messages")
-    padded = {x: F.concat(F.lit(" "), F.col(f"{x}_phrase"), F.lit(" ")) for x in "ab"}  # words hold no spaces, so a run of words is a substring
-    a_in_b = (F.size("a_gram") < F.size("b_gram")) & F.contains(padded["b"], padded["a"])
-    b_in_a = (F.size("b_gram") < F.size("a_gram")) & F.contains(padded["a"], padded["b"])
-    a_worse = (F.col("a_n_messages") < F.col("b_n_messages")) | (
-        (F.col("a_n_messages") == F.col("b_n_messages")) & ((F.size("a_gram") < F.size("b_gram")) | ((F.size("a_gram") == F.size("b_gram")) & (F.col("a_phrase") > F.col("b_phrase"))))
-    )
-    loses = (a_in_b & same) | (b_in_a & ~same) | (same & a_worse & ~a_in_b & ~b_in_a & chains(F.col("a_gram"), F.col("b_gram"), stopwords))  # the costly test last
-    gone = pair.where(loses).select(unit, F.col("a_phrase").alias("phrase")).distinct()
-    return phrases.join(gone, [unit, "phrase"], "left_anti")
+    p = phrases.select(unit, "gram", "phrase", "messages")
+    size = F.size("gram")
+    inner = p.select(unit, F.explode(_runs(F.col("gram"), 1, size - 1)).alias("phrase"), F.col("phrase").alias("long"), F.col("messages").alias("long_messages"))
+    nested = inner.join(p, [unit, "phrase"]).withColumn("same", F.col("messages") == F.col("long_messages"))
+    contained = nested.select(unit, F.when(F.col("same"), F.col("phrase")).otherwise(F.col("long")).alias("phrase"))
+
+    def ends(of) -> Column:
+        cuts = F.when(size >= 2, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
+        return F.explode(F.filter(F.transform(cuts, of), lambda x: T.content_words(x, stopwords) > 0))
+
+    tails = p.select(unit, "messages", ends(lambda k: F.slice("gram", size - k + 1, k)).alias("joint"), F.col("phrase").alias("a"), size.alias("a_size"))
+    heads = p.select(unit, "messages", ends(lambda k: F.slice("gram", F.lit(1), k)).alias("joint"), F.col("phrase").alias("b"), size.alias("b_size"))
+    meet = tails.join(heads, [unit, "messages", "joint"]).where("a != b")
+    padded = {x: F.concat(F.lit(" "), F.col(x), F.lit(" ")) for x in "ab"}  # words hold no spaces, so a run of words is a substring
+    meet = meet.where(~F.contains(padded["b"], padded["a"]) & ~F.contains(padded["a"], padded["b"]))
+    a_worse = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a") > F.col("b")))
+    chained = meet.select(unit, F.when(a_worse, F.col("a")).otherwise(F.col("b")).alias("phrase"))
+    return phrases.join(contained.unionByName(chained).distinct(), [unit, "phrase"], "left_anti")
 
 
 def ranked_phrases(phrases: DataFrame, unit: str = "conv_id") -> DataFrame:
@@ -88,8 +88,9 @@ def ranked_phrases(phrases: DataFrame, unit: str = "conv_id") -> DataFrame:
 
 def two_pass_phrases(messages: DataFrame, unit: str = "conv_id", short_messages: int = 3, long_messages: int = 2, **how) -> DataFrame:
     """Two-word phrases in more messages and longer ones in fewer, each pass and then both freed of restatements."""
-    short = distinct_phrases(repeated_phrases(messages, unit, min_n=2, max_n=2, least_messages=short_messages, **how), unit)
-    long = distinct_phrases(repeated_phrases(messages, unit, min_n=3, max_n=5, least_messages=long_messages, **how), unit)
+    every = repeated_phrases(messages, unit, min_n=2, max_n=5, least_messages=min(short_messages, long_messages), **how)
+    short = distinct_phrases(every.where((F.size("gram") == 2) & (F.col("n_messages") >= short_messages)), unit)
+    long = distinct_phrases(every.where((F.size("gram") > 2) & (F.col("n_messages") >= long_messages)), unit)
     return distinct_phrases(short.unionByName(long), unit)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from proselake.functions import lexicon
 from proselake.functions import text as T
 from proselake.operators import audit, detectors, grammar, markup
+from proselake.plans import grammar_sql as S
 from proselake.plans.registry import exploded_, grams_, narration_, paragraphs_, query, sentences_, strip_, table, tokens_, words
 
 #: A neutral lexicon and a bank of frequent word runs of the test documents.
@@ -70,7 +71,7 @@ def questions(spark, d):
     return s.groupBy("doc_id").agg(F.count_if(T.ends_with_question("sentence")).alias("n_questions"))
 
 
-@query()
+@query(f"WITH st AS {STYLED}, {S.spans_('st')} SELECT doc_id, type, count(*) AS n, CAST(sum(length(body)) AS BIGINT) AS chars FROM spans GROUP BY ALL")
 def styled_blocks(spark, d):
     b = grammar.blocks(styled(table(spark, d, "documents")))
     return b.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
@@ -190,19 +191,52 @@ def cliche_trigram(spark, d):
     return h.select("doc_id", F.col("i").cast("long").alias("i"), "phrase", F.round("score", 8).alias("score"))
 
 
-@query()
+def hits_sql(source: str, unit: str, threshold: float) -> str:
+    """WITH-clauses that end in `hits` (unit, i, sentence, grp, phrase, score): the best variant of each group of BANK."""
+    bridged = r"""[.!?]["”’''*_)\]]*(\s|[A-Z])"""
+    return rf"""hs AS ({exploded_(unit, sentences_('text'), source)}), ht AS (SELECT *, {tokens_('sentence', "[a-z0-9]+(?:''[a-z]+)?")} AS t FROM hs),
+hj AS (SELECT *, array_to_string(t,' ') AS j, {_OWN} AS own, {strip_("regexp_extract(sentence,'(?i)(" + BANK[3]['pattern'] + ")',1)")} AS m FROM ht),
+hv AS (SELECT *, CASE WHEN list_has_any(own,{_ANY}) THEN {_trigram_sql(BANK[2][0])} ELSE 0 END AS a, CASE WHEN list_has_any(own,{_ANY}) THEN {_trigram_sql(BANK[2][1])} ELSE 0 END AS b FROM hj),
+hits AS (SELECT {unit}, i, sentence, 0 AS grp, CASE WHEN contains(j,'the the') THEN 'the the' ELSE 'of the and' END AS phrase, CAST(1 AS DOUBLE) AS score FROM hv WHERE contains(j,'the the') OR contains(j,'of the and')
+UNION ALL SELECT {unit}, i, sentence, 1, 'and', 1 FROM hv WHERE regexp_matches(lower(sentence), '(^|[^\p{{L}}\p{{N}}_])and($|[^\p{{L}}\p{{N}}_])')
+UNION ALL SELECT {unit}, i, sentence, 2, CASE WHEN b>a THEN '{BANK[2][1]}' ELSE '{BANK[2][0]}' END, greatest(a,b) FROM hv WHERE greatest(a,b)>={threshold}
+UNION ALL SELECT {unit}, i, sentence, 3, m, 1 FROM hv WHERE m<>'' AND NOT regexp_matches(m,'{bridged}'))"""
+
+
+@query(f"WITH {hits_sql('documents', 'doc_id', 0.4)} SELECT doc_id, CAST(i AS INT) AS i, sentence, grp, phrase, round(score,8) AS score FROM ({S.distinct_hits_('hits')})")
 def cliche_hits(spark, d):
-    return detectors.distinct_hits(detectors.cliches(table(spark, d, "documents"), BANK))
+    return detectors.distinct_hits(detectors.cliches(table(spark, d, "documents"), BANK)).withColumn("score", F.round("score", 8))
 
 
-@query()
+def told_templates(t, unit):
+    """Flat columns of the clusters of a text."""
+    lines = F.array_join(F.transform("flagged", lambda f: F.concat(f["template"], F.lit(":"), f["n"].cast("string"))), "|")
+    return t.select(unit, F.col("unique_templates").cast("long").alias("unique_templates"), F.size("flagged").cast("long").alias("n_flagged"), F.round("score", 8).alias("score"), F.md5(lines).alias("digest"))
+
+
+def told_templates_sql(source: str, unit: str, most: int, flag: int, similarity: float) -> str:
+    return f"""WITH RECURSIVE {S.templates_(source, unit, most, flag, similarity)}, c AS (SELECT {unit}, count(*) AS u, sum(CASE WHEN n>={flag} THEN 1 ELSE 0 END) AS f, sum(CASE WHEN n>=2 THEN n ELSE 0 END) AS again,
+string_agg(CASE WHEN n>={flag} THEN template||':'||n END, '|' ORDER BY n DESC, cluster) AS lines FROM clusters GROUP BY {unit})
+SELECT d.{unit}, coalesce(u,0) AS unique_templates, CAST(coalesce(f,0) AS BIGINT) AS n_flagged, round(coalesce(again/total,0),8) AS score, md5(coalesce(lines,'')) AS digest FROM {source} d LEFT JOIN told USING ({unit}) LEFT JOIN c USING ({unit})"""
+
+
+@query(told_templates_sql("documents", "doc_id", 3, 3, 0.5))
 def template_repetition(spark, d):
-    return grammar.templates(table(spark, d, "documents"))
+    return told_templates(grammar.templates(table(spark, d, "documents")), "doc_id")
 
 
-@query()
+_ANSWERS = "answers AS (SELECT conv_id, turn, coalesce(text,'') AS text FROM conversations WHERE role='assistant')"
+_STRUCTURES = f"""{_ANSWERS}, {S.signatures_('answers', 'conv_id', 'turn')}, {S.alike_signatures_('conv_id', 'turn')},
+kinds AS (SELECT conv_id, count(DISTINCT string_split(part,':')[1]) AS kinds FROM (SELECT conv_id, unnest(sig) AS part FROM signatures) GROUP BY conv_id),
+shortest AS (SELECT conv_id, min(len(sig)) AS parts FROM signatures GROUP BY conv_id),
+spread AS (SELECT conv_id, min(ratio) AS least, avg(ratio) AS mean FROM ratios GROUP BY conv_id),
+structures AS (SELECT conv_id, coalesce(least>=0.75 AND kinds>=2, false) AS repetitive, coalesce(least,0) AS least, coalesce(mean,0) AS mean, parts FROM (SELECT DISTINCT conv_id FROM answers) LEFT JOIN spread USING (conv_id) LEFT JOIN kinds USING (conv_id) LEFT JOIN shortest USING (conv_id))"""
+
+
+@query(f"WITH RECURSIVE {_STRUCTURES} SELECT conv_id, repetitive, round(least,8) AS least, round(mean,8) AS mean, CAST(CASE WHEN repetitive THEN parts ELSE 0 END AS INT) AS n_parts FROM structures")
 def structural_repetition(spark, d):
-    return grammar.structures(table(spark, d, "conversations").where("role = 'assistant'"))
+    s = grammar.structures(table(spark, d, "conversations").where("role = 'assistant'"))
+    return s.select("conv_id", "repetitive", F.round("least", 8).alias("least"), F.round("mean", 8).alias("mean"), F.size("skeleton").alias("n_parts"))
 
 
 @query(rf"""WITH st AS {STYLED}, s AS ({exploded_('doc_id', sentences_('text'), 'st')})
@@ -212,19 +246,40 @@ def contrast_counts(spark, d):
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.every("is_parallel").alias("parallel"))
 
 
-@query()
+@query(f"WITH st AS {STYLED}, {S.contrasts_('st')} SELECT doc_id, CAST(i AS INT) AS i, sentence, x_template, y_template, is_parallel FROM contrasts")
 def contrastive_negation(spark, d):
     return grammar.contrasts(styled(table(spark, d, "documents")))
 
 
-@query()
+@query(f"""WITH st AS {STYLED}, pairs AS (SELECT a.doc_id, a.text, 'I said "'||b.text||'"' AS said FROM st a JOIN st b ON b.doc_id+1=a.doc_id), {S.echoes_('pairs', 'doc_id')}
+SELECT doc_id, echo, matched_phrase, CAST(n_words AS INT) AS n_words FROM echoes""")
 def anti_echo(spark, d):
     docs = styled(table(spark, d, "documents"))
     said = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.concat(F.lit('I said "'), F.col("text"), F.lit('"')).alias("said"))
     return grammar.echoes(docs.join(said, "doc_id"), "doc_id", "text", "said")
 
 
-@query()
+_TURNS = f"ms AS (SELECT CAST(floor(doc_id/8) AS BIGINT) AS conv_id, doc_id%8 AS turn, text FROM {STYLED})"
+
+
+@query(f"WITH st AS {STYLED}, {S.styles_('st', 'doc_id')} SELECT doc_id, dialogue, narration FROM styles")
+def message_styles(spark, d):
+    return markup.styles(styled(table(spark, d, "documents"))).select("doc_id", "dialogue", "narration")
+
+
+_BASELINES = rf"""{_TURNS}, {S.styles_('ms', 'conv_id, turn')},
+b AS (SELECT m.conv_id, m.turn, m.text, s.dialogue AS sd, s.narration AS sn, count(*) OVER w AS earlier, coalesce(list(CASE WHEN regexp_matches(coalesce(m.text,''),'\S') THEN s.dialogue ELSE 'unknown' END) OVER w, []) AS ds,
+ coalesce(list(CASE WHEN regexp_matches(coalesce(m.text,''),'\S') THEN s.narration ELSE 'unknown' END) OVER w, []) AS ns FROM ms m JOIN styles s USING (conv_id, turn) WINDOW w AS (PARTITION BY m.conv_id ORDER BY m.turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+baselines AS (SELECT *, {S.settled_('ds')} AS td, {S.settled_('ns')} AS tn FROM b)"""
+
+
+@query(rf"""WITH {_BASELINES},
+g AS (SELECT *, CASE WHEN sd='quoted' OR (td='quoted' AND tn='asterisk' AND sn='asterisk') THEN 'quoted' ELSE sd END AS dialogue FROM baselines),
+p AS (SELECT *, CASE WHEN td<>'unknown' AND dialogue<>'unknown' AND td<>dialogue THEN td END AS say, CASE WHEN tn<>'unknown' AND sn<>'unknown' AND NOT (tn='asterisk' AND dialogue<>'quoted') THEN tn END AS tell FROM g),
+{S.rewritten_('p', 'conv_id, turn')},
+z AS (SELECT p.*, CASE WHEN say IS NULL AND tell IS NULL THEN text ELSE new_text END AS made FROM p LEFT JOIN rewritten USING (conv_id, turn)),
+y AS (SELECT *, CASE WHEN NOT regexp_matches(coalesce(text,''),'\S') OR earlier=0 THEN 'no baseline' WHEN td='unknown' AND tn='unknown' THEN 'baseline unstable' END AS why FROM z)
+SELECT conv_id, turn, md5(CASE WHEN why IS NULL THEN made ELSE text END) AS digest, why IS NULL AND made<>text AS changed, coalesce(why, CASE WHEN made<>text THEN 'normalized' ELSE 'already consistent' END) AS note FROM y""")
 def format_normalize(spark, d):
     s = styled(table(spark, d, "documents")).withColumn("turn", F.col("doc_id") % 8).withColumn("conv_id", F.floor(F.col("doc_id") / 8))
     n = markup.normalize_to_baseline(s)
