@@ -286,14 +286,48 @@ def format_normalize(spark, d):
     return n.select("conv_id", "turn", F.md5("new_text").alias("digest"), "changed", "note")
 
 
-@query()
+def _distinct_sql(name: str, source: str) -> str:
+    return f"""{name}_gone AS (SELECT DISTINCT a.conv_id, a.phrase FROM {source} a JOIN {source} b ON a.conv_id=b.conv_id AND a.phrase<>b.phrase
+WHERE ({_AB} AND a.messages=b.messages) OR ({_BA} AND a.messages<>b.messages) OR (NOT {_AB} AND NOT {_BA} AND a.messages=b.messages AND {_CHAINS} AND {_WORSE})),
+{name} AS (SELECT x.* FROM {source} x ANTI JOIN {name}_gone USING (conv_id, phrase))"""
+
+
+def two_pass_sql(short: int, long: int) -> str:
+    """WITH-clauses that end in `phrases` (conv_id, phrase, gram, messages): pairs in `short` messages, longer runs in `long`, without restatements."""
+    return f"""pt AS (SELECT conv_id, msg, total, {tokens_('sentence')} AS t FROM (SELECT conv_id, msg, total, unnest({sentences_('text')}) AS sentence FROM {ASSISTANT} a)),
+pg AS (SELECT DISTINCT conv_id, msg, total, unnest(list_concat({grams_('t', 2)},{grams_('t', 3)},{grams_('t', 4)},{grams_('t', 5)})) AS phrase FROM pt),
+pe AS (SELECT conv_id, phrase, string_split(phrase,' ') AS gram, messages FROM (SELECT conv_id, phrase, total, list_sort(list(msg)) AS messages FROM pg GROUP BY ALL)
+ WHERE messages[-1]=total-1 AND len(list_filter(string_split(phrase,' '), lambda w: NOT list_contains({STOP}, w)))>=2),
+p_short AS (SELECT * FROM pe WHERE len(gram)=2 AND len(messages)>={short}), p_long AS (SELECT * FROM pe WHERE len(gram)>2 AND len(messages)>={long}),
+{_distinct_sql('own_short', 'p_short')}, {_distinct_sql('own_long', 'p_long')}, p_both AS (SELECT * FROM own_short UNION ALL SELECT * FROM own_long), {_distinct_sql('phrases', 'p_both')}"""
+
+
+_CONVS = "convs AS (SELECT conv_id, string_agg(coalesce(text,''), chr(10)||chr(10) ORDER BY turn) AS text FROM conversations WHERE role='assistant' GROUP BY conv_id)"
+_OPENERS = f"""os AS ({exploded_('conv_id', narration_('text'), 'convs')}), oo AS (SELECT conv_id, i, {tokens_('sentence')}[1] AS opener FROM os),
+og AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, opener ORDER BY i) AS island FROM oo), orun AS (SELECT conv_id, opener, island, count(*) AS n FROM og WHERE opener IS NOT NULL GROUP BY ALL),
+openers AS (SELECT conv_id, opener, max(n) AS run FROM orun GROUP BY ALL HAVING max(n)>=4)"""
+_LAST = """lm AS (SELECT conv_id, turn, role, text, CASE WHEN lag(role) OVER w='user' THEN lag(text) OVER w END AS said FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+lasts AS (SELECT conv_id, text, said FROM lm WHERE role='assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)=1)"""
+
+
+def _each(scanner: str, source: str, what: str = "count(*)") -> str:
+    return f"SELECT conv_id, '{scanner}' AS scanner, {what} AS n FROM {source} GROUP BY conv_id"
+
+
+@query(f"""WITH RECURSIVE {_CONVS}, {hits_sql('convs', 'conv_id', 0.25)}, {_OPENERS}, {S.templates_('convs', 'conv_id', 8, 2, 0.5)}, {S.contrasts_('convs', 'conv_id')}, {two_pass_sql(3, 2)}, {_STRUCTURES}, {_LAST}, {S.echoes_('lasts', 'conv_id')},
+found AS ({_each('cliches', 'hits', 'count(DISTINCT i)')} UNION ALL {_each('openers', 'openers')} UNION ALL {_each('templates', 'clusters WHERE n>=2')} UNION ALL {_each('contrasts', 'contrasts')}
+ UNION ALL {_each('phrases', 'phrases')} UNION ALL {_each('structure', 'structures WHERE repetitive')} UNION ALL {_each('echoes', 'echoes')}),
+wide AS (SELECT conv_id, {', '.join(f"CAST(coalesce(sum(n) FILTER (WHERE scanner='{s}'),0) AS BIGINT) AS {s}" for s in audit.SCANNERS)} FROM convs LEFT JOIN found USING (conv_id) GROUP BY conv_id)
+SELECT *, {'+'.join(audit.SCANNERS)} AS total_issues, {'+'.join(audit.SCANNERS)}=0 AS is_clean FROM wide""")
 def audit_summary(spark, d):
     return audit.summary(table(spark, d, "conversations"), BANK)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CONVS}, {S.templates_('convs', 'conv_id', 8, 2, 0.5)}, {two_pass_sql(2, 2)}, {_STRUCTURES},
+found AS (SELECT (SELECT count(*) FROM clusters WHERE n>=2) + (SELECT count(*) FROM phrases) + (SELECT count(*) FROM structures WHERE repetitive) AS issues, (SELECT CAST(sum(len({sentences_('text')})) AS BIGINT) FROM conversations WHERE role='assistant') AS sentences)
+SELECT issues, sentences, round(issues/sentences,8) AS density FROM found""")
 def audit_density(spark, d):
-    return audit.density(table(spark, d, "conversations"))
+    return audit.density(table(spark, d, "conversations")).withColumn("density", F.round("density", 8))
 
 
 @query()
