@@ -129,10 +129,10 @@ def remaining(seeds: DataFrame, kept: DataFrame, attempted: DataFrame, key: str
 
 
 def new_rows(rows: DataFrame, existing: DataFrame, text_col: str = "text", order: list[str] | None = None) -> DataFrame:
-    """First rows of each stripped lower-case text that `existing` lacks."""
+    """First rows of each stripped lower-case text that `existing` lacks. A frequent text meets in no task."""
     key = F.lower(T.strip(text_col))
-    first = rows.withColumn("_key", key).withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*(order or [text_col])))).where("_n = 1")
-    return first.join(existing.select(key.alias("_key")).distinct(), "_key", "left_anti").drop("_key", "_n")
+    first = rows.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*rows.columns), F.struct(*(order or [text_col]))).alias("_r")).where("_key IS NOT NULL")
+    return first.join(existing.select(key.alias("_key")).distinct(), "_key", "left_anti").select("_r.*")
 
 
 def class_distribution(rows: DataFrame, label: str = "label") -> DataFrame:

@@ -43,8 +43,16 @@ def call_ok(reply: Column, tool: Column, args: Column, contains: Column) -> Colu
     return F.when(tool.isNull(), name.isNull()).otherwise(F.coalesce(good, F.lit(False)))
 
 
+def require_same(scenarios: DataFrame, base: DataFrame, edited: DataFrame, key: str = "id") -> None:
+    """Both dumps must answer every scenario."""
+    both = base.select(key).join(edited.select(key), key, "left_semi")
+    missing = [r[key] for r in scenarios.select(key).join(both, key, "left_anti").orderBy(key).limit(20).collect()]
+    if missing:
+        raise ValueError(f"stale dumps, without {', '.join(map(str, missing))}")
+
+
 def regressions(base: DataFrame, edited: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that were right and no longer are; keys that `edited` lacks count as wrong."""
+    """Keys that were right and no longer are; keys that `edited` lacks count as wrong (see require_same)."""
     e = edited.select(*keys, F.col("ok").alias("ok_edited"))
     return base.join(e, keys, "left").where(F.col("ok") & ~F.coalesce("ok_edited", F.lit(False))).select(*keys)
 

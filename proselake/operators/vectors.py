@@ -84,6 +84,27 @@ def norms_restored(removed: DataFrame, reference: str = "val") -> DataFrame:
     return removed.join(by, "col").select("row", "col", "val", (F.col("new") * F.col("ref") / F.greatest("own", F.lit(1e-8))).alias("new"))
 
 
+def edited_matrix(matrix: DataFrame, specs: DataFrame) -> DataFrame:
+    """(row, col, val, new): rank-one removal of all specs (spec, row, d, weight, keeps), read from the original, in one pass.
+
+    Columns keep the length that they have after the removals of the specs that don't keep it; if no spec does, none is scaled.
+    """
+    every = rank_one_removed(matrix, specs.drop("keeps"))
+    loose = rank_one_removed(matrix, specs.where("NOT keeps").drop("keeps")).select("row", "col", F.col("new").alias("loose"))
+    some = specs.where("keeps").select(F.lit(True).alias("_some")).limit(1)
+    joined = every.join(loose, ["row", "col"])
+    scaled = norms_restored(joined, "loose").select("row", "col", F.col("new").alias("scaled"))
+    r = every.join(scaled, ["row", "col"]).join(F.broadcast(some), how="left")  # one row at most
+    return r.select("row", "col", "val", F.when(F.col("_some"), F.col("scaled")).otherwise(F.col("new")).alias("new"))
+
+
+def confound_report(layers: DataFrame, n: int, low: float = 0.15, high: float = 0.85) -> DataFrame:
+    """One row from (layer, cosine, correlation, survival) of n layers: the extremes of the middle of the stack and three gates."""
+    mid = layers.where(F.col("layer").between(int(low * n), int(high * n)))
+    r = mid.agg(F.max(F.abs("cosine")).alias("cosine"), F.max(F.abs("correlation")).alias("correlation"), F.min("survival").alias("survival"))
+    return r.select("*", (F.col("cosine") < 0.2).alias("skips_projection"), (F.col("correlation") > 0.4).alias("needs_data"), (F.col("survival") < 0.5).alias("under_ablates"))
+
+
 def mean_pooled(tokens: DataFrame, keys: list[str], vec_col: str = "embedding", mask: str | None = None) -> DataFrame:
     """(keys, dim, x): mean of the tokens' vectors, of those under the mask only; 0 where the mask leaves none."""
     weight = F.lit(1.0) if mask is None else F.col(mask).cast("double")

@@ -20,7 +20,7 @@ _FIRST = "row_number() OVER (PARTITION BY {k} ORDER BY prio, idx)=1"
 _BUILD = f"""s AS (SELECT s.sentence AS text, d.source, d.doc_id, d.lang, s.doc_id*100000+s.i AS idx FROM {_ROWS} s JOIN documents d USING (doc_id)),
 pool AS (SELECT text, 0 AS label, 0 AS prio, idx, doc_id FROM s WHERE lang='de' UNION ALL SELECT text, 1, 1, idx, doc_id FROM s WHERE lang='en'),
 p AS (SELECT *, {key_('text')} AS key FROM pool WHERE {_OK} QUALIFY {_FIRST.format(k=key_('text'))}),
-human AS (SELECT text, 0 AS prio, idx, doc_id FROM s WHERE lang IN ('fr','en') AND doc_id%2=0),
+human AS (SELECT text, 0 AS prio, idx, doc_id FROM s WHERE lang IN ('fr','en')),
 h AS (SELECT *, {key_('text')} AS key FROM human WHERE {_OK} QUALIFY {_FIRST.format(k=key_('text'))}),
 a AS (SELECT key, label, CASE WHEN prio=0 THEN 'de_' ELSE 'en_' END||substr(md5(key),1,12) AS g, true AS pool FROM p UNION ALL SELECT key, 0, 'human_'||substr(md5(key),1,12), false FROM h WHERE key NOT IN (SELECT key FROM p)),
 o AS (SELECT md5(key) AS key, label, g AS group_id, CASE WHEN pool THEN CASE WHEN {horner("md5('val:'||g)", 4, 1000)}<150 THEN 'val' ELSE 'train' END ELSE CASE WHEN {horner("md5('test:'||g)", 4, 1000)}<500 THEN 'test' ELSE 'calibration' END END AS split FROM a)"""
@@ -36,7 +36,7 @@ def _sentences(spark, d):
 def dataset_build(spark, d):
     s = _sentences(spark, d)
     pool = D.pool([B.grouped(s.where("lang = 'de'"), "de", label=0), B.grouped(s.where("lang = 'en'"), "en", label=1)])
-    human = D.pool([B.grouped(s.where("lang IN ('fr', 'en') AND doc_id % 2 = 0"), "human", label=0)])
+    human = D.pool([B.grouped(s.where("lang IN ('fr', 'en')"), "human", label=0)])
     return B.splits(pool, human).select(F.md5(T.dedup_key("text")).alias("key"), "label", "group_id", "split")
 
 

@@ -309,9 +309,11 @@ def bench_delta(spark, d):
     return G.benchmark_delta(base, edited, leaves).withColumn("delta", F.round("delta", 8))
 
 
-@query("SELECT item_id, position(' ' IN w)=0 AND position(',' IN w)=0 AS single FROM (SELECT item_id, substr(text,1,12) AS w FROM benchmark)")
+@query(r"SELECT item_id, position(' ' IN text)=0 AND position(',' IN text)=0 AS single, len(list_filter(string_split_regex(text,'\s+'), lambda w: position(',' IN w)=0)) AS n_single FROM benchmark")
 def single_words(spark, d):
-    return table(spark, d, "benchmark").select("item_id", G.single_word(F.substring("text", 1, 12)).alias("single"))
+    """Whether an item is a single-word answer, and how many of its words would be one."""
+    words = F.filter(F.split("text", r"\s+"), G.single_word)
+    return table(spark, d, "benchmark").select("item_id", G.single_word(F.col("text")).alias("single"), F.size(words).cast("long").alias("n_single"))
 
 
 # ---- objective ----

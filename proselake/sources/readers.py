@@ -27,6 +27,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = LABELLED) -> DataFr
     return spark.read.schema(schema).json(path)
 
 
+def read_labels(spark: SparkSession, path: str, schema: str = LABELLED) -> tuple[DataFrame, DataFrame]:
+    """The labelled rows of a file, and their labels alone."""
+    rows = read_jsonl(spark, path, schema)
+    return rows, rows.select("label")
+
+
 def read_seeds(spark: SparkSession, folder: str) -> DataFrame:
     """(source, sentence) of all *.txt in order of files and lines, the first of equal lower-cased lines."""
     files = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
@@ -41,11 +47,11 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """All *_pairs.jsonl of a folder, with the file's name as `file`."""
+    """All *_pairs.jsonl of a folder, with what stands before _pairs in the file's name as `file`."""
     path = f"{folder}/*_pairs.jsonl"
     if not exists(spark, path):
         return spark.createDataFrame([], PAIR + ", file string")
-    return spark.read.schema(PAIR).json(path).withColumn("file", F.col("_metadata.file_name"))
+    return spark.read.schema(PAIR).json(path).withColumn("file", F.regexp_extract("_metadata.file_path", r"([^/]+)_pairs\.jsonl", 1))
 
 
 def read_scenarios(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -110,7 +116,21 @@ def append_new(rows: DataFrame, path: str, text_col: str = "text") -> None:
     write_jsonl(new_rows(rows, read_jsonl(rows.sparkSession, path), text_col), path, "append")
 
 
+def record_attempts(rows: DataFrame, kept: str, attempted: str) -> None:
+    """Append a batch of rewrites (group_id, status and others): accepted ones to `kept`, the keys of accepted and rejected ones to
+    `attempted`. Keys that failed for other reasons (status error) are in neither, so that the next run tries them again; a key
+    that is in `attempted` already isn't written twice."""
+    spark = rows.sparkSession
+    new = rows.where(F.col("status").isin("accepted", "rejected")).join(read_attempted(spark, attempted).distinct(), "group_id", "left_anti")
+    # kept first: a run that ends between the two repeats the batch, and keys that are kept count as done
+    done = read_jsonl(spark, kept, "group_id string").distinct()
+    new = new.join(done, "group_id", "left_anti")
+    write_jsonl(new.where("status = 'accepted'").drop("status"), kept, "append")
+    keys = rows.where(F.col("status").isin("accepted", "rejected")).join(read_attempted(spark, attempted).distinct(), "group_id", "left_anti")
+    keys.select("group_id").distinct().write.mode("append").text(attempted)
+
+
 def write_predictions(scored: DataFrame, path: str, threshold: float) -> None:
     """Lines of probability, flag and text, parted by tabs."""
-    line = F.concat_ws("\t", F.format_string("%.3f", "score"), F.when(F.col("score") >= threshold, "1").otherwise("0"), "text")
+    line = F.concat_ws("\t", F.format_string("%.4f", "score"), F.when(F.col("score") >= threshold, "1").otherwise("0"), "text")
     scored.select(line.alias("value")).write.mode("overwrite").text(path)

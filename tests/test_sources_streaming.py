@@ -2,10 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from proselake.operators import dataset, detectors, grammar
-from proselake.sources import readers
+from proselake.operators import choices, dataset, detectors, grading, grammar
+from proselake.sources import files, readers
 from proselake.streaming import twins
 
 
@@ -85,3 +86,56 @@ def test_opener_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["opener"], r["n"]) for r in spark.table("ow").select("opener", F.col("n")).collect()] == [("he", 2)]
+
+
+def test_pairs_labels_predictions(spark, tmp_path):
+    pairs = spark.createDataFrame([("a", "b", "pair_1", "s", "neg", None)], readers.PAIR)
+    for name in ("warm_pairs.jsonl", "curated_warm_pairs.jsonl", "warm.jsonl"):
+        readers.write_jsonl(pairs, str(tmp_path / name))
+    assert {r["file"] for r in readers.read_pairs(spark, str(tmp_path)).collect()} == {"warm", "curated_warm"}
+    assert readers.read_pairs(spark, str(tmp_path / "none")).count() == 0
+    readers.write_predictions(spark.createDataFrame([("x y", 0.75), ("z", 0.5)], "text string, score double"), str(tmp_path / "p"), 0.6)
+    assert {r["value"] for r in spark.read.text(str(tmp_path / "p")).collect()} == {"0.7500\t1\tx y", "0.5000\t0\tz"}
+
+
+def test_attempts_are_resumed(spark, tmp_path):
+    kept, tried = str(tmp_path / "kept"), str(tmp_path / "tried")
+    rows = lambda *r: spark.createDataFrame(r, "group_id string, status string, pos string")
+    first = rows(("a", "accepted", "x"), ("b", "rejected", "y"), ("c", "error", None))
+    readers.record_attempts(first, kept, tried)
+    readers.record_attempts(first, kept, tried)  # a run that is repeated writes nothing twice
+    assert sorted(r["group_id"] for r in readers.read_attempted(spark, tried).collect()) == ["a", "b"]
+    seeds = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "group_id string")
+    left = dataset.remaining(seeds, readers.read_jsonl(spark, kept, "group_id string"), readers.read_attempted(spark, tried))
+    assert sorted(r["group_id"] for r in left.collect()) == ["c", "d"]
+    # a run that ended after the kept rows: the key isn't kept again, and is told as attempted
+    readers.write_jsonl(rows(("c", "accepted", "z")).drop("status"), kept, "append")
+    readers.record_attempts(rows(("c", "accepted", "z")), kept, tried)
+    assert readers.read_jsonl(spark, kept, "group_id string").where("group_id = 'c'").count() == 1
+    assert readers.read_attempted(spark, tried).where("group_id = 'c'").count() == 1
+
+
+def test_files(spark, tmp_path):
+    root = str(tmp_path)
+    assert files.preferred(spark, root, ("a", files.write_file(spark, root + "/b", "x").rsplit("/", 1)[1])) == root + "/b"
+    rows = spark.createDataFrame([(0, 0.5)], "dim int, d double")
+    files.write_artifact(rows, root + "/one", "m", None)
+    assert files.read_artifact(spark, root + "/one", "dim int, d double", "m", "first", "first").collect() == rows.collect()
+    for model, axis in (("n", "first"), ("m", "second")):
+        with pytest.raises(ValueError):
+            files.read_artifact(spark, root + "/one", "dim int, d double", model, axis, "first")
+    with pytest.raises(FileNotFoundError):
+        files.preferred(spark, root, ("none",))
+
+
+def test_stale_dumps_are_fatal(spark):
+    ids = lambda *x: spark.createDataFrame([(i, True) for i in x], "id string, ok boolean")
+    grading.require_same(ids("a", "b"), ids("a", "b", "c"), ids("b", "a"))
+    with pytest.raises(ValueError, match="without b"):
+        grading.require_same(ids("a", "b"), ids("a", "b"), ids("a"))
+
+
+def test_projection_domain(spark):
+    bad = spark.createDataFrame([("other", None, None)], "o string, d string, f string")
+    with pytest.raises(Exception, match="no projection"):
+        bad.select(choices.projection(*(F.col(c) for c in "odf"))).collect()
