@@ -11,17 +11,15 @@ from proselake.operators import detectors, grammar
 SCANNERS = ("cliches", "openers", "templates", "contrasts", "phrases", "structure", "echoes")
 
 
-def conversations(turns: DataFrame, unit: str = "conv_id", order: str = "turn", text_col: str = "text", role: str = "role") -> DataFrame:
-    """(unit, text, n_messages): the assistant messages of a conversation, joined by blank lines in order."""
-    a = turns.where(F.col(role) == "assistant").groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(order, F.coalesce(text_col, F.lit("")).alias("t")))).alias("m"))
-    return a.select(unit, F.array_join(F.transform("m", lambda m: m["t"]), "\n\n").alias("text"), F.size("m").alias("n_messages"))
-
-
 def findings(turns: DataFrame, bank: list | None = None, toggles: dict[str, bool] | None = None, unit: str = "conv_id", order: str = "turn", cliche_threshold: float = 0.25, opener_run: int = 4, template_words: int = 8, template_flag: int = 2, short_messages: int = 3, long_messages: int = 2) -> DataFrame:
-    """(unit, scanner, ord, what, sentence): a row for each issue. Scanners that are toggled off aren't planned at all."""
+    """(unit, scanner, ord, what, sentence): a row for each issue. Scanners that are toggled off aren't planned at all.
+
+    Sentences never go on from one message to the next, so that messages are looked at one by one; over a conversation only
+    openers, sentence beginnings, phrases and signatures are put in order, never its whole text.
+    """
     on = lambda s: (toggles or {}).get(s, True)
-    text = conversations(turns, unit, order)
-    answers = turns.where(F.col("role") == "assistant")
+    answers = turns.where(F.col("role") == "assistant").withColumn("text", F.coalesce("text", F.lit("")))
+    message = answers.select(F.struct(unit, order).alias("_m"), "text")
     none = F.lit("")
     parts = []
 
@@ -29,16 +27,16 @@ def findings(turns: DataFrame, bank: list | None = None, toggles: dict[str, bool
         parts.append(df.select(unit, F.lit(scanner).alias("scanner"), F.array(*ord_).alias("ord"), what.alias("what"), sentence.alias("sentence")))
 
     if bank and on("cliches"):
-        hits = detectors.distinct_hits(detectors.cliches(text, bank, unit, threshold=cliche_threshold), unit)
-        add(hits, "cliches", [F.col("i").cast("double"), -F.col("score"), F.col("grp").cast("double")], F.col("phrase"), F.col("sentence"))
+        hits = detectors.distinct_hits(detectors.cliches(message, bank, "_m", threshold=cliche_threshold), "_m").withColumn(unit, F.col(f"_m.{unit}"))
+        add(hits, "cliches", [F.col(f"_m.{order}").cast("double"), F.col("i").cast("double"), -F.col("score"), F.col("grp").cast("double")], F.col("phrase"), F.col("sentence"))
     if on("openers"):
-        add(detectors.opening_monotony(text, unit, least_run=opener_run), "openers", [-F.col("max_run").cast("double")], F.col("opener"))
+        add(detectors.opening_monotony(answers, unit, least_run=opener_run, order=order), "openers", [-F.col("max_run").cast("double")], F.col("opener"))
     if on("templates"):
-        t = grammar.templates(text, unit, most=template_words, flag=template_flag).select(unit, F.posexplode("flagged").alias("k", "f"))
+        t = grammar.templates(answers, unit, most=template_words, flag=template_flag, order=order).select(unit, F.posexplode("flagged").alias("k", "f"))
         add(t, "templates", [F.col("k").cast("double")], F.col("f.template"))
     if on("contrasts"):
-        c = grammar.contrasts(text, unit)
-        add(c, "contrasts", [F.col("i").cast("double")], F.when(F.col("is_parallel"), "parallel").otherwise(""), F.col("sentence"))
+        c = grammar.contrasts(message, "_m").withColumn(unit, F.col(f"_m.{unit}"))
+        add(c, "contrasts", [F.col(f"_m.{order}").cast("double"), F.col("i").cast("double")], F.when(F.col("is_parallel"), "parallel").otherwise(""), F.col("sentence"))
     if on("phrases"):
         p = detectors.ranked_phrases(detectors.two_pass_phrases(answers, unit, short_messages, long_messages, order=order), unit)
         add(p, "phrases", [F.col("rank").cast("double")], F.col("phrase"))
@@ -59,10 +57,10 @@ def findings(turns: DataFrame, bank: list | None = None, toggles: dict[str, bool
 def summary(turns: DataFrame, bank: list | None = None, unit: str = "conv_id", **how) -> DataFrame:
     """(unit, a count for each scanner, total_issues, is_clean). Stock expressions count sentences, the others findings."""
     f = findings(turns, bank, unit=unit, **how)
-    n = F.when(F.col("scanner") == "cliches", F.col("ord")[0]).otherwise(F.xxhash64("ord", "what", "sentence").cast("double"))
+    n = F.when(F.col("scanner") == "cliches", F.xxhash64(F.slice("ord", 1, 2)).cast("double")).otherwise(F.xxhash64("ord", "what", "sentence").cast("double"))
     c = f.groupBy(unit, "scanner").agg(F.when(F.first("scanner") == "cliches", F.count_distinct(n)).otherwise(F.count(F.lit(1))).alias("n"))
     wide = c.groupBy(unit).agg(*(F.coalesce(F.sum(F.when(F.col("scanner") == s, F.col("n"))), F.lit(0)).alias(s) for s in SCANNERS))
-    every = conversations(turns, unit, how.get("order", "turn")).select(unit)
+    every = turns.where("role = 'assistant'").select(unit).distinct()
     wide = every.join(wide, unit, "left").select(unit, *(F.coalesce(s, F.lit(0)).alias(s) for s in SCANNERS))
     total = sum((F.col(s) for s in SCANNERS[1:]), F.col(SCANNERS[0]))
     return wide.withColumn("total_issues", total).withColumn("is_clean", F.col("total_issues") == 0)

@@ -16,15 +16,18 @@ def exploded_sentences(df: DataFrame, unit: str, text_col: str, of=T.sentences)
     return df.select(unit, F.posexplode(of(text_col)).alias("i", "sentence"))
 
 
-def opening_monotony(df: DataFrame, unit: str = "doc_id", text_col: str = "text", n_words: int = 1, least_run: int = 4) -> DataFrame:
+def opening_monotony(df: DataFrame, unit: str = "doc_id", text_col: str = "text", n_words: int = 1, least_run: int = 4, order: str | None = None) -> DataFrame:
     """Openers of narration sentences with a run of `least_run` or more: unit, opener, count, max_run, fraction, score.
 
     The opener is the first n_words tokens; a sentence with fewer ends a run. score is the share of sentences whose opener
-    occurs twice or more in the unit.
+    occurs twice or more in the unit. order: texts of one unit follow one another. Windows hold openers only, never texts.
     """
     t = F.slice(T.tokens("sentence"), 1, n_words)
     opener = F.when(F.size(t) >= n_words, F.array_join(t, " "))
-    s = exploded_sentences(df, unit, text_col, T.narration_sentences).select(unit, "i", opener.alias("opener"))
+    more = [] if order is None else [order]
+    s = df.select(unit, *more, F.posexplode(T.narration_sentences(text_col)).alias("i", "sentence")).select(unit, *more, "i", opener.alias("opener"))
+    if order is not None:
+        s = s.withColumn("i", F.row_number().over(Window.partitionBy(unit).orderBy(order, "i")))
     total = Window.partitionBy(unit)
     island = F.col("i") - F.row_number().over(Window.partitionBy(unit, "opener").orderBy("i"))
     s = s.withColumn("total", F.count(F.lit(1)).over(total)).withColumn("island", island).where("opener IS NOT NULL")

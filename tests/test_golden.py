@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proselake.functions import text as T
-from proselake.operators import audit, dataset, detectors, evaluation, grammar, markup, objective, vectors
+from proselake.operators import audit, building, dataset, detectors, evaluation, grammar, markup, objective, vectors
 
 
 def one(spark, expr, **values):
@@ -50,6 +50,21 @@ def test_opener_repeat(spark):
     assert [tuple(r) for r in detectors.opener_repeat(df, "doc_id").collect()] == [(1, 0.5)]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("She ran. She hid. She sat. She slept.", 1.0),
+        ("Rain fell. Birds sang. Wind rose. Leaves turned.", 0.0),
+        ("He ran. She hid. They sat. We slept.", 0.0),
+        ("She ran. She hid. Rain fell.", 0.5),
+        ("", 0.0),
+    ],
+)
+def test_opener_collapse(spark, text, want):
+    r = building.rollout_summary(spark.createDataFrame([("v", text)], "variant string, text string"), ["variant"], lambda s: F.lit(0.0))
+    assert r.first()["opener"] == want
+
+
 def test_pool_counts(spark):
     rows = spark.createDataFrame([("Tea is hot.", 1, 0, 0), (" tea IS  hot. ", 0, 0, 1), ("a\nb", 0, 0, 2)], "text string, label int, prio int, idx int")
     assert dataset.dedupe_counts(rows).first().asDict() == {"kept": 1, "dup": 1, "bad": 1, "conflict": 1}
