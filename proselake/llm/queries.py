@@ -107,5 +107,40 @@ c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node), l AS (SE
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c ON c.node = e.vec_id LEFT JOIN l ON l.a = e.vec_id"""
 
 
+#: Pages of one article whose blocks are p and h1: all that these tables hold. Blocks are parted at their tags.
+SITE_STYLE_SQL = r"""WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(a, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t"""
+
+
+def _url_tree_sql() -> str:
+    """Templates by the segments' form alone: no place of these tables has more children than are kept apart."""
+    fits = []
+    for rule, verdict in sorted(url_tree.RULES, key=lambda r: (-len(r[0]), r[0])):
+        host, _, begin = rule.partition("/")
+        fits.append(f"WHEN (host='{host}' OR ends_with(host,'.{host}')) AND starts_with(path,'/{begin}') THEN ['{rule}','{verdict}']")
+    ending = r"regexp_extract(s,'(\.[A-Za-z][A-Za-z0-9]{0,4})$',1)"
+    kind = rf"""CASE WHEN regexp_matches(s,'^[0-9]+(\.[A-Za-z0-9]{{1,5}})?$') THEN '{{number}}'||{ending} WHEN regexp_matches(s,'^[0-9]{{4}}-[0-9]{{2}}(-[0-9]{{2}})?$') THEN '{{date}}'
+WHEN regexp_matches(s,'[0-9]') AND regexp_matches(s,'^[0-9a-fA-F-]{{8,}}$') THEN '{{hex}}' WHEN regexp_matches(s,'[0-9].*[0-9].*[0-9]') AND length(s)>=8 THEN '{{mixed}}' ELSE s END"""
+    both = "((acc[-1].good+x[1].good)/(acc[-1].labelled+x[1].labelled))"
+    alike = f"abs(x[1].good/x[1].labelled-acc[-1].good/acc[-1].labelled)<=1.96*sqrt({both}*(1-{both})*(1/acc[-1].labelled+1/x[1].labelled))"
+    merged = "list_append(acc[:len(acc)-1], struct_pack(good := acc[-1].good+x[1].good, labelled := acc[-1].labelled+x[1].labelled, ts := list_concat(acc[-1].ts, x[1].ts)))"
+    return rf"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url,'(?s)^.*?://([^/?#]*)',1),''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url,'(?s)^.*?://[^/?#]*([^?#]*)',1),'') AS path FROM pages),
+v AS (SELECT *, '/'||array_to_string(list_transform(list_filter(string_split(path,'/'), lambda s: s<>''), lambda s: {kind}),'/') AS template, CASE {' '.join(fits)} END AS fit FROM u),
+k AS (SELECT doc_id, sum(quality) AS good, count(*) AS labelled FROM labels WHERE quality IN (0,1) GROUP BY doc_id),
+o AS (SELECT host, template, regexp_replace(template,'/[^/]*$','') AS parent, coalesce(sum(good),0)::DOUBLE AS good, coalesce(sum(labelled),0)::DOUBLE AS labelled FROM v LEFT JOIN k ON k.doc_id=v.page_id GROUP BY host, template),
+s AS (SELECT host, parent, list(struct_pack(good := good, labelled := labelled, ts := [template]) ORDER BY good/labelled, template) AS sib FROM o WHERE labelled>0 GROUP BY host, parent),
+m AS (SELECT host, unnest(list_reduce(list_transform(sib, lambda x: [x]), lambda acc, x: CASE WHEN {alike} THEN {merged} ELSE list_concat(acc, x) END)) AS g FROM s),
+n AS (SELECT host, unnest(g.ts) AS template, g.good AS m_good, g.labelled AS m_labelled FROM m),
+p AS (SELECT host, parent, sum(good) AS b_good, sum(labelled) AS b_labelled FROM o GROUP BY host, parent), h AS (SELECT host, sum(good) AS h_good, sum(labelled) AS h_labelled FROM o GROUP BY host), e AS (SELECT sum(good)/sum(labelled) AS on_all FROM o),
+r AS (SELECT host, template, on_all, coalesce(m_good,0) AS good, coalesce(m_labelled,0) AS n, (b_good+20*(h_good+20*on_all)/(h_labelled+20))/(b_labelled+20) AS prior FROM o JOIN p USING (host, parent) JOIN h USING (host) LEFT JOIN n USING (host, template), e),
+w AS (SELECT host, template, (good+20*prior)/(n+20) AS purity, CASE WHEN n>0 THEN (good/n+1.96*1.96/(2*n)+1.96*sqrt(good/n*(1-good/n)/n+1.96*1.96/(4*n*n)))/(1+1.96*1.96/n)<on_all ELSE false END AS worse FROM r)
+SELECT page_id, host, path, fit[1] AS rule, coalesce(fit[2], CASE WHEN purity<0.5 OR worse THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity,6) AS purity FROM v JOIN w USING (host, template)"""
+
+
+URL_TREE_SQL = _url_tree_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_suffix_array": SUFFIX_ARRAY_SQL, "op9_projection_forest": FOREST_SQL}
+    return {"op6_url_tree": URL_TREE_SQL, "op8_suffix_array": SUFFIX_ARRAY_SQL, "op9_projection_forest": FOREST_SQL, "op10_site_style": SITE_STYLE_SQL}
