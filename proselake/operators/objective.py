@@ -75,13 +75,16 @@ def warm_start(q25: Column, q50: Column, q75: Column, layers: Column) -> tuple[C
 
 
 def late_replies(replies: DataFrame, unit: str, turn: str, start: Column | None = None) -> DataFrame:
-    """Replies from a unit's start turn on, or else from half of its turns."""
+    """Replies from a unit's start turn on, or else from half of its turns. Only turns are ordered; replies are joined to them."""
     from pyspark.sql import Window
 
-    n = F.count(F.lit(1)).over(Window.partitionBy(unit))
-    begin = F.floor(n * 0.5) if start is None else F.coalesce(start, F.floor(n * 0.5))
-    place = F.row_number().over(Window.partitionBy(unit).orderBy(turn)) - 1
-    return replies.withColumn("_place", place).withColumn("_begin", begin).where("_place >= _begin").drop("_place", "_begin")
+    asked = F.lit(None).cast("double") if start is None else F.max(start.cast("double"))
+    turns = replies.groupBy(unit, turn).agg(F.count(F.lit(1)).alias("_n"), asked.alias("_start"))
+    every = Window.partitionBy(unit)
+    before = F.coalesce(F.sum("_n").over(every.orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begin = F.coalesce(F.col("_start"), F.floor(F.sum("_n").over(every) * 0.5))
+    late = turns.select(unit, turn, before.alias("_place"), begin.alias("_begin")).where("_place >= _begin").select(unit, turn)
+    return replies.join(late, [unit, turn], "left_semi")
 
 
 def length_confound(pairs: DataFrame, most: float = 2.0) -> DataFrame:
