@@ -134,3 +134,15 @@ def detect(df: DataFrame, scorer: Callable[[Column], Column], threshold: float,
     s = scored(s, scorer).withColumn("flag", F.col("score") >= threshold)
     rows = F.transform(F.array_sort(F.collect_list(F.struct("i", "text", "score", "flag"))), lambda r: r.dropFields("i"))
     return s.groupBy(unit).agg(F.lit(threshold).alias("threshold"), F.count_if("flag").alias("n_flagged"), rows.alias("sentences"))
+
+
+def marked_page(answers: DataFrame, unit: str = "doc_id") -> DataFrame:
+    """(unit, html): the answer of detect() as a page, flagged sentences marked with their score."""
+
+    def escaped(c: Column) -> Column:
+        return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+    def part(s: Column) -> Column:
+        return F.when(s["flag"], F.concat(F.lit('<mark title="'), F.format_string("%.2f", s["score"]), F.lit('">'), escaped(s["text"]), F.lit("</mark>"))).otherwise(escaped(s["text"]))
+
+    return answers.select(unit, F.concat(F.lit("<p>"), F.array_join(F.transform("sentences", part), " "), F.lit("</p>")).alias("html"))

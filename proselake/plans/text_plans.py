@@ -330,10 +330,26 @@ def audit_density(spark, d):
     return audit.density(table(spark, d, "conversations")).withColumn("density", F.round("density", 8))
 
 
-@query()
+def _star(x: str) -> str:
+    return strip_(f"regexp_replace({strip_(x)},'^\\*+|\\*+$','','g')")
+
+
+@query(f"""WITH RECURSIVE {_CONVS}, {hits_sql('convs', 'conv_id', 0.25)}, {_OPENERS}, {S.templates_('convs', 'conv_id', 8, 2, 0.5)}, {S.contrasts_('convs', 'conv_id')}, {two_pass_sql(3, 2)}, {_LAST}, {S.echoes_('lasts', 'conv_id')},
+kept AS ({S.distinct_hits_('hits', 'conv_id')}),
+items AS (SELECT conv_id, 1 AS place, 'Cliches' AS head, [CAST(i AS DOUBLE), -score, grp] AS ord, phrase AS what, sentence FROM kept
+UNION ALL SELECT conv_id, 2, 'Openers', [CAST(-run AS DOUBLE)], opener, '' FROM openers
+UNION ALL SELECT conv_id, 3, 'Templates', [-n, cluster], template, '' FROM clusters WHERE n>=2
+UNION ALL SELECT conv_id, 4, 'Contrasts', [i], CASE WHEN is_parallel THEN 'parallel' ELSE '' END, sentence FROM contrasts
+UNION ALL SELECT conv_id, 5, 'Phrases', [-len(messages), -len(gram)], phrase, '' FROM phrases
+UNION ALL SELECT conv_id, 7, 'Echoes', [0], matched_phrase, echo FROM echoes),
+rows AS (SELECT conv_id, place, head, ord, '  - '||{_star('what')}||CASE WHEN sentence<>'' THEN ': '||{_star('sentence')} ELSE '' END AS line FROM items),
+sections AS (SELECT conv_id, place, head||chr(10)||string_agg(line, chr(10) ORDER BY ord, line) AS t FROM rows GROUP BY conv_id, place, head),
+bodies AS (SELECT conv_id, string_agg(t, chr(10)||chr(10) ORDER BY place) AS body FROM sections GROUP BY conv_id)
+SELECT conv_id, md5(coalesce(body,'No issues found.')) AS digest, length(coalesce(body,'No issues found.')) AS n_chars FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN bodies USING (conv_id)""")
 def audit_report(spark, d):
     turns = table(spark, d, "conversations")
-    return audit.report(audit.findings(turns, BANK), turns)
+    r = audit.report(audit.findings(turns, BANK), turns)
+    return r.select("conv_id", F.md5("report").alias("digest"), F.length("report").cast("long").alias("n_chars"))
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER w AS before, lag(role) OVER w AS who, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
