@@ -5,8 +5,8 @@ grams: consecutive windows with the same smallest gram form one record, and reco
 
 1. Documents are dealt to groups by a hash of their id, once; the exchange is used again by steps 2 and 4.
    Each group sends its distinct grams to the grams' buckets, which send back those that several documents hold. Grams that
-   more than `hot_groups` groups hold with as many different records, as those of a common line, are hot: what stands around
-   the line would meet in one bucket.
+   more than `hot_groups` groups hold with many different records, as those of a common line, are hot: what stands around the
+   line would meet in one bucket.
    For them groups send the hashes of whole windows as well, and go on with the windows that several documents hold.
 2. Each group cuts the records with such a gram out of its texts, those of hot grams down to their shared windows. Equal
    records of one group are sent once, for the smallest document; the others are covered by it already.
@@ -99,7 +99,7 @@ def _window_hashes(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def records(texts: list[bytes], window: int, hashes: bool = False, digests: bool = False) -> Iterator[tuple]:
-    """Runs of windows with one smallest gram: (gram, text, first window's place, number of windows) and, if asked for, a digest of 16 bits of each run, or where they begin in the hashes of all windows of their segment, and these."""
+    """Runs of windows with one smallest gram: (gram, text, first window's place, number of windows) and, if asked for, a digest of 8 bits of each run, or where they begin in the hashes of all windows of their segment, and these."""
     for raw, doc, place, at in _segments(texts, window):
         buf = np.frombuffer(raw + b"\0" * 8, np.uint8)[: len(raw)]
         h = _gram_hashes(buf)
@@ -119,7 +119,7 @@ def records(texts: list[bytes], window: int, hashes: bool = False, digests: bool
         out = m[starts], doc[part], place[part] + starts - at[part], sizes
         if digests:  # of the first and the last gram and the length
             ends = h[starts] * _MIX[2] ^ h[starts + sizes - 1 + window - GRAM] * _MIX[1] ^ sizes.astype(np.uint64) * _MIX[3]
-            out = (*out, (ends >> np.uint64(48)).astype(np.uint16))
+            out = (*out, (ends >> np.uint64(56)).astype(np.uint8))
         yield (*out, starts, _window_hashes(h, window)) if hashes else out
 
 
@@ -241,7 +241,7 @@ def _group_texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return ids[order], th[order], [col[k].as_py().encode("utf-8", "surrogatepass") for k in order.tolist()]
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, group_bytes: int = 4 << 20, finish=None, schema: str | None = None, carry: list[str] | None = None, hot_groups: int = 16) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, group_bytes: int = 4 << 20, finish=None, schema: str | None = None, carry: list[str] | None = None, hot_groups: int = 64) -> DataFrame:
     """A row for each document, made by `finish(ids, texts, spans, rows)`: spans are the removed ones of each text, rows a
     table with the columns named in `carry`, as carry_0, carry_1 and so on.
 
@@ -264,20 +264,20 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         order = np.argsort(gram, kind="stable")
         gram, who = gram[order], who[order]
         new = np.flatnonzero(np.concatenate((np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1])))
-        many = (np.minimum.reduceat(who, new) != np.maximum.reduceat(who, new)).astype(np.uint16) if len(new) else np.zeros(0, np.uint16)
-        tag = many if digest is None or not len(new) else many | (np.maximum.reduceat(digest[order], new) & np.uint16(0xFFFE))
+        many = (np.minimum.reduceat(who, new) != np.maximum.reduceat(who, new)).astype(np.uint8) if len(new) else np.zeros(0, np.uint8)
+        tag = many if digest is None or not len(new) else many | (np.maximum.reduceat(digest[order], new) & np.uint8(0xFE))
         gram = gram[new]
         b = _bucket_of(gram, buckets)
         order = np.argsort(b, kind="stable")
         b, gram, tag = b[order], gram[order], tag[order]
         at = np.flatnonzero(np.concatenate((np.ones(min(1, len(b)), bool), b[1:] != b[:-1])))
-        rows = [(int(b[s]), _blob(gram[s:e], "<u8"), _blob(tag[s:e], "<u2")) for s, e in zip(at, np.append(at[1:], len(b)))]
+        rows = [(int(b[s]), _blob(gram[s:e], "<u8"), _blob(tag[s:e], "u1")) for s, e in zip(at, np.append(at[1:], len(b)))]
         cols = list(zip(*rows)) or [[], [], []]
         return pa.table([pa.array(cols[0], pa.int32()), pa.array([g] * len(rows), pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "g", "grams", "tags"])
 
     def grams(t: pa.Table) -> pa.Table:
         ids, _, texts = _group_texts(t)
-        gram, who, digest = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
+        gram, who, digest = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
         for m, doc, _, _, told in records(texts, window, digests=True):
             gram.append(m)
             who.append(ids[doc])
@@ -286,19 +286,19 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def shared(t: pa.Table) -> pa.Table:
         own = [np.frombuffer(x.as_py(), "<u8") for x in t["grams"]]
-        tag = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in t["tags"]])
+        tag = np.concatenate([np.frombuffer(x.as_py(), "u1") for x in t["tags"]])
         every = np.concatenate(own)
         order = np.argsort(every, kind="stable")
-        s, digest = every[order], tag[order] >> np.uint16(1)
+        s, digest = every[order], tag[order] >> np.uint8(1)
         new = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         count = np.diff(np.append(new, len(s)))
         differ = np.ones(len(new), np.int64)
         for k in np.flatnonzero(count > hot_groups).tolist():
             differ[k] = len(np.unique(digest[new[k] : new[k] + count[k]]))
         n, hot = np.empty(len(s), np.int64), np.empty(len(s), bool)
-        n[order], hot[order] = np.repeat(count, count), np.repeat((count > hot_groups) & (differ > hot_groups), count)
+        n[order], hot[order] = np.repeat(count, count), np.repeat((count > hot_groups) & (differ > min(64, hot_groups) // 2), count)
         cuts_at = np.cumsum([len(x) for x in own])[:-1]
-        rows = [(g, _blob(x[h], "<u8"), _blob(w[h], "u1")) for g, x, h, w in zip(t["g"].to_pylist(), own, np.split((n > 1) | (tag & np.uint16(1)).astype(bool), cuts_at), np.split(hot, cuts_at)) if h.any()]
+        rows = [(g, _blob(x[h], "<u8"), _blob(w[h], "u1")) for g, x, h, w in zip(t["g"].to_pylist(), own, np.split((n > 1) | (tag & np.uint8(1)).astype(bool), cuts_at), np.split(hot, cuts_at)) if h.any()]
         cols = list(zip(*rows)) or [[]] * 3
         return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["g", "grams", "hot"])
 
