@@ -115,3 +115,59 @@ def test_held_out_teaches_nothing(spark):
     schema = "doc_id long, text string, lang string"
     a, b = (language_id.train(spark.createDataFrame(r, schema), landmarks=30) for r in (rows, wrong))
     assert a.languages == b.languages and np.array_equal(a.weights, b.weights)
+
+
+def brute_places(text):
+    """Places of a text's n-grams, one n-gram at a time."""
+    raw = "".join(chr(b) if b >= 128 or 97 <= b <= 122 else " " for b in text.lower().encode())
+    raw = (" " + " ".join(raw.split(" ")) + " ").encode("latin-1")
+    while b"  " in raw:
+        raw = raw.replace(b"  ", b" ")
+    out = set()
+    for n in (1, 2, 3):
+        for k in range(len(raw) - n + 1):
+            v = int.from_bytes(raw[k : k + n], "big")
+            out.add(v if n == 1 else ((v * 40503 + 977) % 2**32 >> 3) % 65536 if n == 2 else v * 2654435761 % 2**32 >> 16)
+    return out
+
+
+def brute_scores(train, texts, landmarks=256, ridge=1e-3):
+    """Kernel ridge regression on the landmarks' kernel by least squares; train: (text, language)."""
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    train = sorted((lang, np.array(sorted(p), "<u2").tobytes(), p) for t, lang in train for p in [brute_places(t)])
+    languages = sorted({lang for lang, *_ in train})
+    queues = {lang: [k for k, r in enumerate(train) if r[0] == lang] for lang in languages}
+    z = [q[turn] for turn in range(len(train)) for q in queues.values() if turn < len(q)][:landmarks]
+    k_nm = np.array([[kernel(r[2], train[m][2]) for m in z] for r in train])
+    k_mm = k_nm[z]
+    val, vec = np.linalg.eigh(k_mm)
+    keep = val > 1e-6 * val.max()
+    w = np.array([len(train) / (len(languages) * len(queues[r[0]])) for r in train])
+    out = []
+    for lang in languages:
+        y = np.array([1.0 if r[0] == lang else -1.0 for r in train])
+        y = y - (y * w).sum() / w.sum()
+        basis = vec[:, keep]
+        penalty = (ridge * len(train)) ** 0.5 * np.sqrt(val[keep])[:, None] * np.eye(keep.sum())
+        a = np.vstack([np.sqrt(w)[:, None] * (k_nm @ basis), penalty])
+        beta = np.linalg.lstsq(a, np.concatenate([np.sqrt(w) * y, np.zeros(keep.sum())]), rcond=None)[0]
+        out.append(basis @ beta)
+    k = np.array([[kernel(brute_places(t), train[m][2]) for m in z] for t in texts])
+    return languages, k @ np.array(out).T
+
+
+def test_op4_by_brute_force(spark, tmp_path):
+    """The registered query against kernels computed from sets of n-grams, text by text."""
+    from proselake.llm import queries
+
+    rows = [(k, t, None if k % 17 == 0 else lang) for k, t, lang in language_rows(200)] + [(900, None, "en"), (901, " 12 ", "de"), (902, "Über das Ende der Straße", None), (903, "the " * 3000, "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op4_language_id(spark, str(tmp_path)).collect()}
+    held = {k: zlib.crc32(str(k).encode()) % 4 == 2 for k, *_ in rows}
+    told = {k: t for k, t, _ in rows if t and any(c.isalpha() for c in t)}
+    languages, scores = brute_scores([(told[k], lang) for k, _, lang in rows if k in told and lang and not held[k]], list(told.values()))
+    for k, f in zip(told, scores):
+        e = np.exp(4 * (f - f.max()))
+        assert got[k]["lang_pred"] == languages[int(f.argmax())] and abs(got[k]["score"] - e.max() / e.sum()) < 1e-3
+    assert all((got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0) for k in got if k not in told)
+    assert {k: r["held_out"] for k, r in got.items()} == held
