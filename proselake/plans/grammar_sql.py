@@ -73,26 +73,31 @@ cg AS (SELECT {unit}, i, sentence, {tags('x')} AS x_template, {tags('y')} AS y_t
 contrasts AS (SELECT *, x_template=y_template AS is_parallel FROM cg)"""
 
 
-# ---- templates: one sentence of every unit a step ----
+# ---- templates: heads of clusters, found in turns ----
 
 
 def templates_(source: str, unit: str, most: int, flag: int, similarity: float) -> str:
     """WITH RECURSIVE-clauses that end in `clusters` (unit, cluster, n, template) and `told` (unit, total).
 
-    A template joins the first cluster whose first member is alike: equal, beginning alike, or with enough words in common.
+    A template joins the first cluster whose first member is alike: equal, beginning alike, or with enough words in common. In
+    each turn a template whose earlier mates are all no heads becomes one; one with a head among them becomes none.
     """
     begins = f"(least(len(x),len(y))>={max(1, most - 1)} AND x[1:least(len(x),len(y))]=y[1:least(len(x),len(y))])"
     return f"""ts AS ({exploded_(unit, narration_('text'), source)}),
 told AS (SELECT {unit}, count(*) AS total FROM ts GROUP BY {unit}),
 tt AS (SELECT {unit}, i, {tokens_('sentence')}[1:{most}] AS t FROM ts),
 tn AS (SELECT {unit}, row_number() OVER (PARTITION BY {unit} ORDER BY i) AS k, t FROM tt WHERE len(t)>=3),
-td AS (SELECT DISTINCT {unit}, t, unnest(list_distinct(t)) AS w, len(list_distinct(t)) AS d FROM tn),
-tp AS (SELECT {unit}, a.t AS x, b.t AS y, count(*) AS common, any_value(a.d) AS dx, any_value(b.d) AS dy FROM td a JOIN td b USING ({unit}, w) GROUP BY {unit}, a.t, b.t),
-mates AS (SELECT {unit}, x, list(y) AS ys FROM tp WHERE {begins} OR common/(dx+dy-common)>={similarity} GROUP BY {unit}, x),
-grown AS (SELECT {unit}, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[][]) AS heads, CAST(NULL AS BIGINT) AS home FROM told
-UNION ALL SELECT g.{unit}, n.k, CASE WHEN h.home IS NULL THEN list_append(g.heads, n.t) ELSE g.heads END, coalesce(h.home, len(g.heads)+1)
-FROM grown g JOIN tn n ON n.{unit}=g.{unit} AND n.k=g.k+1 JOIN mates m ON m.{unit}=n.{unit} AND m.x=n.t, LATERAL (SELECT list_min(list_filter(list_transform(m.ys, lambda y: list_position(g.heads, y)), lambda p: p>0)) AS home) h),
-placed AS (SELECT g.{unit}, g.home AS cluster, g.k, array_to_string(n.t,' ') AS template FROM grown g JOIN tn n USING ({unit}, k)),
+tf AS (SELECT {unit}, t, array_to_string(t,' ') AS key, min(k) AS f FROM tn GROUP BY {unit}, t),
+td AS (SELECT {unit}, t, key, f, unnest(list_distinct(t)) AS w, len(list_distinct(t)) AS d FROM tf),
+tp AS (SELECT {unit}, any_value(a.t) AS x, any_value(b.t) AS y, a.key AS kx, b.key AS ky, count(*) AS common, any_value(a.d) AS dx, any_value(b.d) AS dy FROM td a JOIN td b USING ({unit}, w) WHERE b.f<a.f GROUP BY {unit}, a.key, b.key),
+mates AS (SELECT {unit}, kx, ky FROM tp WHERE {begins} OR common/(dx+dy-common)>={similarity}),
+st AS (SELECT {unit}, key, f, CASE WHEN EXISTS (SELECT 1 FROM mates m WHERE m.{unit}=tf.{unit} AND m.kx=tf.key) THEN 0 ELSE 1 END AS state, 0 AS turn FROM tf
+UNION ALL SELECT s.{unit}, s.key, s.f, CASE WHEN s.state<>0 THEN s.state WHEN o.heads>0 THEN 2 WHEN o.unknown=0 THEN 1 ELSE 0 END, s.turn+1
+FROM st s LEFT JOIN (SELECT m.{unit}, m.kx, count(*) FILTER (WHERE q.state=1) AS heads, count(*) FILTER (WHERE q.state=0) AS unknown FROM mates m JOIN st q ON q.{unit}=m.{unit} AND q.key=m.ky GROUP BY m.{unit}, m.kx) o ON o.{unit}=s.{unit} AND o.kx=s.key
+WHERE (SELECT bool_or(state=0) FROM st)),
+sf AS (SELECT {unit}, key, f, state=1 AS is_head FROM st QUALIFY row_number() OVER (PARTITION BY {unit}, key ORDER BY turn DESC)=1),
+homes AS (SELECT a.{unit}, a.key, CASE WHEN a.is_head THEN a.f ELSE min(b.f) END AS cluster FROM sf a LEFT JOIN mates m ON m.{unit}=a.{unit} AND m.kx=a.key LEFT JOIN sf b ON b.{unit}=a.{unit} AND b.key=m.ky AND b.is_head GROUP BY a.{unit}, a.key, a.is_head, a.f),
+placed AS (SELECT n.{unit}, h.cluster, n.k, h.key AS template FROM tn n JOIN homes h ON h.{unit}=n.{unit} AND h.key=array_to_string(n.t,' ')),
 counted AS (SELECT {unit}, cluster, template, count(*) AS c, min(k) AS first FROM placed GROUP BY ALL),
 clusters AS (SELECT {unit}, cluster, CAST(sum(c) AS BIGINT) AS n, arg_max(template, c*1000000000000 - length(template)*10000000 - first) AS template FROM counted GROUP BY ALL)"""
 
