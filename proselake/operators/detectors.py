@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proselake.functions import lexicon
 from proselake.functions import text as T
+from proselake.sources.files import materialized
 
 
 def exploded_sentences(df: DataFrame, unit: str, text_col: str, of=T.sentences) -> DataFrame:
@@ -91,10 +92,10 @@ def ranked_phrases(phrases: DataFrame, unit: str = "conv_id") -> DataFrame:
 
 def two_pass_phrases(messages: DataFrame, unit: str = "conv_id", short_messages: int = 3, long_messages: int = 2, **how) -> DataFrame:
     """Two-word phrases in more messages and longer ones in fewer, each pass and then both freed of restatements."""
-    every = repeated_phrases(messages, unit, min_n=2, max_n=5, least_messages=min(short_messages, long_messages), **how)
+    every = materialized(repeated_phrases(messages, unit, min_n=2, max_n=5, least_messages=min(short_messages, long_messages), **how))
     short = distinct_phrases(every.where((F.size("gram") == 2) & (F.col("n_messages") >= short_messages)), unit)
     long = distinct_phrases(every.where((F.size("gram") > 2) & (F.col("n_messages") >= long_messages)), unit)
-    return distinct_phrases(short.unionByName(long), unit)
+    return distinct_phrases(materialized(short.unionByName(long)), unit)
 
 
 def variant_score(variant: str, sentence: Column, t: Column, joined: Column, own: Column) -> Column:

@@ -25,6 +25,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared or tempfile.mkdtemp(prefix='proselake-files-')}/files-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows written to a scratch folder and read again, so that plans that use them several times stay small; the rows as they
+    are where no shared folder is known."""
+    spark = df.sparkSession
+    try:
+        path = scratch(spark)
+    except RuntimeError:
+        return df
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_file(spark: SparkSession, path: str, text: str) -> str:
     """A small file of one name, replaced if it is there."""
     fs, p = _at(spark, path)
