@@ -265,7 +265,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         gram, who = gram[order], who[order]
         new = np.flatnonzero(np.concatenate((np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1])))
         many = (np.minimum.reduceat(who, new) != np.maximum.reduceat(who, new)).astype(np.uint8) if len(new) else np.zeros(0, np.uint8)
-        tag = many if digest is None or not len(new) else many | (np.maximum.reduceat(digest[order], new) & np.uint8(0xFE))
+        tag = many if digest is None or not len(new) else many | (np.maximum.reduceat(digest[order], new) & np.uint8(0x3E))
         gram = gram[new]
         b = _bucket_of(gram, buckets)
         order = np.argsort(b, kind="stable")
@@ -284,7 +284,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             digest.append(told)
         return by_bucket(t["g"][0].as_py(), *(np.concatenate(x) for x in (gram, who, digest)))
 
-    def shared(t: pa.Table) -> pa.Table:
+    def answers(t: pa.Table, only_hot: bool) -> pa.Table:
+        """To each group that asked: its grams that others hold, and which of them are hot; or the hot ones alone."""
         own = [np.frombuffer(x.as_py(), "<u8") for x in t["grams"]]
         tag = np.concatenate([np.frombuffer(x.as_py(), "u1") for x in t["tags"]])
         every = np.concatenate(own)
@@ -296,12 +297,18 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for k in np.flatnonzero(count > hot_groups).tolist():
             differ[k] = len(np.unique(digest[new[k] : new[k] + count[k]]))
         n, hot = np.empty(len(s), np.int64), np.empty(len(s), bool)
-        n[order], hot[order] = np.repeat(count, count), np.repeat((count > hot_groups) & (differ > min(64, hot_groups) // 2), count)
+        n[order], hot[order] = np.repeat(count, count), np.repeat((count > hot_groups) & (differ > min(12, hot_groups // 2)), count)
         cuts_at = np.cumsum([len(x) for x in own])[:-1]
-        rows = [(g, _blob(x[h], "<u8"), _blob(w[h], "u1")) for g, x, h, w in zip(t["g"].to_pylist(), own, np.split((n > 1) | (tag & np.uint8(1)).astype(bool), cuts_at), np.split(hot, cuts_at)) if h.any()]
+        rows = [(g, _blob(x[h], "<u8"), _blob(w[h], "u1")) for g, x, h, w in zip(t["g"].to_pylist(), own, np.split(hot if only_hot else (n > 1) | (tag & np.uint8(1)).astype(bool), cuts_at), np.split(hot, cuts_at)) if h.any()]
         cols = list(zip(*rows)) or [[]] * 3
         return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["g", "grams", "hot"])
 
+    def shared(t: pa.Table) -> pa.Table:
+        return answers(t, False)
+
+    def shared_hot(t: pa.Table) -> pa.Table:
+        return answers(t, True)
+
     def told_grams(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Sorted grams that others hold, and which of them are hot."""
         gram = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in right["grams"]])
@@ -316,8 +323,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         gram, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         wanted = np.zeros(0, np.uint64)
         if left.num_rows and right.num_rows:
-            wanted, hot = told_grams(right)
-            wanted = wanted[hot]
+            wanted, _ = told_grams(right)
         if len(wanted):
             ids, _, texts = _group_texts(left)
             for m, doc, _, sizes, starts, hashes in records(texts, window, hashes=True):
@@ -443,8 +449,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return finish([None if x == NO_ID else x for x in ids.tolist()], texts, [found.get(k, none) for k in zip(ids.tolist(), th.tolist())], left.select(carry_names))
 
     asked, answer = "bucket int, g int, grams binary, tags binary", "g int, grams binary, hot binary"
-    told = base.groupBy("g").applyInArrow(grams, asked).groupBy("bucket").applyInArrow(shared, answer).withColumn("windows", F.lit(False))
-    hot = base.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(hot_windows, asked).groupBy("bucket").applyInArrow(shared, answer).withColumn("windows", F.lit(True))
+    by_gram = base.groupBy("g").applyInArrow(grams, asked).groupBy("bucket")
+    told = by_gram.applyInArrow(shared, answer).withColumn("windows", F.lit(False))
+    told_hot = by_gram.applyInArrow(shared_hot, answer)
+    hot = base.groupBy("g").cogroup(told_hot.groupBy("g")).applyInArrow(hot_windows, asked).groupBy("bucket").applyInArrow(shared, answer).withColumn("windows", F.lit(True))
     sent = base.groupBy("g").cogroup(told.unionByName(hot).groupBy("g")).applyInArrow(cut_records, part_schema)
     spans = sent.groupBy("bucket").applyInArrow(spans_of_bucket, "g int, id binary, th binary, start binary, end binary")
     return base.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(apply, schema)
