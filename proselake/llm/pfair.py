@@ -122,10 +122,10 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, id_col: s
     spark = session_of(docs)
     size = F.coalesce(F.char_length("text") if size is None else size, F.lit(0)).cast("long")
     others = [c for c in docs.columns if c not in ("block", "last_block", "release", "deadline", "slot", "nth")]
-    source, hashed = F.coalesce(F.col(source_col).cast("string"), F.lit("")), F.xxhash64(F.col(id_col).cast("string"))
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")  # 60 bits
     parts = max(64, 4 * shuffle_partitions(spark))
-    width = (1 << 64) // parts + 1
-    ranged = F.floor((F.shiftrightunsigned(hashed, 1)) / F.lit(float(width // 2))).cast("int")  # an even share of a source's hashes
+    ranged = F.floor(hashed / F.lit(float((1 << 60) // parts + 1))).cast("int")  # an even share of a source's hashes
     tie = F.xxhash64(*(c for c in ("text",) if c in docs.columns), F.col("_size"))
     rows = docs.select(*others).withColumns({"_source": source, "_hash": hashed, "_part": ranged, "_size": size + 1}).withColumn("_tie", tie)
     sums = cut(rows.groupBy("_source", "_part").agg(F.sum("_size").alias("_sum")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,5 +143,26 @@ SELECT page_id, host, path, fit[1] AS rule, coalesce(fit[2], CASE WHEN purity<0.
 URL_TREE_SQL = _url_tree_sql()
 
 
+def _pfair_sql() -> str:
+    """Earliest deadline first, a slot a step: each source's next block with its window in the phase, which ends with a source's last block."""
+    shares = pfair.exact_shares({s: Fraction(str(w)) for s, w in TARGETS.items()})
+    values = ", ".join(f"('{s}', {n})" for s, n in shares.items())
+    release, due = "x.i*whole//x.share", "((x.i+1)*whole+x.share-1)//x.share"
+    step = "CASE WHEN x.s=pick.s THEN struct_pack(s := x.s, share := x.share, n := x.n, done := x.done+1, i := x.i+1) ELSE x END"
+    fresh = "struct_pack(s := x.s, share := x.share, n := x.n, done := x.done, i := CAST(0 AS BIGINT))"
+    return f"""WITH RECURSIVE w AS (SELECT * FROM (VALUES {values}) v(source, share)),
+d AS (SELECT doc_id, source, coalesce(source,'') AS s, coalesce(length(text),0)+1 AS size, CAST('0x'||substr(md5(coalesce(CAST(doc_id AS VARCHAR),'')),1,15) AS BIGINT) AS h FROM documents),
+o AS (SELECT *, CAST(sum(size) OVER (PARTITION BY s ORDER BY h, doc_id) AS BIGINT) AS own FROM d),
+b AS (SELECT s, (max(own)+65535)//65536 AS n FROM o GROUP BY s),
+st AS (SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS begin, list(struct_pack(s := s, share := CAST(share AS BIGINT), n := CAST(n AS BIGINT), done := CAST(0 AS BIGINT), i := CAST(0 AS BIGINT)) ORDER BY s) AS q, CAST(NULL AS VARCHAR) AS s, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS release, CAST(0 AS BIGINT) AS deadline FROM b JOIN w ON w.source=b.s
+UNION ALL SELECT slot, CASE WHEN ends THEN slot+1 ELSE begin END, CASE WHEN ends THEN list_transform(next, lambda x: {fresh}) ELSE next END, pick.s, pick.block, begin+pick.release, begin+pick.due
+FROM (SELECT *, list_transform(q, lambda x: {step}) AS next, pick.block+1=pick.n AS ends FROM (SELECT *, list_sort(list_transform(list_filter(q, lambda x: x.done<x.n AND {release}<=slot-begin), lambda x: struct_pack(due := {due}, s := x.s, block := x.done, release := {release}, n := x.n)))[1] AS pick
+ FROM (SELECT slot+1 AS slot, begin, q, list_sum(list_transform(list_filter(q, lambda x: x.done<x.n), lambda x: x.share)) AS whole FROM st WHERE len(list_filter(q, lambda x: x.done<x.n))>0))))
+SELECT doc_id, o.source, block, (own-1)//65536 AS last_block, CAST(release AS BIGINT) AS release, CAST(deadline AS BIGINT) AS deadline, slot, own-size AS nth FROM o JOIN st ON st.s=o.s AND st.block=(own-size)//65536 AND st.slot>=0"""
+
+
+PFAIR_SQL = _pfair_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_tree": URL_TREE_SQL, "op8_suffix_array": SUFFIX_ARRAY_SQL, "op9_projection_forest": FOREST_SQL, "op10_site_style": SITE_STYLE_SQL}
+    return {"op6_url_tree": URL_TREE_SQL, "op7_pfair": PFAIR_SQL, "op8_suffix_array": SUFFIX_ARRAY_SQL, "op9_projection_forest": FOREST_SQL, "op10_site_style": SITE_STYLE_SQL}
