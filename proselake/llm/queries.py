@@ -164,5 +164,62 @@ SELECT doc_id, o.source, block, (own-1)//65536 AS last_block, CAST(release AS BI
 PFAIR_SQL = _pfair_sql()
 
 
+def _simhash_sql(seed: int = 42) -> str:
+    """XXH64 of every shingle in 128-bit arithmetic, majorities bit by bit, and fingerprints compared two by two."""
+    m = 1 << 64
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    big = lambda x: f"{x}::UHUGEINT"
+    whole = big(m)
+
+    def rotated(x: str, r: int) -> str:
+        return f"((({x})*{big(1 << r)})%{whole}+({x})//{big(1 << (64 - r))})"
+
+    def times(x: str, p: int) -> str:
+        return f"(({x})*{big(p)})%{whole}"
+
+    def added(x: str, y: str) -> str:
+        return f"(({x})+({y}))%{whole}"
+
+    def lane(v: str, k: str) -> str:
+        return f"({times(rotated(f'({added(v, times(k, p2))})', 31), p1)})"
+
+    def number(at: str, n: int) -> str:  # little-endian bytes from byte `at`
+        return "CAST('0x'||" + "||".join(f"substr(x,2*({at})+{2 * k + 1},2)" for k in reversed(range(n))) + " AS UHUGEINT)"
+
+    zero = big(0)
+    start = [(seed + p1 + p2) % m, (seed + p2) % m, seed, (seed - p1) % m]
+    first = "struct_pack(" + ", ".join(f"a{k} := {big(v)}" for k, v in enumerate(start)) + ")"
+    stripe = "struct_pack(" + ", ".join(f"a{k} := {number(f'32*q+{8 * k}', 8)}" for k in range(4)) + ")"
+    lanes = "struct_pack(" + ", ".join(f"a{k} := {lane(f'v.a{k}', f'z.a{k}')}" for k in range(4)) + ")"
+    mixed = added(added(rotated("v.a0", 1), rotated("v.a1", 7)), added(rotated("v.a2", 12), rotated("v.a3", 18)))
+    for k in range(4):
+        mixed = added(times(f"xor({mixed}, {lane(zero, f'v.a{k}')})", p1), big(p4))
+    eight = added(times(rotated(f"xor(h, {lane(zero, 'z')})", 27), p1), big(p4))
+    four = added(times(rotated(f"xor(h, {times('z', p1)})", 23), p2), big(p3))
+    one = times(rotated(f"xor(h, {times('z', p5)})", 11), p1)
+    words = r"list_filter(string_split_regex(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[\x20\x09-\x0D]+'), lambda w: w<>'')"
+    bits = ", ".join(f"CASE WHEN 2*sum((h{'i' if k >= 32 else 'o'}>>{k % 32})&1)>count(*) THEN {1 << (k % 32)} ELSE 0 END AS b{k}" for k in range(64))
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, {words} AS t FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(t)=0 THEN [] WHEN len(t)<3 THEN [array_to_string(t,' ')] ELSE list_transform(range(1,len(t)-1), lambda k: t[k]||' '||t[k+1]||' '||t[k+2]) END) AS sh FROM w),
+x AS (SELECT sh, lower(hex(encode(sh))) AS x, octet_length(encode(sh)) AS n FROM (SELECT DISTINCT sh FROM s)),
+v AS (SELECT *, CASE WHEN n>=32 THEN list_reduce(list_prepend({first}, list_transform(range(0, n//32), lambda q: {stripe})), lambda v, z: {lanes}) END AS v, n//32*32 AS done FROM x),
+h1 AS (SELECT sh, x, n, done, {added(f"CASE WHEN n>=32 THEN {mixed} ELSE {big((seed + p5) % m)} END", "n::UHUGEINT")} AS h FROM v),
+h2 AS (SELECT sh, x, n, done+(n-done)//8*8 AS done, list_reduce(list_prepend(h, list_transform(range(0, (n-done)//8), lambda q: {number('done+8*q', 8)})), lambda h, z: {eight}) AS h FROM h1),
+h3 AS (SELECT sh, x, n, done+(n-done)//4*4 AS done, list_reduce(list_prepend(h, list_transform(range(0, (n-done)//4), lambda q: {number('done+4*q', 4)})), lambda h, z: {four}) AS h FROM h2),
+h4 AS (SELECT sh, list_reduce(list_prepend(h, list_transform(range(done, n), lambda q: {number('q', 1)})), lambda h, z: {one}) AS h FROM h3),
+h5 AS (SELECT sh, {times(f"xor(h, h//{big(1 << 33)})", p2)} AS h FROM h4), h6 AS (SELECT sh, {times(f"xor(h, h//{big(1 << 29)})", p3)} AS h FROM h5), h7 AS (SELECT sh, xor(h, h//{big(1 << 32)}) AS h FROM h6),
+hh AS (SELECT sh, CAST(h//{big(1 << 32)} AS BIGINT) AS hi, CAST(h%{big(1 << 32)} AS BIGINT) AS ho FROM h7),
+b AS (SELECT doc_id, {bits} FROM s JOIN hh USING (sh) GROUP BY doc_id),
+f AS (SELECT d.doc_id, coalesce({'+'.join(f'b{k}' for k in range(32, 64))},0)::BIGINT AS hi, coalesce({'+'.join(f'b{k}' for k in range(32))},0)::BIGINT AS lo FROM documents d LEFT JOIN b USING (doc_id)),
+g AS (SELECT hi, lo, count(*) AS n_same, min(doc_id) AS low FROM f GROUP BY hi, lo),
+e AS (SELECT a.hi, a.lo, b.low FROM g a JOIN g b ON bit_count(xor(a.hi,b.hi))+bit_count(xor(a.lo,b.lo))<=2),
+r AS (SELECT low AS node, low AS root FROM g UNION SELECT e.low, r.root FROM r JOIN g ON g.low=r.node JOIN e ON e.hi=g.hi AND e.lo=g.lo),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT doc_id, printf('%08x%08x', hi, lo) AS fingerprint, component_id, n_same FROM f JOIN g USING (hi, lo) JOIN c ON c.node=g.low"""
+
+
+SIMHASH_SQL = _simhash_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_tree": URL_TREE_SQL, "op7_pfair": PFAIR_SQL, "op8_suffix_array": SUFFIX_ARRAY_SQL, "op9_projection_forest": FOREST_SQL, "op10_site_style": SITE_STYLE_SQL}
+    return {"op2_simhash": SIMHASH_SQL, "op6_url_tree": URL_TREE_SQL, "op7_pfair": PFAIR_SQL, "op8_suffix_array": SUFFIX_ARRAY_SQL, "op9_projection_forest": FOREST_SQL, "op10_site_style": SITE_STYLE_SQL}
