@@ -137,7 +137,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
             q = _rows(queries["asked"])
             for key, v, code in zip(queries["key"].to_pylist(), q, model.codes(q)):
                 at, _ = tables.nearest(code, enough)
-                d = np.sqrt(((x[at] - v) ** 2).sum(1))
+                d = np.sqrt(np.cumsum((x[at] - v) ** 2, axis=1)[:, -1])  # in order of the dimensions, whatever the batch
                 if len(d) > k + 1:
                     far = np.partition(d, k)[k]
                     at, d = at[d <= far], d[d <= far]

@@ -221,5 +221,11 @@ SELECT doc_id, printf('%08x%08x', hi, lo) AS fingerprint, component_id, n_same F
 SIMHASH_SQL = _simhash_sql()
 
 
+#: All pairs of a query and a candidate. The index gives the same where it probes every code, as it does on fewer than 512 vectors.
+HASH_INDEX_SQL = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0 AND len(list_filter(embedding, lambda x: x<>0))>0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v)+1), lambda k: (c.v[k]-q.v[k])*(c.v[k]-q.v[k])), lambda a, b: a+b)) AS score FROM e q JOIN e c ON c.vec_id<>q.vec_id WHERE q.vec_id%100=0)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM d WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number() OVER w<=10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_simhash": SIMHASH_SQL, "op6_url_tree": URL_TREE_SQL, "op7_pfair": PFAIR_SQL, "op8_suffix_array": SUFFIX_ARRAY_SQL, "op9_projection_forest": FOREST_SQL, "op10_site_style": SITE_STYLE_SQL}
+    return {"op1_multi_index_hashing": HASH_INDEX_SQL, "op2_simhash": SIMHASH_SQL, "op6_url_tree": URL_TREE_SQL, "op7_pfair": PFAIR_SQL, "op8_suffix_array": SUFFIX_ARRAY_SQL, "op9_projection_forest": FOREST_SQL, "op10_site_style": SITE_STYLE_SQL}
