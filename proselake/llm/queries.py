@@ -110,7 +110,7 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 
 #: Pages of one article whose blocks are p and h1: all that these tables hold. Blocks are parted at their tags.
 SITE_STYLE_SQL = r"""WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
-b AS (SELECT page_id, url, list_transform(string_split_regex(a, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM a),
+b AS (SELECT page_id, url, list_transform(string_split_regex(a, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM a),
 t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM t"""
 
