@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.llm import compact_windows, forest, hash_index, language_id, packing, pfair, simhash, site_style, suffix_array, url_tree
+from proselake.llm import compact_windows, forest, hash_index, language_id, packing, pfair, simhash, site_style, suffix_array, url_tree, word_table
 from proselake.llm.common import table
 
 #: Target weights of the mixed stream; other sources weigh the share of all that they hold.
@@ -73,6 +73,12 @@ def op10_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.main_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op12_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by way of its distinct words, and decoded again."""
+    found = word_table.round_trip(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_multi_index_hashing": op1_multi_index_hashing,
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array": op8_suffix_array,
         "op9_projection_forest": op9_projection_forest,
         "op10_site_style": op10_site_style,
+        "op12_word_table": op12_word_table,
     }
 
 
