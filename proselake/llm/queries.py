@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.llm import compact_windows, forest, hash_index, language_id, packing, pfair, simhash, site_style, suffix_array, url_tree, word_table
+from proselake.llm import block_max, compact_windows, forest, hash_index, language_id, packing, part_codes, pfair, simhash, site_style, suffix_array, url_tree, word_table
 from proselake.llm.common import table
 
 #: Target weights of the mixed stream; other sources weigh the share of all that they hold.
@@ -73,12 +73,24 @@ def op10_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.main_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op11_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors over codebooks of 16 parts and 64 entries, moved twice."""
+    found = part_codes.compressed(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 def op12_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by way of its distinct words, and decoded again."""
     found = word_table.round_trip(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op13_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    found = block_max.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").cast("long").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_multi_index_hashing": op1_multi_index_hashing,
@@ -91,7 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array": op8_suffix_array,
         "op9_projection_forest": op9_projection_forest,
         "op10_site_style": op10_site_style,
+        "op11_part_codes": op11_part_codes,
         "op12_word_table": op12_word_table,
+        "op13_block_max": op13_block_max,
     }
 
 
@@ -234,5 +248,37 @@ d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(ran
 SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM d WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number() OVER w<=10"""
 
 
+def _part_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry; the least of distance * entries + index is the nearest of lowest index."""
+    far = "list_sum(list_transform(range(1, len(p.c)+1), lambda k: (p.c[k]-b.c[k])*(p.c[k]-b.c[k])))"
+    steps = [
+        "v AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: CAST(floor(256*x) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0)",
+        f"p AS (SELECT vec_id, label, part, v[part*len(v)//{parts}+1:(part+1)*len(v)//{parts}] AS c FROM v, (SELECT unnest(range(0, {parts})) AS part))",
+        f"b0 AS (SELECT part, rn-1 AS entry, c FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn FROM v) USING (vec_id) WHERE rn<={entries})",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS (SELECT vec_id, part, min({far}*{entries}+entry) AS best FROM p JOIN b{k} b USING (part) GROUP BY vec_id, part)")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT part, entry, list(m ORDER BY d) AS c FROM (SELECT part, entry, d, CAST(floor(sum(x)/count(*)) AS BIGINT) AS m FROM (SELECT part, CAST(best%{entries} AS BIGINT) AS entry, unnest(c) AS x, generate_subscripts(c,1) AS d FROM a{k} JOIN p USING (vec_id, part)) GROUP BY ALL) GROUP BY part, entry)")
+            steps.append(f"b{k + 1} AS (SELECT part, entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m USING (part, entry))")
+    return f"""WITH {', '.join(steps)},
+e AS (SELECT vec_id, string_agg(printf('%02x', CAST(best%{entries} AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(best//{entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM e JOIN v USING (vec_id) GROUP BY label),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM e JOIN v USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM v.label, h"""
+
+
+PART_CODES_SQL = _part_codes_sql()
+
+BLOCK_MAX_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+a AS (SELECT count(*) AS n_docs, sum(len(t)) AS length FROM d WHERE len(t)>0),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000*ln((2*n_docs+2)::DOUBLE/(2*count(*)+1))) AS BIGINT) AS w FROM p, a GROUP BY term, n_docs),
+m AS (SELECT doc_id, CAST(50+(50*len(t)*n_docs)//length AS BIGINT) AS m FROM d, a WHERE len(t)>0),
+s AS (SELECT item_id, doc_id, CAST(sum(w*((1000000000*tf)//(1000*tf+20*m))) AS BIGINT) AS score FROM i JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER r AS INT) AS rank, doc_id, score FROM s WHERE score>0 WINDOW r AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER r<=50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_multi_index_hashing": HASH_INDEX_SQL, "op2_simhash": SIMHASH_SQL, "op6_url_tree": URL_TREE_SQL, "op7_pfair": PFAIR_SQL, "op8_suffix_array": SUFFIX_ARRAY_SQL, "op9_projection_forest": FOREST_SQL, "op10_site_style": SITE_STYLE_SQL}
+    return {"op1_multi_index_hashing": HASH_INDEX_SQL, "op2_simhash": SIMHASH_SQL, "op6_url_tree": URL_TREE_SQL, "op7_pfair": PFAIR_SQL, "op8_suffix_array": SUFFIX_ARRAY_SQL, "op9_projection_forest": FOREST_SQL, "op10_site_style": SITE_STYLE_SQL, "op11_part_codes": PART_CODES_SQL, "op13_block_max": BLOCK_MAX_SQL}
