@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write `df` to the shared checkpoint folder as a table bucketed by `key`, whose rows needn't be shuffled to meet others by it.
+
+    Like a checkpoint's files, the table's stay until the cluster clears the folder.
+    """
+    spark = session_of(df)
+    ensure_checkpoint_dir(spark)
+    name = f"proselake_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

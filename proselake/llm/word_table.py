@@ -4,8 +4,9 @@ Texts are split into words, and a block of documents keeps each of its words onc
 its block's list. The lists are dealt by the words' hash, so that all askers of a word meet where it is encoded, once; its
 ids go back to the blocks and are joined to the documents by place. Decoding joins ids with the vocabulary's pieces.
 
-Only lists of distinct words and packed places are shuffled, never texts or a row for each token. Blocks and buckets grow
-with the input, so that both the number of messages and each one's size stay in bounds.
+Only lists of distinct words are shuffled, never texts or documents: their packed places are written once, bucketed by
+block, and ids come to them. Blocks and buckets grow with the input, so that both the number of messages and each one's size
+stay in bounds.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselake.llm.common import cut, shuffle_partitions
+from proselake.llm.common import bucketed, shuffle_partitions
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words of a lower-case text as this vocabulary's public tokenizer splits them (fixed value), for characters below U+0250:
@@ -102,22 +104,22 @@ def _unmapped(vocabulary: str):
 
 def _packed(n: np.ndarray) -> bytes:
     """Non-negative numbers below 2^32, byte plane by byte plane."""
-    return zlib.compress(np.ascontiguousarray(n, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(n, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(b), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def _pack_words(at: list[int], words: list[bytes]) -> bytes:
     """Words with their places in the block's list, which ascend."""
     head = np.array([len(words), *np.diff(at, prepend=0), *map(len, words)], "<u4")
-    return zlib.compress(head.tobytes() + b"".join(words), 1)
+    return zstandard.compress(head.tobytes() + b"".join(words))
 
 
 def _unpack_words(b: bytes) -> tuple[np.ndarray, list[bytes]]:
-    raw = zlib.decompress(b)
+    raw = zstandard.decompress(b)
     n = int.from_bytes(raw[:4], "little")
     head = np.frombuffer(raw, "<u4", 2 * n, 4)
     ends = np.cumsum(head[n:], dtype=np.int64) + 4 + 8 * n
@@ -135,7 +137,8 @@ def split_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int,
     for mark in added_tokens(vocabulary):
         odd = odd | F.contains(text, F.lit(mark))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), odd.alias("odd"))
-    rows = rows.select("id", F.when(F.col("odd"), F.col("text")).alias("text"), F.when(~F.col("odd"), F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("words"))
+    words = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), "\n")  # no word holds white space
+    rows = rows.select("id", F.when(F.col("odd"), F.col("text")).alias("text"), F.when(~F.col("odd"), words.cast("binary")).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -166,25 +169,18 @@ def split_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int,
             return np.fromiter((at.setdefault(w, len(at)) for w in words), np.uint32, len(words))
 
         for b in batches:
-            ids, texts, lists = b.column(0).to_pylist(), b.column(1), b.column(2)
-            flat = lists.flatten().cast(pa.binary()).dictionary_encode() if b.num_rows else None
-            own = places_of(flat.dictionary.to_pylist()) if flat is not None and len(flat) else np.zeros(0, np.uint32)
-            codes = flat.indices.to_numpy() if flat is not None else np.zeros(0, np.int32)
-            ends = np.cumsum(np.nan_to_num(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)) if b.num_rows else []
-            begin = 0
-            for k, (doc, end) in enumerate(zip(ids, np.asarray(ends).tolist())):
-                if texts[k].is_valid:
-                    places = places_of([plain(w) for w in split_text(texts[k].as_py(), vocabulary)])
+            for doc, text, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if own.is_valid:
+                    places = places_of(own.as_py().split(b"\n") if len(own.as_buffer()) else [])
                 else:
-                    places = own[codes[begin:end]]
-                begin = end
+                    places = places_of([plain(w) for w in split_text(text.as_py(), vocabulary)])
                 chunk.append((doc, places))
                 held += len(places) + 1
                 size += 6 * (len(places) + 1)
                 if held >= CHUNK_WORDS:
                     yield document_rows()
                     chunk, held = [], 0
-            if size >= block_bytes:  # a batch's words are known to this block alone
+            if size >= block_bytes:
                 if chunk:
                     yield document_rows()
                 yield from word_rows()
@@ -207,10 +203,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     each. An empty table gives an empty result. A word or a text may have any length.
     """
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
-    block_bytes = block_bytes or min(max(4 << 20, total // 2000), 64 << 20)
+    block_bytes = block_bytes or min(max(16 << 20, total // 2000), 64 << 20)
     buckets = buckets or max(256, total >> 25)
     parts = max(shuffle_partitions(docs.sparkSession), total >> 24)  # stated, as packed rows look too small to be worth a task
-    split = cut(split_blocks(docs, id_col, text_col, block_bytes, buckets, vocabulary))
+    split = bucketed(split_blocks(docs, id_col, text_col, block_bytes, buckets, vocabulary), "block", parts)
 
     def tell(rows: pa.Table) -> pa.Table:
         lists = [_unpack_words(b.as_py()) for b in rows["words"]]
@@ -250,7 +246,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     asks, own = split.where("bucket >= 0").select("block", "bucket", "words"), split.where("bucket < 0").select("block", "ids", "counts", "places")
     told = asks.repartition(parts, "bucket").groupBy("bucket").applyInArrow(tell, "block long, at binary, n binary, tokens binary")
-    return own.repartition(parts, "block").groupBy("block").cogroup(told.repartition(parts, "block").groupBy("block")).applyInArrow(join, "id long, n_tokens long, ids array<int>, ids_sha256 string")
+    return own.groupBy("block").cogroup(told.repartition(parts, "block").groupBy("block")).applyInArrow(join, "id long, n_tokens long, ids array<int>, ids_sha256 string")
 
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
