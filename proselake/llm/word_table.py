@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from proselake.llm.common import bucketed, shuffle_partitions
 
@@ -32,7 +33,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: there every Unicode version agrees, composition changes nothing, and lower case goes letter by letter.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\u0085 \p{L}\p{N}]+"
 BEYOND = r"[^\x00-ɏ]|İ"
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 18
+OUT_ROWS = 512
 SPLIT = "block long, bucket int, ids array<long>, counts array<int>, places binary, words binary"
 
 
@@ -189,21 +191,23 @@ def split_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int,
         if chunk:
             yield document_rows()
         yield from word_rows()
+        pa.default_memory_pool().release_unused()
 
     names = ["block", "bucket", "ids", "counts", "places", "words"]
     types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
     return rows.mapInArrow(run, SPLIT)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block_bytes: int | None = None, buckets: int | None = None) -> DataFrame:
-    """A row for each document: id, n_tokens, ids (array of int), ids_sha256 (of the ids as little-endian 32-bit integers).
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block_bytes: int | None = None, buckets: int | None = None, outputs: tuple[str, ...] = ("n_tokens", "ids", "ids_sha256")) -> DataFrame:
+    """A row for each document: id and the outputs n_tokens, ids (array of int), ids_sha256 (of the ids as little-endian 32-bit
+    integers) or decoded (as decode() tells), in any choice.
 
     Ids equal those of the vocabulary's tokenizer without special tokens, truncation and padding; an added token's string in
     a text is that token. A null text counts as empty, which has no ids. Rows that repeat an id, or have none, keep a row
     each. An empty table gives an empty result. A word or a text may have any length.
     """
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
-    block_bytes = block_bytes or min(max(16 << 20, total // 2000), 64 << 20)
+    block_bytes = block_bytes or min(max(8 << 20, total // 4000), 64 << 20)
     buckets = buckets or max(256, total >> 25)
     parts = max(shuffle_partitions(docs.sparkSession), total >> 24)  # stated, as packed rows look too small to be worth a task
     split = bucketed(split_blocks(docs, id_col, text_col, block_bytes, buckets, vocabulary), "block", parts)
@@ -232,21 +236,28 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             every, count = np.concatenate(at), np.concatenate(lengths)
             n[every] = count
             start[every] = np.cumsum(count) - count
-        ids, n_tokens, tokens, digests = [], [], [], []
+        out = []
         for docs_, counts, packed in zip(own["ids"], own["counts"], own["places"]):
             places = _unpacked(packed.as_py())
             got = flat[_ranges(start[places], n[places])]
             ends = np.concatenate([[0], np.cumsum(n[places])])[np.concatenate([[0], np.cumsum(counts.values.to_numpy())])]
-            ids.extend(docs_.as_py())
-            n_tokens.extend(np.diff(ends).tolist())
-            tokens.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got.astype(np.int32))))
-            digests.extend(hashlib.sha256(got[s:e].tobytes()).hexdigest() for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()))
-        none = pa.array([], pa.list_(pa.int32()))
-        return pa.table([pa.array(ids, pa.int64()), pa.array(n_tokens, pa.int64()), pa.chunked_array(tokens or [none]), pa.array(digests, pa.string())], names=["id", "n_tokens", "ids", "ids_sha256"])
-
+            for k in range(0, len(docs_), OUT_ROWS):  # small batches, as both sides of the worker hold them
+                cut_ = ends[k : k + OUT_ROWS + 1]
+                tokens = pa.ListArray.from_arrays(pa.array(cut_ - cut_[0], pa.int32()), pa.array(got[cut_[0] : cut_[-1]].astype(np.int32)))
+                made = {"id": docs_.values.slice(k, len(tokens)), "n_tokens": pa.array(np.diff(cut_), pa.int64()), "ids": tokens}
+                if "ids_sha256" in outputs:
+                    made["ids_sha256"] = pa.array([hashlib.sha256(got[s:e].tobytes()).hexdigest() for s, e in zip(cut_[:-1].tolist(), cut_[1:].tolist())], pa.string())
+                if "decoded" in outputs:
+                    made["decoded"] = decoded_texts(tokens, vocabulary)
+                out.append(pa.RecordBatch.from_arrays([made[c] for c in ("id", *outputs)], schema=schema))
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches(out, schema)
+
+    kinds = {"id": ("long", pa.int64()), "n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "ids_sha256": ("string", pa.string()), "decoded": ("string", pa.string())}
+    schema = pa.schema([(c, kinds[c][1]) for c in ("id", *outputs)])
     asks, own = split.where("bucket >= 0").select("block", "bucket", "words"), split.where("bucket < 0").select("block", "ids", "counts", "places")
     told = asks.repartition(parts, "bucket").groupBy("bucket").applyInArrow(tell, "block long, at binary, n binary, tokens binary")
-    return own.groupBy("block").cogroup(told.repartition(parts, "block").groupBy("block")).applyInArrow(join, "id long, n_tokens long, ids array<int>, ids_sha256 string")
+    return own.groupBy("block").cogroup(told.repartition(parts, "block").groupBy("block")).applyInArrow(join, ", ".join(f"{c} {kinds[c][0]}" for c in ("id", *outputs)))
 
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -255,6 +266,18 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, n) + np.arange(int(n.sum()))
 
 
+def decoded_texts(lists: pa.ListArray, vocabulary: str) -> pa.Array:
+    """The pieces of each list of ids, which join the table of pieces by place, with a space between them."""
+    table, flat = pieces(vocabulary), lists.flatten()
+    known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
+    found = table.take(pc.if_else(known, flat, None))
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+    named = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+    if found.null_count:
+        named = pa.array([[p for p in row if p is not None] for row in named.to_pylist()], pa.list_(pa.string()))
+    return pc.if_else(lists.is_valid(), pc.binary_join(named, " "), None).cast(pa.string())
+
+
 def decode(encoded: DataFrame, ids_col: str = "ids", to: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
     """All columns and the text of the ids, as the vocabulary's tokenizer decodes them with special tokens kept.
 
@@ -263,25 +286,14 @@ def decode(encoded: DataFrame, ids_col: str = "ids", to: str = "decoded", vocabu
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(vocabulary)
         for b in batches:
-            if not b.num_rows:
-                continue
-            lists = b.column(b.schema.get_field_index(ids_col))
-            flat = lists.flatten()
-            known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
-            found = table.take(pc.if_else(known, flat, None))
-            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
-            named = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
-            if found.null_count:
-                named = pa.array([[p for p in row if p is not None] for row in named.to_pylist()], pa.list_(pa.string()))
-            texts = pc.if_else(lists.is_valid(), pc.binary_join(named, " "), None)
-            yield pa.RecordBatch.from_arrays([*b.columns, texts.cast(pa.string())], names=[*b.schema.names, to])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{fields}, `{to}` string")
+            if b.num_rows:
+                texts = decoded_texts(b.column(b.schema.get_field_index(ids_col)), vocabulary)
+                yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, to])
+
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(to, StringType())]))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded): every text encoded, and its ids decoded."""
-    return decode(encode(docs, id_col, text_col, vocabulary), vocabulary=vocabulary).drop("ids")
+    return encode(docs, id_col, text_col, vocabulary, outputs=("n_tokens", "ids_sha256", "decoded"))
