@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proselake.functions import lexicon
 from proselake.functions import text as T
+from proselake.operators import phrase_bank
 from proselake.sources.files import materialized
 
 
@@ -98,52 +97,12 @@ def two_pass_phrases(messages: DataFrame, unit: str = "conv_id", short_messages:
     return distinct_phrases(materialized(short.unionByName(long)), unit)
 
 
-def variant_score(variant: str, sentence: Column, t: Column, joined: Column, own: Column) -> Column:
-    """How well a stock expression fits a sentence, 0 to 1: see cliches()."""
-    import re
-
-    words = re.findall(T.PHRASE_TOKEN, variant.lower())
-    if not words:
-        return F.lit(0.0)
-    if len(words) == 1:
-        return F.when(F.lower(sentence).rlike(r"(?U)\b" + re.escape(variant) + r"\b"), 1.0).otherwise(0.0)
-    if len(words) <= 3:
-        return F.when(F.contains(joined, F.lit(" ".join(words))), 1.0).otherwise(0.0)
-    grams = sorted({" ".join(words[k : k + 3]) for k in range(len(words) - 2)})
-    wanted = T.array_of(grams)
-    window = F.least(F.lit(len(words) + 2), F.size(t))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - window + 1))
-    best = F.aggregate(starts, F.lit(0), lambda b, i: F.greatest(b, F.size(F.array_intersect(wanted, F.slice(own, i, F.greatest(F.lit(0), window - 2))))))
-    some = reduce(lambda a, b: a | b, (F.contains(joined, F.lit(g)) for g in grams))
-    return F.when(some, best / F.lit(float(len(grams)))).otherwise(0.0)
-
-
 def cliches(df: DataFrame, bank: list, unit: str = "doc_id", text_col: str = "text", threshold: float = 0.4) -> DataFrame:
     """Stock expressions in sentences: unit, i, sentence, grp, phrase, score, a row for the best variant of each group.
 
-    A group is a list of variants or a dict with a regular expression. One word must stand whole; two or three must be in the
-    sentence's words; longer ones score the share of their word triples that a window two words longer holds. A regular
-    expression scores 1 unless its match spans a sentence boundary.
+    phrase_bank.found() tells what fits; the plan is as large for any bank.
     """
-    s = exploded_sentences(df, unit, text_col).withColumn("t", T.tokens("sentence", T.PHRASE_TOKEN)).withColumn("joined", F.array_join("t", " "))
-    s = s.withColumn("own", T.joined_ngrams(F.col("t"), 3))
-    hits = []
-    for k, group in enumerate(bank):
-        if isinstance(group, dict) and group.get("kind") == "regex":
-            match = T.strip(F.regexp_extract(F.col("sentence"), "(?i)(" + group["pattern"] + ")", 1))
-            hit = F.when((match != "") & ~match.rlike(r"""[.!?]["”’'*_)\]]*(\s|[A-Z])"""), F.struct(F.lit(k).alias("grp"), match.alias("phrase"), F.lit(1.0).alias("score")))
-        else:
-            variants = group["variants"] if isinstance(group, dict) else group
-            scored = []
-            for v in variants:
-                score = variant_score(v, F.col("sentence"), F.col("t"), F.col("joined"), F.col("own"))
-                scored.append(F.struct(F.lit(k).alias("grp"), F.lit(v).alias("phrase"), score.alias("score")))
-            best = reduce(lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a), scored)
-            least = F.lit(threshold)
-            hit = F.when((best["score"] >= least) & (best["score"] > 0), best)
-        hits.append(hit)
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return s.select(unit, "i", "sentence", F.explode(found).alias("h")).select(unit, "i", "sentence", "h.grp", "h.phrase", "h.score")
+    return phrase_bank.found(exploded_sentences(df, unit, text_col), bank, threshold)
 
 
 def distinct_hits(hits: DataFrame, unit: str = "doc_id", overlap: float = 0.5) -> DataFrame:

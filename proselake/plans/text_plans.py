@@ -208,6 +208,37 @@ def cliche_hits(spark, d):
     return detectors.distinct_hits(detectors.cliches(table(spark, d, "documents"), BANK)).withColumn("score", F.round("score", 8))
 
 
+def item_bank(spark, d):
+    """A bank of thousands of variants: every run of 3 and of 6 words of each benchmark item, a group for each item."""
+    t = T.tokens("text", T.PHRASE_TOKEN)
+    runs = F.array_distinct(F.flatten(F.array(T.joined_ngrams(t, 3), T.joined_ngrams(t, 6))))
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", runs.alias("variants")).where(F.size("variants") > 0)
+    return [(r["item_id"], r["variants"]) for r in items.orderBy("item_id").toLocalIterator()]
+
+
+_ITEM_T = "(SELECT item_id, t FROM (SELECT item_id, " + tokens_("text", "[a-z0-9]+(?:''[a-z]+)?") + " AS t FROM benchmark))"
+
+
+@query(f"""WITH s AS ({exploded_('doc_id', sentences_('text'), 'documents')}), t AS (SELECT doc_id, i, {tokens_('sentence', "[a-z0-9]+(?:''[a-z]+)?")} AS t FROM s),
+r AS (SELECT item_id, {grams_('t', 3)} AS r3, {grams_('t', 6)} AS r6 FROM {_ITEM_T}),
+o AS (SELECT item_id, phrase, min(k) AS k FROM (SELECT item_id, unnest(list_concat(r3,r6)) AS phrase, generate_subscripts(list_concat(r3,r6),1) AS k FROM r) GROUP BY ALL),
+v AS (SELECT item_id, phrase, k, string_split(phrase,' ') AS w FROM o),
+j AS (SELECT doc_id, i, array_to_string(t,' ') AS j, len(t) AS n FROM t),
+short AS (SELECT doc_id, i, item_id, k, phrase, CAST(1 AS DOUBLE) AS score FROM j JOIN v ON contains(j.j, v.phrase) WHERE len(w)=3),
+g AS (SELECT doc_id, i, len(t) AS n, unnest({grams_('t', 3)}) AS g, generate_subscripts({grams_('t', 3)},1) AS pos FROM t),
+vg AS (SELECT DISTINCT item_id, k, phrase, unnest({grams_('w', 3)}) AS g FROM v WHERE len(w)=6), ng AS (SELECT item_id, k, count(*) AS n_grams FROM vg GROUP BY ALL),
+h AS (SELECT doc_id, i, n, pos, g.g, item_id, k, phrase FROM g JOIN vg USING (g)),
+long AS (SELECT doc_id, i, item_id, k, phrase, max(hit)/any_value(n_grams) AS score FROM (SELECT a.doc_id, a.i, a.item_id, a.k, a.phrase, a.pos, count(DISTINCT z.g) AS hit FROM h a JOIN h z ON z.doc_id=a.doc_id AND z.i=a.i AND z.item_id=a.item_id AND z.k=a.k AND z.pos BETWEEN a.pos AND a.pos+least(8,a.n)-3 GROUP BY ALL) JOIN ng USING (item_id, k) GROUP BY ALL),
+e AS (SELECT * FROM short UNION ALL SELECT * FROM long WHERE score>=0.4)
+SELECT doc_id, CAST(i AS INT) AS i, item_id, phrase, round(score,8) AS score FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, i, item_id ORDER BY score DESC, k)=1""")
+def phrase_bank_items(spark, d):
+    """Thousands of variants over all documents, one plan whatever the bank's size."""
+    bank = item_bank(spark, d)
+    hits = detectors.cliches(table(spark, d, "documents"), [v for _, v in bank])
+    names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(bank)], "grp int, item_id long")
+    return hits.join(F.broadcast(names), "grp").select("doc_id", "i", "item_id", "phrase", F.round("score", 8).alias("score"))
+
+
 def told_templates(t, unit):
     """Flat columns of the clusters of a text."""
     lines = F.array_join(F.transform("flagged", lambda f: F.concat(f["template"], F.lit(":"), f["n"].cast("string"))), "|")
