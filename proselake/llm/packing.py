@@ -9,6 +9,7 @@ round everything is kept. No text and no ids are shuffled, only (id, piece, leng
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,15 @@ END_ID = 2
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Runs of white space beyond this length go to the library whose splitting keeps no place for each character of a run.
+LONG_RUN = 100_000
+SPACE = re.compile(r"\s+")
+
+
+def _has_long_run(text: str) -> bool:
+    return len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in SPACE.finditer(text))
+
+
 def _byte_of_char() -> dict[str, int]:
     """Printable stand-in of each byte in the vocabulary file: visible Latin-1 characters stand for themselves."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -40,9 +50,11 @@ def encoder(vocabulary: str):
     """The byte-level BPE of a tokenizers JSON file, run by the faster of the two libraries that read this vocabulary.
 
     Ids equal those of tokenizers.Tokenizer.encode(add_special_tokens=False): an added token's string in a text is that token.
+    Texts with very long runs of white space, which the faster one can't split, are left to tokenizers itself.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
         spec = json.load(f)
@@ -51,8 +63,11 @@ def encoder(vocabulary: str):
     ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     encoding = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     marks = tuple(special)
+    whole = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(public_tokenizers.path(vocabulary)))
 
     def encode(text: str) -> list[int]:
+        if _has_long_run(text):
+            return whole().encode(text, add_special_tokens=False).ids
         if any(m in text for m in marks):
             return encoding.encode(text, allowed_special="all")
         return encoding.encode_ordinary(text)
@@ -189,7 +204,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, task_rows: int = 200_000,
 def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Pieces of all documents with their place: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null texts count as empty. Rows that repeat an id keep a piece each: they are told apart by a row number, and so are
+    Null texts count as empty; a text may have any length and be white space alone. Rows that repeat an id keep a piece each: they are told apart by a row number, and so are
     rows with a null id.
     """
     pieces = cut(tokenized(docs, id_col, text_col, capacity, vocabulary).withColumn("row", F.monotonically_increasing_id()))

@@ -171,3 +171,17 @@ def test_op4_by_brute_force(spark, tmp_path):
         assert got[k]["lang_pred"] == languages[int(f.argmax())] and abs(got[k]["score"] - e.max() / e.sum()) < 1e-3
     assert all((got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0) for k in got if k not in told)
     assert {k: r["held_out"] for k, r in got.items()} == held
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + " \n\t" * 700_000 + "b " + " " * 1_000_001 + "c <|endoftext|>"])
+def test_long_white_space(spark, text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY)).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(packing.VOCABULARY)(text) == want
+    docs = spark.createDataFrame([(1, text), (2, "word"), (3, None)], "doc_id long, text string")
+    rows = packing.packed_documents(docs).collect()
+    assert sum(r["length"] for r in rows if r["id"] == 1) == len(want) + 1
+    ids = np.array([*want, packing.END_ID], "<u4")
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in rows if r["id"] == 1)

@@ -124,3 +124,13 @@ def test_entry_without_llm(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') and k[2].isdigit() for k in q), 'pipeline' in q)"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     n, has_ops, has_pipeline = said.stdout.split()
     assert int(n) > 50 and (has_ops, has_pipeline) == ("False", "False"), said.stderr
+
+
+def test_pipeline_with_long_white_space(spark, tmp_path):
+    """A document that holds a very long run of white space goes through every stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = docs.limit(1).select(F.lit(10_000_000).cast("long").alias("doc_id"), F.concat(F.lit("Some quiet words of a page"), F.expr("repeat(chr(10), 1100000)"), F.lit("and more of them")).alias("text"), "lang", "source", "n_chars")
+    docs.unionByName(long).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert any(r["doc_id"] == 10_000_000 for r in rows)
