@@ -120,11 +120,21 @@ def distinct_hits(hits: DataFrame, unit: str = "doc_id", overlap: float = 0.5) -
     return h.select(unit, "i", "sentence", F.explode(kept).alias("h")).select(unit, "i", "sentence", "h.grp", "h.phrase", "h.score")
 
 
+def first_words(text_col: str = "text") -> Column:
+    """The first word of each sentence in lower case."""
+    return F.transform(T.sentences(text_col), lambda s: F.lower(F.element_at(F.split(s, r"\s+"), 1)))
+
+
+def reuse_rate(f: Column) -> Column:
+    """Share of the members of a list that were there before; null for fewer than two."""
+    n, d = F.size(f), F.size(F.array_distinct(f))
+    return F.when(n >= 2, (n - d) / (n - 1))
+
+
 def opener_repeat(df: DataFrame, unit: str, text_col: str = "text") -> DataFrame:
     """(unit, rate): share of sentences that reuse a first word of the unit; units with one sentence have no row."""
-    firsts = F.transform(T.sentences(text_col), lambda s: F.lower(F.element_at(F.split(s, r"\s+"), 1)))
-    n, d = F.size("f"), F.size(F.array_distinct("f"))
-    return df.select(unit, firsts.alias("f")).where(n >= 2).select(unit, ((n - d) / (n - 1)).alias("rate"))
+    f = df.select(unit, first_words(text_col).alias("f"))
+    return f.select(unit, reuse_rate(F.col("f")).alias("rate")).where("rate IS NOT NULL")
 
 
 def structure_share(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -46,6 +46,15 @@ def partial_reject(rates: dict[str, Column], base: dict[str, Column], done: Colu
     return F.when((done > 0) & (done < total) & (penalty > base_objective - floor + MARGIN), base_objective + penalty)
 
 
+def partial_reject_value(rates: dict[str, float], base: dict[str, float], done: float, total: float, base_objective: float, floor: float = 0.0) -> float | None:
+    """partial_reject() of numbers, for a run that is watched from outside; rates that aren't measured count as clean."""
+    penalty = 0.0
+    for n, (linear, square) in (("opener", OPENER), ("audit", AUDIT), ("intra", INTRA), ("struct", STRUCT)):
+        e = max(0.0, rates.get(n, 0.0) * done / total - base.get(n, 0.0)) if total else 0.0
+        penalty += linear * e + square * e * e
+    return base_objective + penalty if 0 < done < total and penalty > base_objective - floor + MARGIN else None
+
+
 def two_sided(score: Column, density: Column) -> Column:
     return score - BETA * density
 

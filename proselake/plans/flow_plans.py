@@ -7,13 +7,15 @@ import json
 from pyspark.sql import functions as F
 
 from proselake.functions import text as T
-from proselake.operators import audit
+from proselake.operators import audit, detectors, objective
 from proselake.operators import building as B
 from proselake.operators import evaluation as E
 from proselake.operators import scoring as S
+from proselake.plans.data_plans import horner
 from proselake.plans.registry import exploded_, key_, narration_, query, sentences_, strip_, table, tokens_
 from proselake.sources import files
-from proselake.streaming import twins
+from proselake.operators import dataset as D
+from proselake.streaming import deltas, ledger, state, twins
 
 _SENT = f"({exploded_('doc_id', sentences_('text'), 'documents')})"
 
@@ -160,3 +162,81 @@ def stream_openers(spark, d):
 
     twins.run_batches(s, path + "/state", count).awaitTermination()
     return spark.read.schema("opener string, n long").parquet(path + "/out").groupBy("opener").agg(F.sum("n").alias("n"))
+
+
+_OUTCOME = "CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'signup' THEN 'rejected' ELSE 'error' END"
+_RETRY_MS = 6 * 3_600_000
+
+
+@query(f"""WITH a AS (SELECT user_id AS key, event_id AS attempt, epoch_us(ts)//1000 AS t, {_OUTCOME} AS outcome FROM events),
+w AS (SELECT *, count(*) FILTER (WHERE outcome='error') OVER o AS failures, lead(t) OVER o AS next, row_number() OVER o AS n FROM a WINDOW o AS (PARTITION BY key ORDER BY t, attempt)),
+e AS (SELECT key, n, failures, CASE WHEN outcome<>'error' THEN outcome WHEN failures=3 THEN 'exhausted' ELSE 'expired' END AS status, CASE WHEN outcome<>'error' OR failures=3 THEN t ELSE t+{_RETRY_MS} END AS ended
+FROM w WHERE outcome<>'error' OR failures=3 OR next IS NULL OR next>t+{_RETRY_MS})
+SELECT key, status, CAST(failures AS INT) AS failures, CAST(ended AS BIGINT) AS ended FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY n)=1""")
+def stream_ledger(spark, d):
+    """Attempts of users, from their events in slices of a quarter of the time, each slice by a stream that starts again where the last one ended."""
+    path = files.scratch(spark)
+    outcome = F.when(F.col("event_type") == "purchase", "accepted").when(F.col("event_type") == "signup", "rejected").otherwise("error")
+    a = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("attempt"), F.col("ts").cast("timestamp").alias("at"), outcome.alias("outcome"))
+    first, last = a.agg(F.min(F.unix_millis("at")), F.max(F.unix_millis("at"))).first()
+    quarter = F.floor((F.unix_millis("at") - first) * 4 / (last - first + 1))
+    closing = spark.createDataFrame([(None, None)], "key long, attempt long").select("key", "attempt", F.timestamp_millis(F.lit(last + 40 * 86_400_000)).alias("at"), F.lit("error").alias("outcome"))
+    for k in range(5):  # the last slice moves the time beyond every key's end
+        (a.where(quarter == k) if k < 4 else closing).write.mode("append").parquet(path + "/in")
+        stream = ledger.ledger_stream(spark.readStream.schema(a.schema).parquet(path + "/in"), 3, "6 hours", "1 day")
+        with state.keyed_state(spark):
+            q = stream.writeStream.format("parquet").option("path", path + "/out").option("checkpointLocation", path + "/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path + "/out").withColumn("ended", F.unix_millis("ended"))
+
+
+@query(exploded_("doc_id", sentences_("text"), "documents"))
+def stream_sentences(spark, d):
+    """Sentences of documents whose texts come in pieces of 200 characters, a third of each text in each batch."""
+    path = files.scratch(spark)
+    pieces = deltas.in_pieces(table(spark, d, "documents"))
+    for k in range(3):
+        pieces.where(F.floor(F.col("at") * 3 / F.col("n")) == k).drop("n").write.mode("append").parquet(path + "/in")
+        stream = deltas.sentence_stream(spark.readStream.schema(pieces.drop("n").schema).parquet(path + "/in"))
+        with state.keyed_state(spark):
+            q = stream.writeStream.format("parquet").option("path", path + "/out").option("checkpointLocation", path + "/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path + "/out").withColumn("i", F.col("i").cast("long"))
+
+
+_SLICE = horner("md5('slice:'||CAST(conv_id AS VARCHAR))", 4, 8)
+_BASE = {"opener": 0.01, "struct": 0.0}
+_OBJECTIVE = 0.02
+
+
+@query(rf"""WITH r AS (SELECT {_SLICE} AS k, {sentences_('text')} AS ss, string_split_regex(coalesce(text,''),'\r?\n') AS ls FROM conversations WHERE role='assistant'),
+f AS (SELECT k, list_transform(ss, lambda s: lower(string_split_regex(s,'\s+')[1])) AS f, len(list_filter(ls, lambda l: regexp_matches(l,'\S'))) AS n_lines, len(list_filter(ls, lambda l: regexp_matches(l,'^\s*(\*\*|#{{1,3}}\s|\d+\.\s|[-*•]\s)'))) AS marked FROM r),
+b AS (SELECT k, count(*) AS done, sum(CASE WHEN len(f)>=2 THEN (len(f)-len(list_distinct(f)))/(len(f)-1) END) AS reuse, count(*) FILTER (WHERE len(f)>=2) AS told, sum(n_lines) AS n_lines, sum(marked) AS marked FROM f GROUP BY k),
+s AS (SELECT s.k, coalesce(sum(done),0) AS done, coalesce(sum(reuse),0) AS reuse, coalesce(sum(told),0) AS told, coalesce(sum(n_lines),0) AS n_lines, coalesce(sum(marked),0) AS marked, (SELECT sum(done) FROM b) AS total FROM (SELECT unnest(range(0,8)) AS k) s LEFT JOIN b ON b.k<=s.k GROUP BY s.k),
+e AS (SELECT k, done, total, greatest(0, coalesce(reuse/nullif(told,0),0)*done/total-{_BASE['opener']}) AS o, greatest(0, coalesce(marked/nullif(n_lines,0),0)*done/total-{_BASE['struct']}) AS m FROM s),
+p AS (SELECT k, done, total, 2*o+8*o*o+2*m+8*m*m AS penalty FROM e), a AS (SELECT k, done, round({_OBJECTIVE}+penalty,6) AS value FROM p WHERE done>0 AND done<total AND penalty>{_OBJECTIVE}+0.05 ORDER BY k LIMIT 1)
+SELECT CAST(k AS INT) AS batch, CAST(done AS BIGINT) AS done, value FROM a UNION ALL SELECT -1, CAST((SELECT max(total) FROM s) AS BIGINT), -1 WHERE NOT EXISTS (SELECT 1 FROM a)""")
+def stream_aborted(spark, d):
+    """Replies that come in eight slices, stopped at the slice after which clean replies alone could no longer save the run."""
+    path = files.scratch(spark)
+    replies = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
+    total = replies.count()
+    f, lines = detectors.first_words(), F.filter(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), lambda line: line.rlike(r"\S"))
+    marked = F.filter(lines, lambda line: line.rlike(r"^\s*(\*\*|#{1,3}\s|\d+\.\s|[-*•]\s)"))
+    rate = detectors.reuse_rate(f)
+    metrics = {"done": F.count(F.lit(1)), "reuse": F.sum(rate), "told": F.count(rate), "n_lines": F.sum(F.size(lines)), "marked": F.sum(F.size(marked))}
+
+    def bound(m):
+        rates = {"opener": m["reuse"] / m["told"] if m["told"] else 0.0, "struct": m["marked"] / m["n_lines"] if m["n_lines"] else 0.0}
+        return objective.partial_reject_value(rates, _BASE, m["done"], total, _OBJECTIVE)
+
+    sums = {}
+    for k in range(8):
+        replies.where(D.md5_bucket("slice", F.col("conv_id"), 8) == k).write.mode("append").parquet(path + "/in")
+        stream = spark.readStream.schema(replies.schema).parquet(path + "/in")
+        try:
+            sums = twins.run_bounded(stream, path + "/state", lambda b, _: b.write.mode("append").parquet(path + "/out"), metrics, bound, sums)
+        except twins.Aborted as a:
+            done = spark.read.schema(replies.schema).parquet(path + "/out").count()
+            return spark.createDataFrame([(k, done, round(a.value, 6))], "batch int, done long, value double")
+    return spark.createDataFrame([(-1, total, -1.0)], "batch int, done long, value double")

@@ -9,7 +9,7 @@ import pytest
 from proselake import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations events".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are missing")
 
 

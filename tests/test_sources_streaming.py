@@ -139,3 +139,97 @@ def test_projection_domain(spark):
     bad = spark.createDataFrame([("other", None, None)], "o string, d string, f string")
     with pytest.raises(Exception, match="no projection"):
         bad.select(choices.projection(*(F.col(c) for c in "odf"))).collect()
+
+
+# ---- keyed state ----
+
+
+def _finished(stream, folder, state):
+    with state.keyed_state(stream.sparkSession):
+        q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def test_ledger_killed_and_restarted(spark, tmp_path):
+    """Attempts in files of overlapping times, a stream that is stopped between them and fails inside one: each key ends once."""
+    import datetime as dt
+    import random
+
+    from proselake.streaming import ledger, state
+
+    draw, t0, schema = random.Random(3), dt.datetime(2024, 1, 1), "key long, attempt long, at timestamp, outcome string"
+    rows = [(draw.randrange(30) if i % 50 else None, i, t0 + dt.timedelta(hours=i * 3 + draw.randrange(10)), draw.choice(["error"] * 7 + ["accepted", "rejected"])) for i in range(300)]
+    rows += rows[:20]  # repeated attempts
+    last = (None, 10**9, t0 + dt.timedelta(days=400), "error")
+    source = str(tmp_path / "in")
+
+    def arrive(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def fails(x):
+        raise RuntimeError("killed")
+
+    stream = lambda: ledger.ledger_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
+    arrive(rows[:100])
+    _finished(stream(), tmp_path, state)
+    arrive(rows[100:200])
+    killed = stream().select("*", F.udf(fails, "string")("status").alias("x"))
+    with state.keyed_state(spark):
+        q = killed.writeStream.foreachBatch(lambda b, k: b.collect() and None).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    with pytest.raises(Exception):
+        q.awaitTermination()
+    _finished(stream(), tmp_path, state)
+    for part in (rows[200:], [last]):
+        arrive(part)
+    got = sorted(tuple(r) for r in _finished(stream(), tmp_path, state).collect())
+    want = sorted(tuple(r) for r in ledger.ledger_batch(spark.createDataFrame(rows, schema)).collect())
+    assert got == want and len({g[0] for g in got}) == len(got) == 30
+    assert {g[1] for g in got} == {"accepted", "rejected", "expired", "exhausted"}
+    _finished(stream(), tmp_path, state)  # nothing new
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
+TEXTS = [
+    'He left. "Stay." She sat.', "One.\n\nTwo", 'He said "no."  \n \n "Yes!" \n\n\n And   then… (so.) it ended', "", None, "  \n \n ", "  a. b. c.  ", 'x." \n\ny', 'x."\n\n"y." z.\n', "No end", "...\n\n... ! ?", "A. B. C.\x0bD",
+]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_pieces_of_text(size):
+    from proselake.streaming import deltas
+
+    for text in TEXTS:
+        done, open_ = [], ""
+        for k in range(0, len(text or ""), size):
+            more, open_ = deltas.closed(open_ + text[k : k + size])
+            done += more
+        assert done + deltas.sentences_of(open_) == deltas.sentences_of(text or ""), text
+
+
+def test_sentences_as_they_come(spark, tmp_path):
+    """Pieces in any order over several batches, some of them twice."""
+    from proselake.streaming import deltas, state
+
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
+    pieces = deltas.in_pieces(texts, size=4).drop("n")
+    source = str(tmp_path / "in")
+    for part in ("at % 3 = 1", "at = 1", "at % 3 = 0", "at % 3 = 2"):
+        pieces.where(part).coalesce(1).write.mode("append").parquet(source)
+    stream = deltas.sentence_stream(spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 1).parquet(source))
+    got = sorted(tuple(r) for r in _finished(stream, tmp_path, state).collect())
+    assert got == sorted(tuple(r) for r in detectors.exploded_sentences(texts, "doc_id", "text").collect())
+
+
+def test_stream_stops_before_its_next_batch(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for k in range(5):
+        spark.createDataFrame([(k,)] * 3, "n int").coalesce(1).write.mode("append").parquet(source)
+    seen, metrics = [], {"rows": F.count(F.lit(1)), "total": F.sum("n")}
+    stream = lambda: spark.readStream.schema("n int").option("maxFilesPerTrigger", 1).parquet(source)
+    with pytest.raises(twins.Aborted) as told:
+        twins.run_bounded(stream(), str(tmp_path / "ck"), lambda b, k: seen.append((k, b.count())), metrics, lambda m: m["total"] / 2 if m["total"] >= 8 else None)
+    assert seen == [(0, 3), (1, 3), (2, 3)] and (told.value.value, told.value.batch) == (4.5, 2)
+    # started again without a bound, the batches that weren't done follow
+    after = twins.run_bounded(stream(), str(tmp_path / "ck"), lambda b, k: seen.append((k, b.count())), metrics, lambda m: None, {"rows": 9, "total": 9})
+    assert seen[3:] == [(3, 3), (4, 3)] and after == {"rows": 15, "total": 30}
