@@ -100,11 +100,15 @@ def best_trial(log: DataFrame) -> DataFrame:
 
 def under_floor(log: DataFrame, percent: float = 20.0, margin: float = 20.0) -> DataFrame:
     """(trial, value, floor): values up to the mean of the best `percent`, plus `margin` percent of its size."""
-    order, every = Window.orderBy("value", "trial"), Window.partitionBy()
-    k = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(every) * percent / 100))
-    best = log.select("trial", "value", F.row_number().over(order).alias("n"), k.alias("k"))
-    mean = F.avg(F.when(F.col("n") <= F.col("k"), F.col("value"))).over(every)
-    return best.withColumn("floor", mean + F.abs(mean) * margin / 100).where("value <= floor").select("trial", "value", "floor")
+    import math
+
+    from proselake.operators.selection import among_smallest
+
+    known = log.where("value IS NOT NULL")
+    best = among_smallest(known, max(1, math.ceil(known.count() * percent / 100)), "value", "trial")
+    mean = known.where(best).agg(F.avg("value")).first()[0]
+    floor = F.lit(None if mean is None else mean + abs(mean) * margin / 100).cast("double")
+    return known.withColumn("floor", floor).where("value <= floor").select("trial", "value", "floor")
 
 
 def single_word(answer: Column) -> Column:

@@ -127,10 +127,3 @@ def mean_pooling(spark, d):
 @query(f"WITH {LONG}, c AS (SELECT dim, covar_pop(label, x) AS c FROM long GROUP BY dim) SELECT CAST(dim AS INT) AS dim, round(c/greatest(sqrt(sum(c*c) OVER ()),1e-8),8) AS axis FROM c")
 def covariance_axis(spark, d):
     return rounded(V.covariance_axis(long(spark, d).withColumn("label", F.col("label").cast("double")), "label"), "axis")
-
-
-@query("SELECT CAST(1.9 AS DOUBLE) AS objective")
-def joint_objective(spark, d):
-    w = B.weights("1.0,0.5", ["a", "b"])
-    rows = spark.createDataFrame([(a, 1.0 if a == "a" else 0.8, 0.25, w[a]) for a in w], "axis string, primary double, penalty double, weight double")
-    return rows.agg(F.round(B.joint_objective(rows), 8).alias("objective"))

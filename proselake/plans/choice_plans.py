@@ -35,30 +35,6 @@ def contained_runs(spark, d):
     return t.join(u, "doc_id").select("doc_id", T.contains_run(first, F.col("t")).alias("own"), T.contains_run(first, F.col("u")).alias("next"))
 
 
-@query("SELECT CAST(n AS BIGINT) AS n, CAST(floor(n*0.15) AS BIGINT) AS low, CAST(n AS BIGINT) AS high, CAST(floor(n*0.05) AS BIGINT) AS lower FROM range(10,101,10) t(n)")
-def layer_windows(spark, d):
-    n = spark.range(10, 101, 10).withColumnRenamed("id", "n")
-    w = n.select("n", B.layer_window(F.col("n")).alias("w"), B.layer_window(F.col("n"), 0.05).alias("v"))
-    return w.select("n", F.col("w.low").alias("low"), F.col("w.high").alias("high"), F.col("v.low").alias("lower"))
-
-
-_CHOICES = [("none", None, None, None, None, None), ("fallback", None, None, None, "plain", True), ("data", None, None, "length", "plain", True), ("raw", None, None, "", "plain", False), ("override", None, "plain", "", None, None), ("forced", "1", "length", None, None, None), ("off", "0", None, "", None, None)]
-
-
-@query("""SELECT axis, coalesce(po,bd,fb,'') AS projection, CASE WHEN no IS NOT NULL THEN no='1' WHEN po IS NULL AND bd IS NULL THEN coalesce(fn,false) ELSE coalesce(po,bd,fb,'')='' END AS keeps_norms
-FROM (VALUES """ + ",".join("(" + ",".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in r) + ")" for r in _CHOICES) + ") v(axis,no,po,bd,fb,fn)")
-def projection_choices(spark, d):
-    r = spark.createDataFrame(_CHOICES, "axis string, norms string, override string, data string, fallback string, fallback_norms boolean")
-    own = [F.col(c) for c in ("override", "data", "fallback")]
-    return r.select("axis", C.projection(*own).alias("projection"), C.keeps_norms(F.col("norms"), *own, F.col("fallback_norms")).alias("keeps_norms"))
-
-
-@query("""SELECT axis||'_'||name AS key, kind, CAST(CASE WHEN name='dir_layer' THEN floor(layers*low) ELSE least END AS DOUBLE) AS least, CAST(CASE WHEN name='dir_layer' THEN layers ELSE most END AS DOUBLE) AS most
-FROM (VALUES ('warm',40,0.15),('cold',33,0.05)) a(axis,layers,low), (VALUES ('per_layer','choice',0,1),('dir_layer','int',0,0),('max_weight','float',0.2,1),('max_pos','float',0.2,1),('min_weight','float',0,0.4),('min_dist','float',0.1,1),('mlp_scale','float',0,1)) p(name,kind,least,most)""")
-def joint_search_space(spark, d):
-    return C.search_space(spark.createDataFrame([("warm", 40, 0.15), ("cold", 33, 0.05)], "axis string, layers int, low double"))
-
-
 @query("""WITH t AS (SELECT role, length(text)/(length(text)+200.0) AS p, len(regexp_extract_all(lower(text),'[aeiou]'))/greatest(1,length(text)) AS density FROM conversations),
 a AS (SELECT role, avg(p) AS p, avg(density) AS density FROM t GROUP BY role) SELECT role, round(p-5*density,8) AS primary_value, round(2*greatest(0,1-density/0.5),8) AS floor, CAST(CASE WHEN role='user' THEN -5 ELSE 0 END AS DOUBLE) AS bound FROM a""")
 def axis_primaries(spark, d):
@@ -67,25 +43,12 @@ def axis_primaries(spark, d):
     return rounded(r, "primary_value", "floor").withColumn("bound", C.primary_floor(F.col("role") == "user", 5.0))
 
 
-@query("SELECT axis, CAST(i AS INT) AS layer, round(0.5*(least+(most-least)*greatest(0,1-abs(i-pos*11)/(dist*11))),8) AS weight FROM (VALUES ('warm',0.8,0.4,0.1,0.3),('cold',1.0,0.9,0.0,0.5)) v(axis,most,pos,least,dist), range(12) t(i)")
-def joint_kernels(spark, d):
-    t = spark.createDataFrame([("warm", 0.8, 0.4, 0.1, 0.3), ("cold", 1.0, 0.9, 0.0, 0.5)], "axis string, max_weight double, max_pos double, min_weight double, min_dist double")
-    return rounded(C.scaled_kernels(t, 0.5, 12), "weight")
-
-
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30")
 def shown_rows(spark, d):
     """The rows of a report's table, a list cut by design."""
     return C.shown(table(spark, d, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), "doc_id"])
 
 
-@query("SELECT CAST(0 AS BIGINT) AS trials, CAST(1 AS BIGINT) AS seeds UNION ALL SELECT 1, 0")
-def study_seeds(spark, d):
-    seed = spark.createDataFrame([(0.5,)], "max_pos double")
-    parts = [C.seeds_of_study(spark.range(n), seed).agg(F.count(F.lit(1)).alias("seeds")).select(F.lit(n).cast("long").alias("trials"), "seeds") for n in (0, 1)]
-    return parts[0].unionByName(parts[1])
-
-
 _TOKEN = f"(SELECT doc_id, unnest(t) AS w, generate_subscripts(t,1)-1 AS pos FROM (SELECT doc_id, {tokens_('text')} AS t FROM documents))"
 
 

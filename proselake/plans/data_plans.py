@@ -263,52 +263,6 @@ def grade_delta(spark, d):
     return rounded(G.accuracy_delta(g.where("conv_id % 2 = 0"), g.where("conv_id % 2 = 1")), "base", "edited", "delta")
 
 
-@query("SELECT * FROM (VALUES (1,true),(2,false),(3,true),(4,false),(5,true),(6,false)) v(id, ok)")
-def tool_call_grade(spark, d):
-    rows = [
-        (1, '<|tool_call> call: get_weather {city:<|"|>Oslo<|"|>, unit: celsius}<tool_call|>', "get_weather", {"city": "oslo"}, ["celsius"]),
-        (2, "<|tool_call>call: get_weather {days: 150}<tool_call|>", "get_weather", {"days": "15"}, []),
-        (3, "No tool is needed.", None, {}, []),
-        (4, "<|tool_call>call: sum {a: 1}<tool_call|>", None, {}, []),
-        (5, "<|tool_call>call: sum {\n a: [1, 2]}<tool_call|>", "sum", {"a": "1"}, ["2"]),
-        (6, "call: sum {a: 1}", "sum", {"a": "1"}, []),
-    ]
-    t = spark.createDataFrame(rows, "id int, reply string, tool string, args map<string,string>, contains array<string>")
-    return t.select("id", G.call_ok(F.col("reply"), F.col("tool"), F.col("args"), F.col("contains")).alias("ok"))
-
-
-LOG = [f"[I] Trial {k} finished with value: {v} and parameters: {{'a_max_weight': {w}, 'a_per_layer': True, 'b_mlp_scale': 0.5}}. Best is trial 0." for k, v, w in ((0, 1.5, 0.3), (1, 0.75, 0.8), (2, -0.25, 0.1), (3, 2e-1, 0.9), (4, 3.0, 1.0))]
-
-
-def log(spark):
-    return G.trials(spark.createDataFrame([(x,) for x in [*LOG, "noise", ""]], "value string"))
-
-
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),CAST(1.5 AS DOUBLE),'0.3','1.0'),(1,0.75,'0.8','1.0'),(2,-0.25,'0.1','1.0'),(3,0.2,'0.9','1.0'),(4,3.0,'1.0','1.0')) v(trial, value, weight, scale)")
-def trial_log(spark, d):
-    own = G.axis_params(F.col("params"), "a")
-    return log(spark).select("trial", "value", own["max_weight"].alias("weight"), own["mlp_scale"].alias("scale"))
-
-
-@query("SELECT CAST(2 AS BIGINT) AS trial, CAST(-0.25 AS DOUBLE) AS value")
-def best_trial(spark, d):
-    return G.best_trial(log(spark)).select("trial", "value")
-
-
-@query("WITH t AS (SELECT * FROM (VALUES (CAST(0 AS BIGINT),CAST(1.5 AS DOUBLE)),(1,0.75),(2,-0.25),(3,0.2),(4,3.0)) v(trial,value)), k AS (SELECT avg(value) AS m FROM (SELECT value FROM t ORDER BY value LIMIT 3)) SELECT trial, value, round(m+abs(m)*0.5,8) AS floor FROM t, k WHERE value <= m+abs(m)*0.5")
-def trial_floor(spark, d):
-    return rounded(G.under_floor(log(spark), 50.0, 50.0), "floor")
-
-
-@query("SELECT task, key, CAST(base AS DOUBLE) AS base, CAST(edited AS DOUBLE) AS edited, CAST(delta AS DOUBLE) AS delta, regressed FROM (VALUES ('gsm','exact,strict',0.5,0.4,-0.1,true),('gsm','exact,flex',0.5,0.49,-0.01,false),('group','acc,none',0.6,0.5,-0.1,false)) v(task,key,base,edited,delta,regressed)")
-def bench_delta(spark, d):
-    schema = "task string, metrics map<string,double>"
-    base = spark.createDataFrame([("gsm", {"exact,strict": 0.5, "exact,flex": 0.5, "exact_stderr,strict": 0.02, "sample_len": 9.0}), ("group", {"acc,none": 0.6, "acc_stderr,none": 0.06}), ("leaf", {"acc,none": 0.9})], schema)
-    edited = spark.createDataFrame([("gsm", {"exact,strict": 0.4, "exact,flex": 0.49, "exact_stderr,strict": 0.02}), ("group", {"acc,none": 0.5, "acc_stderr,none": 0.06}), ("leaf", {"acc,none": 0.1})], schema)
-    leaves = spark.createDataFrame([("leaf",)], "task string")
-    return G.benchmark_delta(base, edited, leaves).withColumn("delta", F.round("delta", 8))
-
-
 @query(r"SELECT item_id, position(' ' IN text)=0 AND position(',' IN text)=0 AS single, len(list_filter(string_split_regex(text,'\s+'), lambda w: position(',' IN w)=0)) AS n_single FROM benchmark")
 def single_words(spark, d):
     """Whether an item is a single-word answer, and how many of its words would be one."""
@@ -368,41 +322,7 @@ def penalty_components(spark, d):
     return both.select(*(F.round(parts[n], 8).alias(n) for n in ("opener", "intra", "collapse")))
 
 
-BOUND = "(VALUES (0.5,0.1,0.2,0.1,10,20,0.3),(0.9,0.4,0.6,0.2,15,20,0.2),(0.9,0.4,0.6,0.2,20,20,0.2),(0.1,0.1,0.1,0.0,5,20,0.9)) v(opener,audit,intra,struct,done,total,obj)"
-
-
-@query(f"""WITH v AS (SELECT *, done/total AS f FROM {BOUND}), e AS (SELECT *, greatest(0,opener*f-0.1) AS a, greatest(0,audit*f-0.05) AS b, greatest(0,intra*f-0.1) AS c, greatest(0,struct*f) AS s FROM v),
-p AS (SELECT *, 2*a+8*a*a+b+3*b*b+3*c+8*c*c+2*s+8*s*s AS pen FROM e) SELECT CAST(opener AS DOUBLE) AS opener, CAST(done AS INT) AS done, CASE WHEN done>0 AND done<total AND pen>obj+0.05 THEN round(CAST(obj+pen AS DOUBLE),8) END AS reject FROM p""")
-def brain_damage_bound(spark, d):
-    v = spark.sql(f"SELECT CAST(col1 AS DOUBLE) AS opener, CAST(col2 AS DOUBLE) AS audit, CAST(col3 AS DOUBLE) AS intra, CAST(col4 AS DOUBLE) AS struct, col5 AS done, col6 AS total, CAST(col7 AS DOUBLE) AS obj FROM {BOUND.split(" v(")[0]}")
-    r = O.partial_reject({n: F.col(n) for n in ("opener", "audit", "intra", "struct")}, {"opener": F.lit(0.1), "audit": F.lit(0.05), "intra": F.lit(0.1), "struct": F.lit(0.0)}, F.col("done"), F.col("total"), F.col("obj"))
-    return v.select("opener", "done", F.round(r, 8).alias("reject"))
-
-
-@query("SELECT '[intra 0.500 opener 0.250]' AS fired, CAST(1.85 AS DOUBLE) AS ratio_penalty, CAST(-0.5 AS DOUBLE) AS two_sided, CAST(0.5 AS DOUBLE) AS position, CAST(0.25 AS DOUBLE) AS distance, CAST(10.7 AS DOUBLE) AS saturated")
-def objective_arithmetic(spark, d):
-    one = spark.range(1)
-    position, distance = O.warm_start(F.lit(12), F.lit(16), F.lit(20), F.lit(33))
-    parts = {"opener": F.lit(0.25), "audit": F.lit(0.0), "intra": F.lit(0.5)}
-    return one.select(O.fired(parts).alias("fired"), F.round(O.ratio_penalty(F.lit(3.0), F.lit(1.0)), 8).alias("ratio_penalty"), O.two_sided(F.lit(0.5), F.lit(0.2)).alias("two_sided"), position.alias("position"), distance.alias("distance"), F.round(O.saturated_reject(F.lit(1.0)), 8).alias("saturated"))
-
-
-@query("SELECT * FROM (VALUES (1,'weak move'),(2,'sentences shortened|report mode|repetition'),(3,'')) v(id,flags)")
-def red_flags(spark, d):
-    rows = [(1, 0.5, 12.0, 0.0, 0.1, 0.1), (2, 0.2, 9.0, 0.2, 0.3, 0.1), (3, 0.2, 12.0, 0.0, 0.1, 0.1)]
-    t = spark.createDataFrame(rows, "id int, score double, wps double, struct double, opener double, intra double")
-    base = {"score": F.lit(0.5), "wps": F.lit(12.0), "struct": F.lit(0.0), "opener": F.lit(0.1), "intra": F.lit(0.1)}
-    return t.select("id", F.array_join(O.red_flags(base, {n: F.col(n) for n in base}), "|").alias("flags"))
-
-
 @query(rf"WITH p AS (SELECT len(string_split_regex({strip_('made')},'\s+'))-len(string_split_regex({strip_('seed')},'\s+')) AS x FROM {PAIRS} WHERE made IS NOT NULL) SELECT round(avg(x),8) AS delta, CASE WHEN abs(avg(x))>2 THEN 'length' ELSE '' END AS projection FROM p")
 def length_confound(spark, d):
     p = neighbours(spark, d).where("made IS NOT NULL").select(F.col("seed").alias("neg"), F.col("made").alias("pos"))
     return rounded(O.length_confound(p), "delta")
-
-
-
-
-@query("SELECT * FROM (VALUES ('org/Model-Encoder','model'),('plain','plain'),('a/b/X-Large','x-large')) v(name,slug)")
-def model_slugs(spark, d):
-    return spark.createDataFrame([("org/Model-Encoder",), ("plain",), ("a/b/X-Large",)], "name string").select("name", T.model_slug("name").alias("slug"))

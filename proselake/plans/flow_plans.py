@@ -20,16 +20,6 @@ from proselake.streaming import deltas, ledger, state, twins
 _SENT = f"({exploded_('doc_id', sentences_('text'), 'documents')})"
 
 
-@query("SELECT * FROM (VALUES ('model', CAST(0.66 AS DOUBLE)), ('parent', 0.4), ('none', 0.5)) v(place, threshold)")
-def threshold_lookup(spark, d):
-    """The threshold beside the model, else in its parent folder, else 0.5."""
-    root = files.scratch(spark)
-    files.write_file(spark, f"{root}/a/model/threshold.json", json.dumps({"threshold": 0.66}, indent=1))
-    files.write_file(spark, f"{root}/a/threshold.json", json.dumps({"threshold": 0.4}))
-    found = [("model", B.read_threshold(spark, f"{root}/a/model", f"{root}/a")), ("parent", B.read_threshold(spark, f"{root}/a/other", f"{root}/a")), ("none", B.read_threshold(spark, f"{root}/b/model", f"{root}/b"))]
-    return spark.createDataFrame(found, "place string, threshold double")
-
-
 _SCORED = "(SELECT quality AS label, round(CASE WHEN quality=1 THEN 0.35 ELSE 0.05 END + 0.6*length(text)/(length(text)+400.0), 4) AS score FROM documents JOIN labels USING (doc_id))"
 
 
@@ -56,26 +46,6 @@ def evaluation_run(spark, d):
     return confusion.select("tp", "fp").crossJoin(errors.agg(F.count(F.lit(1)).alias("shown")))  # one row each
 
 
-@query("SELECT * FROM (VALUES ('none','cliches contrasts echoes openers phrases structure templates'), ('one off','contrasts echoes openers phrases structure templates'), ('two on','openers templates')) v(toggles, planned)")
-def scanner_toggles(spark, d):
-    """A scanner without a toggle is on; one that is off isn't even planned."""
-    turns = spark.createDataFrame([(1, 0, "user", "x"), (1, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
-    cases = {"none": None, "one off": {"cliches": False}, "two on": dict.fromkeys(audit.SCANNERS, False) | {"openers": True, "templates": True}}
-    rows = []
-    for name, toggles in cases.items():
-        plan = audit.findings(turns, [["a"]], toggles)._jdf.queryExecution().analyzed().toString()
-        rows.append((name, " ".join(s for s in sorted(audit.SCANNERS) if f"{s} AS scanner" in plan)))
-    return spark.createDataFrame(rows, "toggles string, planned string")
-
-
-@query("SELECT * FROM (VALUES ('warm', CAST(1 AS DOUBLE), CAST(2 AS DOUBLE), true), ('cold', 1, 0.5, false)) v(axis, plain, weighted, improves)")
-def axis_weights(spark, d):
-    axes = [B.Axis("warm", {"worsen": ("s", "{orig}", 0.5), "improve": ("s", "{orig}", 0.5)}), B.Axis("cold", {"worsen": ("s", "{orig}", 0.5)})]
-    names = [a.name for a in axes]
-    plain, weighted = B.weights(None, names), B.weights("2,0.5", names)
-    return spark.createDataFrame([(a.name, plain[a.name], weighted[a.name], a.improves()) for a in axes], "axis string, plain double, weighted double, improves boolean")
-
-
 @query("SELECT vec_id, CAST(sum(x) AS DOUBLE) AS total FROM (SELECT vec_id, round(unnest(embedding)::DOUBLE,6) AS x FROM embeddings) GROUP BY vec_id")
 def snapshot_restored(spark, d):
     """A matrix is written, edited, and read again as it was."""

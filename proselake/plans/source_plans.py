@@ -109,18 +109,6 @@ def reply_dump(spark, d):
     return readers.read_replies(spark, folder + "/dump").select(F.md5("id").alias("id"), F.size("replies").cast("long").alias("replies"), fresh.alias("fresh"), stale.alias("other_fresh"))
 
 
-@query("SELECT task, key, value FROM (VALUES ('b','acc,none',CAST(0.75 AS DOUBLE)), ('b','f1,none',0.5), ('c','acc,none',1.0)) v(task,key,value)")
-def results_file(spark, d):
-    """The newer of two runs, each one file named by its seconds."""
-    from datetime import datetime, timezone
-
-    folder = files.scratch(spark)
-    files.write_results(spark, folder + "/one", json.dumps({"results": {"a": {"acc,none": 0.1}}}), datetime(2024, 1, 1, tzinfo=timezone.utc))
-    files.write_results(spark, folder + "/two", json.dumps({"results": {"b": {"acc,none": 0.75, "f1,none": 0.5, "alias": "b"}, "c": {"acc,none": 1.0}}}), datetime(2024, 1, 2, tzinfo=timezone.utc))
-    r = readers.latest_results(spark, folder).select("task", F.explode("metrics").alias("key", "value"))
-    return r.where("value IS NOT NULL")
-
-
 @query(f"SELECT md5(lower({strip_('text')})) AS key, min(label) AS label FROM (SELECT text, 1 AS label FROM benchmark UNION ALL SELECT text, 2 FROM benchmark UNION ALL SELECT text||' more', 2 FROM benchmark) GROUP BY ALL")
 def appended_rows(spark, d):
     """Rows in the file, then a batch of which only new texts are appended."""
@@ -161,25 +149,3 @@ def prediction_lines(spark, d):
     b = table(spark, d, "benchmark").select(F.translate("text", "\n\r", "  ").alias("text"), (F.length("text") / (F.length("text") + 64.0)).alias("score"))
     readers.write_predictions(b, path, 0.7)
     return spark.read.text(path).select(F.md5("value").alias("line"))
-
-
-@query("SELECT * FROM (VALUES ('log', CAST(2 AS BIGINT)), ('log.20240102-030405.bk', CAST(3 AS BIGINT))) v(file, n)")
-def log_backup(spark, d):
-    """Two appended batches, moved to a backup by a fresh log."""
-    from datetime import datetime
-
-    path = files.scratch(spark) + "/log"
-    lines = lambda n: spark.range(n).select(F.col("id").cast("string").alias("value"))
-    files.write_log(lines(1), path, fresh=True)
-    files.write_log(lines(2), path)
-    backup = files.write_log(lines(2), path, fresh=True, now=datetime(2024, 1, 2, 3, 4, 5))
-    parts = [spark.read.text(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p.rsplit("/", 1)[1]).alias("file"), "n") for p in (path, backup)]
-    return parts[0].unionByName(parts[1])
-
-
-@query("""SELECT * FROM (VALUES ('classifier','models/mini400m-warm'), ('pairs','data/warm/interim/warm_pairs.jsonl'), ('directions','directions-base-2b-warm-lengthproj'), ('scenarios','eval_scenarios-warm.jsonl'),
-('edited','models/base-2b-warm-lengthproj-normpres-edited'), ('log','optimize-base-2b-warm-lengthproj-normpres.log'), ('first','eval_scenarios.jsonl'), ('replies','state-replies-best-base-2b.jsonl')) v(piece, name)""")
-def artifact_names(spark, d):
-    n = files.names("org/Base-2B", "org/Mini-encoder-400m", "warm", "plain", "length", True)
-    n |= {"first": files.names("x", "y", "plain", "plain")["scenarios"], "replies": files.replies_name("state", "best", "org/Base-2B")}
-    return spark.createDataFrame(list(n.items()), "piece string, name string")

@@ -345,11 +345,14 @@ def _each(scanner: str, source: str, what: str = "count(*)") -> str:
     return f"SELECT conv_id, '{scanner}' AS scanner, {what} AS n FROM {source} GROUP BY conv_id"
 
 
-@query(f"""WITH RECURSIVE {_CONVS}, {hits_sql('convs', 'conv_id', 0.25)}, {_OPENERS}, {S.templates_('convs', 'conv_id', 8, 2, 0.5)}, {S.contrasts_('convs', 'conv_id')}, {two_pass_sql(3, 2)}, {_STRUCTURES}, {_LAST}, {S.echoes_('lasts', 'conv_id')},
+SQL_OF_SUMMARY = f"""WITH RECURSIVE {_CONVS}, {hits_sql('convs', 'conv_id', 0.25)}, {_OPENERS}, {S.templates_('convs', 'conv_id', 8, 2, 0.5)}, {S.contrasts_('convs', 'conv_id')}, {two_pass_sql(3, 2)}, {_STRUCTURES}, {_LAST}, {S.echoes_('lasts', 'conv_id')},
 found AS ({_each('cliches', 'hits', 'count(DISTINCT i)')} UNION ALL {_each('openers', 'openers')} UNION ALL {_each('templates', 'clusters WHERE n>=2')} UNION ALL {_each('contrasts', 'contrasts')}
  UNION ALL {_each('phrases', 'phrases')} UNION ALL {_each('structure', 'structures WHERE repetitive')} UNION ALL {_each('echoes', 'echoes')}),
 wide AS (SELECT conv_id, {', '.join(f"CAST(coalesce(sum(n) FILTER (WHERE scanner='{s}'),0) AS BIGINT) AS {s}" for s in audit.SCANNERS)} FROM convs LEFT JOIN found USING (conv_id) GROUP BY conv_id)
-SELECT *, {'+'.join(audit.SCANNERS)} AS total_issues, {'+'.join(audit.SCANNERS)}=0 AS is_clean FROM wide""")
+SELECT *, {'+'.join(audit.SCANNERS)} AS total_issues, {'+'.join(audit.SCANNERS)}=0 AS is_clean FROM wide"""
+
+
+@query(SQL_OF_SUMMARY)
 def audit_summary(spark, d):
     return audit.summary(table(spark, d, "conversations"), BANK)
 

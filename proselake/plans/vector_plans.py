@@ -15,7 +15,6 @@ def positive():
     return F.col("label") >= 5
 
 
-
 def long(spark, d):
     return V.long_form(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
 
@@ -82,12 +81,6 @@ def write_quartiles(spark, d):
     return V.quartile_layers(profile(spark, d))
 
 
-@query("SELECT i::INT AS layer, round(0.1+0.7*greatest(0,1-abs(i-0.4*15)/(0.3*15)),8)::DOUBLE AS weight FROM range(16) t(i)")
-def kernel(spark, d):
-    k = V.kernel(F.lit(16), F.lit(0.8), F.lit(0.4), F.lit(0.1), F.lit(0.3))
-    return spark.range(1).select(F.posexplode(k).alias("layer", "weight")).select("layer", F.round("weight", 8).alias("weight"))
-
-
 _MATRIX = UNIT + """, mat AS (SELECT dim AS row, vec_id AS col, x AS val FROM long), pr AS (SELECT col, sum(u.u*val) AS a, sum(u.a*val) AS b FROM mat JOIN u ON u.dim=mat.row GROUP BY col),
 n AS (SELECT mat.row, mat.col, val, val-0.75*u.u*pr.a-0.25*u.a*pr.b AS new FROM mat JOIN u ON u.dim=mat.row JOIN pr ON pr.col=mat.col)"""
 
