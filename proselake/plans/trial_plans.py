@@ -280,7 +280,7 @@ _CASES = {"none": None, "one off": {"cliches": False}, "two on": dict.fromkeys(a
 
 def _toggled_sql() -> str:
     whole = text_plans.SQL_OF_SUMMARY
-    body = whole[: whole.index("SELECT *, ")]
+    body = whole[: whole.rindex("SELECT *, ")]
     on = {name: [s for s in audit.SCANNERS if (toggles or {}).get(s, True)] for name, toggles in _CASES.items()}
     parts = [f"SELECT '{name}' AS toggles, scanner, CAST(sum(n) AS BIGINT) AS n FROM found WHERE scanner IN ({','.join(repr(s) for s in own)}) GROUP BY scanner" for name, own in on.items()]
     return body + " UNION ALL ".join(parts)
@@ -291,7 +291,7 @@ def scanner_toggles(spark, d):
     """Issues by scanner under three sets of toggles; a scanner without a toggle is on, one that is off isn't run."""
     turns, out = table(spark, d, "conversations"), None
     for name, toggles in _CASES.items():
-        s = audit.summary(turns, text_plans.BANK, toggles)
+        s = audit.summary(turns, text_plans.BANK, toggles=toggles)
         kinds = F.array(*(F.struct(F.lit(k).alias("scanner"), F.col(k).alias("n")) for k in audit.SCANNERS))
         part = s.select(F.inline(kinds)).groupBy("scanner").agg(F.sum("n").alias("n")).where("n > 0").select(F.lit(name).alias("toggles"), "scanner", "n")
         out = part if out is None else out.unionByName(part)
