@@ -29,24 +29,27 @@ class Model:
 
 def tail(gram: Column) -> Column:
     """A gram without its first word."""
-    return F.regexp_replace(gram, r"^\S+ ", "")
+    return F.substring(gram, F.instr(gram, F.lit(" ")) + 1, F.length(gram))
 
 
-def context(gram: Column) -> Column:
-    """A gram without its last word; empty for a single word."""
-    return F.regexp_replace(gram, r"(^| )\S+$", "")
+def context(gram: Column, words: int) -> Column:
+    """A gram of so many words without its last."""
+    return F.substring_index(gram, " ", words - 1)
 
 
 def grams(texts: DataFrame, keys: list[str], order: int, text_col: str = "text") -> DataFrame:
     """(keys, at, gram): for each token, it and the order - 1 before it."""
     t = F.concat(F.array_repeat(F.lit(PAD), order - 1), T.tokens(F.coalesce(F.col(text_col), F.lit(""))))
-    return texts.select(*keys, F.posexplode(T.joined_ngrams(t, order)).alias("at", "gram"))
+    rows = texts.select(*keys, t.alias("_t"))
+    ends = F.when(F.size("_t") >= order, F.sequence(F.lit(0), F.size("_t") - order)).otherwise(F.array().cast("array<int>"))
+    joined = F.transform(ends, lambda i: F.concat_ws(" ", *(F.get("_t", i + k) for k in range(order))))
+    return rows.select(*keys, F.posexplode(joined).alias("at", "gram"))
 
 
 def discount(counts: DataFrame) -> float:
-    """n1 / (n1 + 2 n2) from the counts of counts."""
+    """n1 / (n1 + 2 n2) from the counts of counts; a half where nothing was counted once, as unseen grams need a share."""
     r = counts.agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
-    return r["one"] / (r["one"] + 2 * r["two"]) if r["one"] else 0.0
+    return r["one"] / (r["one"] + 2 * r["two"]) if r["one"] else 0.5
 
 
 def fit(texts: DataFrame, order: int = 3, text_col: str = "text") -> Model | None:
@@ -67,7 +70,7 @@ def fit(texts: DataFrame, order: int = 3, text_col: str = "text") -> Model | Non
     backoff = {}
     for k in range(2, order + 1):
         d = discount(counts[k])
-        c = counts[k].withColumn("context", context(F.col("gram")))
+        c = counts[k].withColumn("context", context(F.col("gram"), k))
         of = c.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
         of = materialized(of.select("context", "total", (d * F.col("kinds") / F.col("total")).alias("backoff")))
         shorter = p[k - 1].select(F.col("gram").alias("tail"), F.col("p").alias("lower"))
@@ -87,7 +90,7 @@ def probabilities(model: Model, asked: DataFrame) -> DataFrame:
         rows = rows.join(model.grams[k].select(F.col("gram").alias(f"_g{k}"), F.col("p").alias(f"_p{k}")), f"_g{k}", "left")
         if k > 1:
             own = model.contexts[k].select(F.col("context").alias(f"_c{k}"), F.col("backoff").alias(f"_b{k}"))
-            rows = rows.withColumn(f"_c{k}", context(F.col(f"_g{k}"))).join(own, f"_c{k}", "left")
+            rows = rows.withColumn(f"_c{k}", context(F.col(f"_g{k}"), k)).join(own, f"_c{k}", "left")
             p = F.coalesce(f"_p{k}", F.coalesce(F.col(f"_b{k}"), F.lit(1.0)) * p)
         else:
             p = F.coalesce(F.col("_p1"), p)

@@ -11,7 +11,7 @@ from proselake.plans.data_plans import horner
 from proselake.plans.registry import grams_, query, table, tokens_
 
 
-def _kneser_ney_sql(texts: str, keys: str, train: str, order: int = 3, chunk: int = 512, most: int | None = None) -> str:
+def _kneser_ney_sql(texts: str, keys: str, train: str, order: int = 2, chunk: int = 512, most: int | None = None) -> str:
     """WITH-clauses and a SELECT of (keys, perplexity, n_chunks) of `texts` under a model of `train`; a token's gram by position."""
     pads = "[" + ",".join(["'<s>'"] * (order - 1)) + "]"
     of = lambda source, k: f"SELECT {k} unnest(g) AS gram, generate_subscripts(g,1)-1 AS pos FROM (SELECT {k} {grams_('t', order)} AS g FROM (SELECT {k} list_concat({pads}, {tokens_('coalesce(text,chr(32))')}) AS t FROM {source}))"
@@ -19,7 +19,7 @@ def _kneser_ney_sql(texts: str, keys: str, train: str, order: int = 3, chunk: in
     head = lambda g: rf"regexp_replace({g},'(^| )\S+$','')"
     parts = [f"n{order} AS (SELECT gram, count(*) AS n FROM ({of(train, '')}) GROUP BY gram)"]
     parts += [f"n{k} AS (SELECT {cut('gram')} AS gram, count(*) AS n FROM n{k + 1} GROUP BY 1)" for k in range(order - 1, 0, -1)]
-    parts += [f"d{k} AS (SELECT coalesce(count(*) FILTER (WHERE n=1)/nullif(count(*) FILTER (WHERE n=1)+2*count(*) FILTER (WHERE n=2),0),0) AS d FROM n{k})" for k in range(1, order + 1)]
+    parts += [f"d{k} AS (SELECT CASE WHEN count(*) FILTER (WHERE n=1)=0 THEN 0.5 ELSE count(*) FILTER (WHERE n=1)/(count(*) FILTER (WHERE n=1)+2*count(*) FILTER (WHERE n=2)) END AS d FROM n{k})" for k in range(1, order + 1)]
     parts += ["u AS (SELECT d*count(*)/sum(n)/(count(*)+1) AS u, sum(n) AS total FROM n1, d1 GROUP BY d)", "p1 AS (SELECT gram, greatest(n-d,0)/total+u AS p FROM n1, d1, u)"]
     for k in range(2, order + 1):
         parts.append(f"c{k} AS (SELECT {head('gram')} AS context, sum(n) AS total, any_value(d)*count(*)/sum(n) AS b FROM n{k}, d{k} GROUP BY 1)")
@@ -46,7 +46,7 @@ _HALF = f"(SELECT * FROM documents WHERE NOT {horner('md5(' + repr('lm:') + '||C
 
 
 def _half_model(spark, d):
-    return L.fit(table(spark, d, "documents").where(~D.held_out(F.col("doc_id"), 0.5, "lm")))
+    return L.fit(table(spark, d, "documents").where(~D.held_out(F.col("doc_id"), 0.5, "lm")), order=2)
 
 
 @query(_kneser_ney_sql("documents", "doc_id", _HALF))
