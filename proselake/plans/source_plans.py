@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from proselake.functions import text as T
 from proselake.operators import choices as C
 from proselake.operators import dataset as D
-from proselake.sources import files, readers
+from proselake.sources import files, lines, readers
 from proselake.plans.registry import exploded_, query, sentences_, strip_, table
 
 
@@ -149,3 +149,21 @@ def prediction_lines(spark, d):
     b = table(spark, d, "benchmark").select(F.translate("text", "\n\r", "  ").alias("text"), (F.length("text") / (F.length("text") + 64.0)).alias("score"))
     readers.write_predictions(b, path, 0.7)
     return spark.read.text(path).select(F.md5("value").alias("line"))
+
+
+_LINES = r"(SELECT doc_id, unnest(string_split(translate(coalesce(text,''),chr(13),chr(10)),chr(10))) AS line FROM documents)"
+_LINE_SCORE = "length(line)/(length(line)+64.0)"
+
+
+@query(rf"SELECT md5(text) AS text, count(*) AS n, CASE WHEN {_LINE_SCORE.replace('line','text')}>=0.7 THEN 1 ELSE 0 END AS flag FROM (SELECT {strip_('line')} AS text FROM {_LINES}) WHERE text<>'' GROUP BY ALL")
+def scored_lines(spark, d):
+    """Lines of all documents written as text, streamed from there through a scorer to the sink of predictions, and read back."""
+    lines.register(spark)
+    path = files.scratch(spark)
+    told = table(spark, d, "documents").select(F.explode(F.split(F.translate(F.coalesce("text", F.lit("")), "\r", "\n"), "\n")).alias("value")).select(T.strip("value").alias("value")).where("value <> ''")
+    told.write.text(path + "/in")
+    s = spark.readStream.format(lines.SOURCE).option("path", path + "/in").load()
+    s = s.select((F.length("text") / (F.length("text") + 64.0)).alias("score"), "text")
+    s.writeStream.format(lines.SINK).option("path", path + "/out").option("threshold", 0.7).option("checkpointLocation", path + "/state").trigger(once=True).start().awaitTermination()
+    back = spark.read.format(lines.SOURCE).option("path", path + "/out").load().select(F.split("text", "\t", 3).alias("p"))
+    return back.select(F.md5(F.get("p", F.lit(2))).alias("text"), F.get("p", F.lit(1)).cast("int").alias("flag")).groupBy("text", "flag").agg(F.count(F.lit(1)).alias("n"))

@@ -233,3 +233,60 @@ def test_stream_stops_before_its_next_batch(spark, tmp_path):
     # started again without a bound, the batches that weren't done follow
     after = twins.run_bounded(stream(), str(tmp_path / "ck"), lambda b, k: seen.append((k, b.count())), metrics, lambda m: None, {"rows": 9, "total": 9})
     assert seen[3:] == [(3, 3), (4, 3)] and after == {"rows": 15, "total": 30}
+
+
+# ---- lines and predictions ----
+
+
+def test_line_ranges(spark, tmp_path):
+    """Every line is in one range, whatever the ranges' width; hidden files are none."""
+    from proselake.sources import lines
+
+    lines.register(spark)
+    (tmp_path / "a.txt").write_bytes("one\n\n  twö  \r\nthree three\nend".encode())
+    (tmp_path / "b.txt").write_text("")
+    (tmp_path / "_c.txt").write_text("no\n")
+    for wide in (1, 3, 7, 1000):
+        rows = spark.read.format(lines.SOURCE).option("path", str(tmp_path)).option("rangeBytes", wide).load().collect()
+        assert sorted((r["offset"], r["text"]) for r in rows) == [(0, "one"), (5, "twö"), (15, "three three"), (27, "end")]
+    assert spark.read.format(lines.SOURCE).option("path", str(tmp_path / "none")).load().collect() == []
+
+
+def test_predictions_of_failed_tasks_leave_nothing(spark, tmp_path):
+    from proselake.sources import lines
+
+    lines.register(spark)
+    out = str(tmp_path / "out")
+    rows = spark.createDataFrame([(k / 10, f"text {k}\nmore") for k in range(10)], "score double, text string").repartition(4)
+    rows.write.format(lines.SINK).option("path", out).option("threshold", 0.7).mode("append").save()
+    read = lambda: sorted(r["text"] for r in spark.read.format(lines.SOURCE).option("path", out).load().collect())
+    want = sorted(f"{k / 10:.4f}\t{int(k >= 7)}\ttext {k} more" for k in range(10))
+    assert read() == want
+    fails = F.udf(lambda t: 1 / 0 if t.startswith("text 9") else t, "string")
+    with pytest.raises(Exception):
+        rows.select("score", fails("text").alias("text")).write.format(lines.SINK).option("path", out).mode("append").save()
+    assert read() == want  # what tasks wrote that were still running then stays in a hidden folder
+    rows.limit(3).write.format(lines.SINK).option("path", out).mode("overwrite").save()
+    assert len(read()) == 3
+
+
+def test_lines_as_they_grow(spark, tmp_path):
+    """A stream from growing files to the sink, started again after each growth: whole lines only, each once."""
+    from proselake.sources import lines
+
+    lines.register(spark)
+    source, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    source.mkdir()
+
+    def run():
+        s = spark.readStream.format(lines.SOURCE).option("path", str(source)).option("rangeBytes", 5).load()
+        s = s.select((F.length("text") / 10).alias("score"), "text")
+        s.writeStream.format(lines.SINK).option("path", out).option("checkpointLocation", ck).trigger(once=True).start().awaitTermination()
+        return sorted(r["text"].split("\t")[2] for r in spark.read.format(lines.SOURCE).option("path", out).load().collect())
+
+    (source / "a").write_text("one\ntwo\nthr")
+    assert run() == ["one", "two"]
+    (source / "a").write_text("one\ntwo\nthree\n")
+    (source / "b").write_text("four\n")
+    assert run() == ["four", "one", "three", "two"]
+    assert run() == ["four", "one", "three", "two"]
