@@ -8,7 +8,7 @@ that such a split doesn't shrink is a dense cluster and stays a leaf, and so is
    a cell on a bounded sample of it, and its rows go down these levels to smaller cells. The driver fits nothing.
 2. The task of a cell grows the rest of the tree on the cell's own vectors and tells the leaves of each.
 3. Cells are dealt once more, with the leaves that each vector has in all trees. Vectors are compared within leaves in double
-   precision. Each pair counts in the first leaf that both share, so that links are counted without listing pairs. Cells send
+   precision. Each pair counts in the first leaf that both share, and dense slabs count by masks, without listing pairs. Cells send
    stars, not pairs, to the union of components. A cluster beyond `cell_rows` is compared in pairs of blocks, a task each.
 
 Equal vectors of a label are one entry.
@@ -29,6 +29,8 @@ from proselake.llm.components import connected_components
 from proselake.llm.hash_index import _rows
 
 DEEPEST = 48
+#: Pairs that are compared at once: a slab's products take 8 bytes each.
+SLAB_CELLS = 1 << 22
 SHRINK = 0.7
 
 
@@ -106,28 +108,44 @@ def _shared_before(held: list[list[int]], leaf: int) -> np.ndarray | None:
     return m
 
 
-def _links(leaf: int, x: np.ndarray, y: np.ndarray, same: bool, held_x: list, held_y: list, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, first): linked pairs of rows of x and y, and whether this is the first leaf that they share."""
-    us, vs, firsts = [], [], []
-    for at in range(0, len(x), 1024):
-        i, j = np.nonzero(x[at : at + 1024] @ y.T >= least)
-        i += at
+def _links(leaf: int, x: np.ndarray, y: np.ndarray, same: bool, held_x: list, held_y: list, least: float, n_x: np.ndarray, n_y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(links of x, links of y, u, v): how many rows, n_x and n_y of each, every vector links with first in this leaf, and edges
+    among the rows of x, then y, that join whatever is linked. Slabs of x meet all of y; the pairs of a dense slab are never
+    listed: they are counted by products of masks, and its edges are stars."""
+    links_x, links_y, us, vs = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), [], []
+    slab = max(16, min(1024, SLAB_CELLS // max(1, len(y))))
+    for at in range(0, len(x), slab):
+        mask = x[at : at + slab] @ y.T >= least
         if same:
-            i, j = i[i < j], j[i < j]
-        if not len(i):
+            mask &= np.arange(len(y))[None, :] > np.arange(at, at + len(mask))[:, None]
+        rows, cols = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+        if not len(rows):
             continue
-        first = np.ones(len(i), bool)
-        rows, cols = np.unique(i), np.unique(j)
-        both = _shared_before([held_x[r] for r in rows] + [held_y[c] for c in cols], leaf)
-        if both is not None:
-            met = both[: len(rows)] @ both[len(rows) :].T > 0
-            first = ~met[np.searchsorted(rows, i), np.searchsorted(cols, j)]
-        us.append(i)
-        vs.append(j)
-        firsts.append(first)
-    if not us:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return np.concatenate(us), np.concatenate(vs), np.concatenate(firsts)
+        mask = mask[np.ix_(rows, cols)]
+        both = _shared_before([held_x[at + r] for r in rows] + [held_y[c] for c in cols], leaf)
+        first = mask if both is None else mask & ~(both[: len(rows)] @ both[len(rows) :].T > 0)
+        links_x[at + rows] += (first @ n_y[cols].astype(np.float64)).astype(np.int64)
+        links_y[cols] += (n_x[at + rows].astype(np.float64) @ first).astype(np.int64)
+        u, v = _stars(mask, at + rows, len(x) + cols)
+        us.append(u)
+        vs.append(v)
+    none = [np.zeros(0, np.int64)]
+    return links_x, links_y, np.concatenate(us or none), np.concatenate(vs or none)
+
+
+def _stars(mask: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges with the components of a mask's: the pairs themselves if they are few, else one for each row and column, to the
+    smallest number that labels reach when they go to and fro."""
+    if np.count_nonzero(mask) <= 32 * (len(rows) + len(cols)):
+        i, j = np.nonzero(mask)
+        return rows[i], cols[j]
+    of_row, of_col, far = rows.copy(), cols.copy(), np.iinfo(np.int64).max
+    while True:
+        row = np.minimum(of_row, np.where(mask, of_col[None, :], far).min(1))
+        col = np.minimum(of_col, np.where(mask, row[:, None], far).min(0))
+        if (row == of_row).all() and (col == of_col).all():
+            return np.concatenate([rows, cols]), np.concatenate([row, col])
+        of_row, of_col = row, col
 
 
 def _split_rounds(cells: DataFrame, how: Splitter, kind: str, cell_rows: int, sample_rows: int, levels: int, broadcast_cells: int) -> DataFrame:
@@ -251,12 +269,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             a, b = (own, own) if one == two else (own[block[own] == one], own[block[own] == two])
             if len(own) < 2 or not len(a) or not len(b):
                 continue
-            i, j, first = _links(at, x[a], x[b], one == two, [held[k] for k in a], [held[k] for k in b], least)
-            i, j = a[i], b[j]
-            np.add.at(links, i[first], n[j[first]])
-            np.add.at(links, j[first], n[i[first]])
-            us.append(i)
-            vs.append(j)
+            of_a, of_b, u, v = _links(at, x[a], x[b], one == two, [held[k] for k in a], [held[k] for k in b], least, n[a], n[b])
+            links[a] += of_a
+            links[b] += of_b
+            nodes = np.concatenate([a, b])
+            us.append(nodes[u])
+            vs.append(nodes[v])
         label = local_components(len(key), np.concatenate(us), np.concatenate(vs)) if us else np.arange(len(key))
         told = (links > 0) | (label != np.arange(len(key)))
         return pa.table([t["e"].filter(pa.array(told)), pa.array(key[told]), pa.array(links[told]), pa.array(key[label[told]])], names=["e", "key", "links", "to"])

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from proselake.llm import forest, hash_index
@@ -166,3 +167,43 @@ def test_forest_recall(spark):
     got = {r["vec_id"]: r["n_links"] for r in forest.near_duplicates(df, cell_rows=4096).select("vec_id", "n_links").collect()}
     found = np.array([got[k] for k in range(n)])
     assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+
+
+def test_dense_cluster_in_bounded_memory():
+    """Ten million pairs of near-equal vectors, nine in ten of them linked: counted and joined without being listed."""
+    import tracemalloc
+
+    from proselake.llm import forest
+    from proselake.llm.common import local_components
+
+    draw = np.random.default_rng(1)
+    x = draw.standard_normal(64) + 0.22 * draw.standard_normal((4500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = draw.integers(1, 4, len(x))
+    held = [[1, 5] if k % 3 else [0, 1] for k in range(len(x))]  # every third vector met its like in an earlier leaf
+    tracemalloc.start()
+    of_x, of_y, u, v = forest._links(1, x, x, True, held, held, 0.93, n, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    linked = x @ x.T >= 0.93
+    np.fill_diagonal(linked, False)
+    early = np.arange(len(x)) % 3 == 0
+    counted = linked & ~(early[:, None] & early[None, :])
+    assert linked.sum() > 8_000_000 and (of_x + of_y == counted @ n).all()
+    assert peak < 500e6
+    both = np.arange(len(x))
+    label = local_components(2 * len(x), np.concatenate([u, both]), np.concatenate([v, both + len(x)]))
+    i, j = np.nonzero(linked)
+    assert (label[: len(x)] == local_components(len(x), i, j)).all()
+
+
+@pytest.mark.parametrize("share", [0.002, 0.2])
+def test_stars_hold_the_components(share):
+    from proselake.llm import forest
+    from proselake.llm.common import local_components
+
+    mask = np.random.default_rng(5).random((300, 400)) < share
+    rows, cols = np.arange(300), 300 + np.arange(400)
+    i, j = np.nonzero(mask)
+    u, v = forest._stars(mask, rows, cols)
+    assert (local_components(700, u, v) == local_components(700, rows[i], cols[j])).all()
