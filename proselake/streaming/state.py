@@ -8,7 +8,10 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def named(key: str) -> Column:
@@ -23,13 +26,15 @@ def key_of(name: str, kind: DataType) -> Column:
 
 @contextmanager
 def keyed_state(spark: SparkSession):
-    """Queries that start inside keep their state in RocksDB, which keyed state with timers needs."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Queries that start inside keep their state in RocksDB, which keyed state with timers needs; it takes disk as it needs it."""
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
