@@ -43,10 +43,10 @@ _LINES = f"({exploded_('doc_id', sentences_('text'), 'documents')})"
 
 
 def seed_file(spark, d):
-    """All sentences, a line each, as one file in order."""
+    """All sentences, a line each, in files that follow one another by name."""
     folder = files.scratch(spark)
     s = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("i", "sentence"))
-    s.where(~F.col("sentence").rlike(r"[\r\n]")).orderBy("doc_id", "i").select(F.col("sentence").alias("value")).coalesce(1).write.text(folder)
+    s.where(~F.col("sentence").rlike(r"[\r\n]")).orderBy("doc_id", "i").select(F.col("sentence").alias("value")).write.text(folder)
     return folder
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proselake.functions import text as T
@@ -37,8 +37,8 @@ def read_seeds(spark: SparkSession, folder: str) -> DataFrame:
     """(source, sentence) of all *.txt in order of files and lines, the first of equal lower-cased lines."""
     files = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     lines = files.select("file", F.posexplode(F.split("value", r"\r\n|[\n\r]")).alias("line", "raw")).withColumn("sentence", T.strip("raw")).where("sentence <> ''")
-    first = F.row_number().over(Window.partitionBy(F.lower("sentence")).orderBy("file", "line"))
-    return lines.withColumn("n", first).where("n = 1").select(F.regexp_replace("file", r"\.txt$", "").alias("source"), "sentence", "file", "line")
+    first = lines.groupBy(F.lower("sentence").alias("_key")).agg(F.min(F.struct("file", "line", "sentence")).alias("_r")).select("_r.*")  # a frequent line meets in no task
+    return first.select(F.regexp_replace("file", r"\.txt$", "").alias("source"), "sentence", "file", "line")
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
