@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proselake.operators import vectors as V
+from proselake.operators import versions
 from proselake.plans.registry import query, table
+from proselake.sources import files
 
 LONG = "long AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding,1)-1 AS dim FROM embeddings)"
 MEANS = LONG + ", m AS (SELECT dim, avg(x) FILTER (WHERE label<5) AS neg, avg(x) FILTER (WHERE label>=5) AS pos FROM long GROUP BY dim), r AS (SELECT *, pos-neg AS r FROM m)"
@@ -100,3 +102,25 @@ def rank1_removal(spark, d):
 @query(f"WITH {_MATRIX}, k AS (SELECT col, sqrt(sum(val*val)) AS ref, sqrt(sum(new*new)) AS own FROM n GROUP BY col) SELECT CAST(row AS INT) AS row, n.col, round(new*ref/greatest(own,1e-8),8) AS new FROM n JOIN k ON k.col=n.col")
 def norm_restore(spark, d):
     return V.norms_restored(removed(spark, d)).select("row", "col", F.round("new", 8).alias("new"))
+
+
+@query(f"""WITH {LONG}, v AS (SELECT unnest(range(0,4)) AS version), m AS (SELECT version, vec_id AS col, label, dim, CASE WHEN label BETWEEN 1 AND version AND dim=label THEN 0.25*x ELSE x END AS val FROM long, v)
+SELECT CAST(version AS INT) AS version, col, round(sum(val*(dim+1)),6) AS total, (SELECT count(DISTINCT vec_id) FROM long l WHERE m.version=0 OR (l.label=m.version AND l.dim=m.version AND l.x<>0)) AS n_stored, CAST(0 AS BIGINT) AS n_damaged FROM m GROUP BY version, col""")
+def matrix_versions(spark, d):
+    """A matrix and three edits of it, each of one label's columns and made from the version before; every version is restored."""
+    folder = files.scratch(spark)
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("col"), "label")
+    versions.save(long(spark, d).select(F.col("dim").alias("row"), F.col("vec_id").alias("col"), F.col("x").alias("val")), folder, 0)
+    spec = spark.range(1).select(F.lit(0).alias("spec"), F.lit(1.0).alias("d"), F.lit(0.75).alias("weight"), F.lit(False).alias("keeps"))
+    out = None
+    for k in range(4):
+        if k:
+            m = versions.restore(spark, folder, k - 1).join(labels, "col")
+            own = V.edited_matrix(m.where(F.col("label") == k).select("row", "col", "val"), spec.withColumn("row", F.lit(k))).select("row", "col", F.col("new").alias("val"))
+            versions.save(own.unionByName(m.where(~F.col("label").eqNullSafe(k)).select("row", "col", "val")), folder, k, k - 1)
+        wrong = versions.damaged(spark, folder, k).agg(F.count(F.lit(1)).alias("n_damaged")).withColumn("version", F.lit(k))
+        sums = versions.restore(spark, folder, k).groupBy("col").agg(F.round(F.sum(F.col("val") * (F.col("row") + 1)), 6).alias("total")).withColumn("version", F.lit(k))
+        part = sums.join(F.broadcast(wrong), "version")
+        out = part if out is None else out.unionByName(part)
+    held = versions.stored(spark, folder).select("version", F.col("n_columns").alias("n_stored"))
+    return out.join(F.broadcast(held), "version", "left").withColumn("n_stored", F.coalesce("n_stored", F.lit(0)))
