@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from proselake.operators import quantized as Q
 from proselake.operators import vectors as V
 from proselake.operators import versions
 from proselake.plans.registry import query, table
@@ -124,3 +125,30 @@ def matrix_versions(spark, d):
         out = part if out is None else out.unionByName(part)
     held = versions.stored(spark, folder).select("version", F.col("n_columns").alias("n_stored"))
     return out.join(F.broadcast(held), "version", "left").withColumn("n_stored", F.coalesce("n_stored", F.lit(0)))
+
+
+_CHANNELS = f"""{LONG}, ch AS (SELECT label AS channel, dim, avg(x) AS w FROM long WHERE label IS NOT NULL GROUP BY ALL),
+cs AS (SELECT channel, CASE WHEN max(abs(w))>0 THEN max(abs(w))/127 ELSE 1 END AS ws FROM ch GROUP BY channel), qw AS (SELECT ch.channel, dim, w, ws, CAST(round_even(w/ws,0) AS BIGINT) AS q FROM ch JOIN cs USING (channel)),
+xs AS (SELECT vec_id, CASE WHEN max(abs(x))>0 THEN max(abs(x))/127 ELSE 1 END AS s FROM long GROUP BY vec_id), qx AS (SELECT vec_id, dim, x, s, CAST(round_even(x/s,0) AS BIGINT) AS q FROM long JOIN xs USING (vec_id)),
+sc AS (SELECT vec_id, channel, sum(x*w) AS score, CAST(sum(qx.q*qw.q) AS BIGINT) AS dot, sum(qx.q*qw.q)*any_value(s)*any_value(ws) AS other FROM qx JOIN qw USING (dim) GROUP BY ALL)"""
+
+
+def channels(spark, d):
+    """A linear scorer: a channel for each label, its weights the label's mean vector."""
+    return long(spark, d).where("label IS NOT NULL").groupBy(F.col("label").alias("channel"), "dim").agg(F.avg("x").alias("w"))
+
+
+@query(f"WITH {_CHANNELS} SELECT vec_id, channel, dot, round(other,6) AS score FROM sc")
+def integer_scores(spark, d):
+    """Scores of every vector in every channel by integer products."""
+    r = Q.integer_scores(table(spark, d, "embeddings"), channels(spark, d))
+    return r.select("vec_id", "channel", "dot", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_CHANNELS}, a AS (SELECT vec_id, arg_max(channel, (score, -channel)) AS own FROM sc GROUP BY vec_id), b AS (SELECT vec_id, arg_max(channel, (other, -channel)) AS own FROM sc GROUP BY vec_id)
+SELECT count(*) AS n, round(avg(CASE WHEN a.own=b.own THEN 1.0 ELSE 0 END),6) AS agreement, (SELECT round(avg(abs(score-other)),6) FROM sc) AS mean_difference, avg(CASE WHEN a.own=b.own THEN 1.0 ELSE 0 END)>=0.95 AS passes FROM a JOIN b USING (vec_id)""")
+def integer_gate(spark, d):
+    """Whether decisions by integers agree with those in doubles on 95 % of the vectors."""
+    e, w = table(spark, d, "embeddings"), channels(spark, d)
+    g = Q.gate(Q.scores(e, w), Q.integer_scores(e, w))
+    return g.select("n", F.round("agreement", 6).alias("agreement"), F.round("mean_difference", 6).alias("mean_difference"), "passes")
