@@ -92,7 +92,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Rows with a null text or label, texts without a letter and held-out rows teach nothing. None if no row is left.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    told = F.coalesce(F.regexp_like(F.col(text_col).cast("string"), F.lit(r"\p{L}")), F.lit(False))  # rows that teach nothing take no place
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & told)
     keys = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("long").alias("id"))
     counts = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each language
     if not counts:

@@ -185,3 +185,11 @@ def test_long_white_space(spark, text):
     assert sum(r["length"] for r in rows if r["id"] == 1) == len(want) + 1
     ids = np.array([*want, packing.END_ID], "<u4")
     assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in rows if r["id"] == 1)
+
+
+def test_rows_without_letters_take_no_place(spark):
+    """A language of which nearly all rows are empty is learned from the rest."""
+    german = [(k, "der alte mann geht langsam durch den wald" if k % 2000 == 0 else (None if k % 2 else "123 --"), "de") for k in range(40_000)]
+    english = [(100_000 + k, f"the old man walks slowly through wood number {k}", "en") for k in range(2_000)]
+    model = language_id.train(spark.createDataFrame(german + english, "doc_id long, text string, lang string"))
+    assert sorted(model.languages) == ["de", "en"]
