@@ -127,13 +127,13 @@ def brain_damage_bound(spark, d):
     return rates(spark, d).select("user_id", "done", F.round(r, 8).alias("reject"))
 
 
-@query(f"""WITH r AS {RATES}, p AS (SELECT *, list_sort(list_filter([struct_pack(v := -opener, n := 'opener'), struct_pack(v := -audit, n := 'audit'), struct_pack(v := -intra, n := 'intra')], lambda x: -x.v>1e-4)) AS parts FROM r)
+@query(f"""WITH r AS {RATES}, p AS (SELECT *, list_sort(list_filter([struct_pack(v := -round(opener,3), n := 'opener'), struct_pack(v := -round(audit,3), n := 'audit'), struct_pack(v := -round(intra,3), n := 'intra')], lambda x: -x.v>1e-4)) AS parts FROM r)
 SELECT user_id, '['||array_to_string(list_transform(parts, lambda x: x.n||' '||printf('%.3f', -x.v)),' ')||']' AS fired, round(greatest(0, least(score/0.2, 6)-1.15),8) AS ratio_penalty, round(score-5*audit,8) AS two_sided,
 round(least(greatest(intra*32/32, 0.2), 1),8) AS position, round(least(greatest((struct+0.1)*32/32, 0.1), 1),8) AS distance, round(score+2*(6-1.15),8) AS saturated FROM p""")
 def objective_arithmetic(spark, d):
     r = rates(spark, d)
     position, distance = O.warm_start(F.lit(0.0), F.col("intra") * 32, (F.col("struct") + 0.1) * 32, F.lit(33))
-    parts = {n: F.col(n) for n in ("opener", "audit", "intra")}
+    parts = {n: F.round(n, 3) for n in ("opener", "audit", "intra")}  # formatting rounds halves of doubles in its own ways
     found = r.select("user_id", O.fired(parts).alias("fired"), O.ratio_penalty(F.col("score"), F.lit(0.2)).alias("ratio_penalty"), O.two_sided(F.col("score"), F.col("audit")).alias("two_sided"), position.alias("position"), distance.alias("distance"), O.saturated_reject(F.col("score")).alias("saturated"))
     return rounded(found, "ratio_penalty", "two_sided", "position", "distance", "saturated")
 
