@@ -25,8 +25,25 @@ GUARD_STOPWORDS = tuple(
 )
 
 
+#: What words are made of where hits stand apart, and its complement; white space is ASCII there.
+LETTER, GAP = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+
+
+def _terms(terms: list[str], space: str) -> str:
+    ordered = sorted(set(terms), key=lambda t: (-len(t), t))
+    return "|".join(space.join(re.escape(w) for w in t.lower().split()) for t in ordered if t.strip())
+
+
 def pattern(terms: list[str]) -> str:
     """Regular expression of a lexicon: whole words, the longest term first, any white space between words."""
-    ordered = sorted(set(terms), key=lambda t: (-len(t), t))
-    parts = [r"\s+".join(re.escape(w) for w in t.lower().split()) for t in ordered if t.strip()]
-    return r"(?<!\w)(?:" + "|".join(parts) + r")(?!\w)" if parts else r"(?!)"
+    parts = _terms(terms, r"\s+")
+    return rf"(?iU)(?<!\w)(?:{parts})(?!\w)" if parts else r"(?!)"
+
+
+def apart(terms: list[str]) -> str:
+    """As pattern(), but a hit takes the characters beside it: of two with one character between them only the first counts.
+
+    Case is ignored for A-Z alone, and marks are no part of a word.
+    """
+    parts = _terms(terms, r"[ \t\n\f\r]+")
+    return rf"(?i)(?:\A|{GAP})(?:{parts})(?:\z|{GAP})" if parts else r"(?!)"

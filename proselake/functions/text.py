@@ -132,11 +132,18 @@ def repeated_share(t: Column, n: int) -> Column:
     return F.when(F.size(t) > n, 1 - F.size(F.array_distinct(joined_ngrams(t, n))) / (F.size(t) - n + 1)).otherwise(0.0)
 
 
-def density(c: Column | str, terms: list[str]) -> Column:
-    """Lexicon hits a word; 0 for a text without words."""
+def lexicon_hits(c: Column | str, terms: list[str], apart: bool = False) -> Column:
+    return F.regexp_count(col(c), F.lit(lexicon.apart(terms) if apart else lexicon.pattern(terms)))
+
+
+def lexicon_words(c: Column | str, apart: bool = False) -> Column:
+    return F.regexp_count(col(c), F.lit(lexicon.LETTER + "+" if apart else r"(?U)\w+"))
+
+
+def density(c: Column | str, terms: list[str], apart: bool = False) -> Column:
+    """Lexicon hits a word; 0 for a text without words. `apart`: hits take the characters beside them."""
     text = F.coalesce(col(c), F.lit(""))
-    hits = F.regexp_count(text, F.lit("(?iU)" + lexicon.pattern(terms)))
-    return ratio(hits, F.regexp_count(text, F.lit(r"(?U)\w+")))
+    return ratio(lexicon_hits(text, terms, apart), lexicon_words(text, apart))
 
 
 def words_per_sentence(c: Column | str) -> Column:

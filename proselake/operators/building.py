@@ -131,12 +131,11 @@ def rollout_summary(replies: DataFrame, keys: list[str], scorer: Callable[[Colum
     return out.select(*keys, "score", "wps", "sentences", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("struct", "opener", "intra")))
 
 
-def narration_score(replies: DataFrame, keys: list[str], scorer: Callable[[Column], Column], terms: list[str]) -> DataFrame:
+def narration_score(replies: DataFrame, keys: list[str], scorer: Callable[[Column], Column], terms: list[str], apart: bool = False) -> DataFrame:
     """(keys, score, density): mean sentence score and lexicon density of the narration alone; 0 without narration."""
     s = T.narration_sentences("text")
     r = replies.select(*keys, F.transform(s, scorer).alias("p"), F.array_join(s, " ").alias("t"))
-    hits = F.regexp_count("t", F.lit("(?iU)" + T.lexicon.pattern(terms)))
-    c = r.groupBy(*keys).agg(F.sum(F.aggregate("p", F.lit(0.0), lambda a, x: a + x)).alias("s"), F.sum(F.size("p")).alias("n"), F.sum(hits).alias("h"), F.sum(F.regexp_count("t", F.lit(r"(?U)\w+"))).alias("w"))
+    c = r.groupBy(*keys).agg(F.sum(F.aggregate("p", F.lit(0.0), lambda a, x: a + x)).alias("s"), F.sum(F.size("p")).alias("n"), F.sum(T.lexicon_hits("t", terms, apart)).alias("h"), F.sum(T.lexicon_words("t", apart)).alias("w"))
     return c.select(*keys, T.ratio(F.col("s"), F.col("n")).alias("score"), T.ratio(F.col("h"), F.col("w")).alias("density"))
 
 
@@ -149,9 +148,9 @@ def baseline_gate(curve: DataFrame, turn: str = "turn", value: str = "value", le
     return g.withColumn("passes", F.col("late_weighted") > least)
 
 
-def coverage_gate(replies: DataFrame, first: list[str], second: list[str], least: float = 1.5) -> DataFrame:
+def coverage_gate(replies: DataFrame, first: list[str], second: list[str], least: float = 1.5, apart: bool = False) -> DataFrame:
     """One row: sentences a turn, densities of two lexicons, and whether there is narration and more of the first than of the second."""
-    r = replies.agg(F.sum(F.size(T.sentences("text"))).alias("n"), F.count(F.lit(1)).alias("turns"), *(F.sum(F.regexp_count("text", F.lit("(?iU)" + T.lexicon.pattern(x)))).alias(c) for c, x in (("a", first), ("b", second))), F.sum(F.regexp_count("text", F.lit(r"(?U)\w+"))).alias("w"))
+    r = replies.agg(F.sum(F.size(T.sentences("text"))).alias("n"), F.count(F.lit(1)).alias("turns"), *(F.sum(T.lexicon_hits("text", x, apart)).alias(c) for c, x in (("a", first), ("b", second))), F.sum(T.lexicon_words("text", apart)).alias("w"))
     out = r.select(T.ratio(F.col("n"), F.col("turns")).alias("coverage"), T.ratio(F.col("a"), F.col("w")).alias("first"), T.ratio(F.col("b"), F.col("w")).alias("second"))
     return out.withColumn("passes", (F.col("coverage") >= least) & (F.col("first") > F.col("second")))
 

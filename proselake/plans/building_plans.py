@@ -102,7 +102,7 @@ def rollout_summary(spark, d):
 @query(f"""WITH f AS (SELECT role, {narration_('text')} AS ss FROM conversations), g AS (SELECT role, ss, array_to_string(ss,' ') AS t FROM f)
 SELECT role, round(sum(coalesce(list_sum(list_transform(ss, lambda s: {_SCORE})),0))/sum(len(ss)),8) AS score, round(sum(len(regexp_extract_all(lower(t),'(?:^|[^\\p{{L}}\\p{{N}}_])(?:de\\s+la|of\\s+the)(?:$|[^\\p{{L}}\\p{{N}}_])')))/sum(len(regexp_extract_all(t,'[\\p{{L}}\\p{{N}}_]+'))),8) AS density FROM g GROUP BY role""")
 def narration_score(spark, d):
-    r = B.narration_score(table(spark, d, "conversations"), ["role"], lambda s: 1 - 1 / (1 + F.length(s).cast("double") / 50), ["of the", "de la"])
+    r = B.narration_score(table(spark, d, "conversations"), ["role"], lambda s: 1 - 1 / (1 + F.length(s).cast("double") / 50), ["of the", "de la"], apart=True)
     return rounded(r, "score", "density")
 
 
@@ -115,7 +115,7 @@ def baseline_gate(spark, d):
 @query(f"""WITH r AS (SELECT sum(len({sentences_('text')})) AS n, count(*) AS turns, sum(len(regexp_extract_all(lower(text),'(?:^|[^\\p{{L}}\\p{{N}}_])of\\s+the(?:$|[^\\p{{L}}\\p{{N}}_])'))) AS a, sum(len(regexp_extract_all(lower(text),'(?:^|[^\\p{{L}}\\p{{N}}_])de\\s+la(?:$|[^\\p{{L}}\\p{{N}}_])'))) AS b, sum(len(regexp_extract_all(text,'[\\p{{L}}\\p{{N}}_]+'))) AS w FROM conversations)
 SELECT round(n/turns,8) AS coverage, round(a/w,8) AS first, round(b/w,8) AS second, n/turns>=1.5 AND a>b AS passes FROM r""")
 def coverage_gate(spark, d):
-    return rounded(B.coverage_gate(table(spark, d, "conversations"), ["of the"], ["de la"]), "coverage", "first", "second")
+    return rounded(B.coverage_gate(table(spark, d, "conversations"), ["of the"], ["de la"], apart=True), "coverage", "first", "second")
 
 
 @query(f"WITH {LONG}, m AS (SELECT vec_id//4 AS unit, vec_id%4<3 AS m, dim, x FROM long) SELECT unit, CAST(dim AS INT) AS dim, round(sum(x*CASE WHEN m THEN 1 ELSE 0 END)/greatest(sum(CASE WHEN m THEN 1 ELSE 0 END),1),8) AS x FROM m GROUP BY unit, dim")

@@ -40,6 +40,29 @@ def test_equals_sql(spark, duck, name):
     assert got == want
 
 
+def beside(tmp_path, name, arrow):
+    """A folder with the table alone, and DuckDB over it."""
+    import pyarrow.parquet as pq
+
+    pq.write_table(arrow, str(tmp_path / f"{name}.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    return con
+
+
+def test_lexicon_hits_side_by_side(spark, tmp_path):
+    import pyarrow as pa
+
+    texts = ["of the of the lamp", "OF THE, of the", "of the  of the of\tthe de la de la", "xof the of thex", "of\u00a0the de\nla\n", "cafe\u0301 of the e\u0301of the", "of the\n", "", "...", None]
+    con = beside(tmp_path, "documents", pa.table({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string())}))
+    want = con.execute(catalog.oracle_sql()["lexicon_density"]).fetchall()
+    assert sorted(want) == sorted((r["doc_id"], r["density"]) for r in catalog.queries()["lexicon_density"](spark, str(tmp_path)).collect())
+    turns = [(k, t) for k, t in enumerate(texts) if t]
+    con = beside(tmp_path, "conversations", pa.table({"conv_id": [k for k, _ in turns], "turn": [0 for _ in turns], "role": ["user" for _ in turns], "text": [t for _, t in turns]}))
+    for name in ("narration_score", "coverage_gate"):
+        assert [tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()] == con.execute(catalog.oracle_sql()[name]).fetchall()
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_gives_rows(spark, name):
     assert catalog.queries()[name](spark, SF).limit(1).count() == 1
