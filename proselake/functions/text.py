@@ -146,6 +146,21 @@ def density(c: Column | str, terms: list[str], apart: bool = False) -> Column:
     return ratio(lexicon_hits(text, terms, apart), lexicon_words(text, apart))
 
 
+def two_decimals(c: Column | str) -> Column:
+    """A number with two decimals, rounded by its exact value and ties to even, as C's printf does; below 2^20 in size.
+
+    Java's formats round the shortest decimal that stands for the number: 0.975 is a little less than its name, and becomes 0.98.
+    """
+    x = F.abs(col(c).cast("double"))
+    high = F.floor(x * (1 << 26)) / (1 << 26)  # high * 100, what is left and its distance from a half are exact
+    whole = F.floor(high * 100)
+    over = (high * 100 - whole - 0.5) + (x - high) * 100
+    cents = whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    sign = F.when(F.startswith(col(c).cast("string"), F.lit("-")), "-").otherwise("")
+    exact = F.concat(sign, F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(x < 1 << 20, exact).otherwise(F.format_string("%.2f", col(c)))
+
+
 def words_per_sentence(c: Column | str) -> Column:
     ss = sentences(c)
     words = F.aggregate(ss, F.lit(0), lambda n, s: n + F.size(F.split(s, r"\s+")))

@@ -143,6 +143,6 @@ def marked_page(answers: DataFrame, unit: str = "doc_id") -> DataFrame:
         return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
 
     def part(s: Column) -> Column:
-        return F.when(s["flag"], F.concat(F.lit('<mark title="'), F.format_string("%.2f", s["score"]), F.lit('">'), escaped(s["text"]), F.lit("</mark>"))).otherwise(escaped(s["text"]))
+        return F.when(s["flag"], F.concat(F.lit('<mark title="'), T.two_decimals(s["score"]), F.lit('">'), escaped(s["text"]), F.lit("</mark>"))).otherwise(escaped(s["text"]))
 
     return answers.select(unit, F.concat(F.lit("<p>"), F.array_join(F.transform("sentences", part), " "), F.lit("</p>")).alias("html"))

@@ -63,6 +63,21 @@ def test_lexicon_hits_side_by_side(spark, tmp_path):
         assert [tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()] == con.execute(catalog.oracle_sql()[name]).fetchall()
 
 
+def test_marks_of_scores_between_two_decimals(spark, tmp_path):
+    """Sentences of 448, 2,496 and 12,736 characters have scores of 0.875, 0.975 and 0.995, of which only the first is a tie."""
+    import pyarrow as pa
+
+    from proselake.functions import text as T
+
+    texts = ["x" * (n - 1) + "." for n in (448, 2496, 12736)]
+    con = beside(tmp_path, "documents", pa.table({"doc_id": range(4), "text": pa.array([*texts, " ".join(texts)])}))
+    want = con.execute(catalog.oracle_sql()["marked_pages"]).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in catalog.queries()["marked_pages"](spark, str(tmp_path)).collect())
+    values = [k / 1000 for k in range(-20, 2006)] + [k / 8 for k in range(40)] + [1e-9, 0.005, 0.015, 1.005, 99.995, 123456.785, 0.9999999999999999]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", T.two_decimals("x").alias("s")).collect()
+    assert [(r["x"], r["s"]) for r in rows if r["s"] != f"{r['x']:.2f}"] == []
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_gives_rows(spark, name):
     assert catalog.queries()[name](spark, SF).limit(1).count() == 1
