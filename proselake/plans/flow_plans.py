@@ -164,10 +164,11 @@ def stream_ledger(spark, d):
 def stream_sentences(spark, d):
     """Sentences of documents whose texts come in pieces of 200 characters, a third of each text in each batch."""
     path = files.scratch(spark)
-    pieces = deltas.in_pieces(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    pieces, shards = deltas.in_pieces(docs), max(64, docs.count() // 256)
     for k in range(3):
         pieces.where(F.floor(F.col("at") * 3 / F.col("n")) == k).drop("n").write.mode("append").parquet(path + "/in")
-        stream = deltas.sentence_stream(spark.readStream.schema(pieces.drop("n").schema).parquet(path + "/in"))
+        stream = deltas.sentence_stream(spark.readStream.schema(pieces.drop("n").schema).parquet(path + "/in"), shards=shards)
         with state.keyed_state(spark):
             q = stream.writeStream.format("parquet").option("path", path + "/out").option("checkpointLocation", path + "/state").trigger(availableNow=True).start()
         q.awaitTermination()

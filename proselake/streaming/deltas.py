@@ -2,10 +2,13 @@
 
 A boundary is certain once something follows its white space, since more of it could make a paragraph's end of a sentence's.
 What is kept of a text is its last, open sentence and pieces that came too early; nothing is kept of a text that has ended.
+Texts are dealt to shards by their key, and a shard's open texts are one value of state: it is read and written once a batch,
+and its pieces come as one frame, however many texts they belong to.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -40,48 +43,53 @@ def closed(text: str) -> tuple[list[str], str]:
 
 class _Segmenter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "text string, n int, next long")
-        self.early = handle.getListState("early", "at long, delta string, last boolean")
+        self.open = handle.getValueState("open", "texts string")  # by key: text, sentences told, next piece, early pieces
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = sorted((int(r.at), r.delta or "", bool(r.last)) for part in rows for r in part.itertuples())
         was = self.open.exists()
-        text, n, following = self.open.get() if was else ("", 0, 0)
-        if was and self.early.exists():
-            got = sorted([*got, *self.early.get()])
-        early, parts, ended = [], [text], False
-        for at, delta, last in got:
-            if at > following:
-                early.append((at, delta, last))
-            elif at == following and not ended:  # a piece that came before is left out
-                parts.append(delta)
-                following, ended = at + 1, last
-        text = "".join(parts)
-        done, text = (sentences_of(text), "") if ended else closed(text)
-        if ended and was:
+        texts = json.loads(self.open.get()[0]) if was else {}
+        got: dict[str, list[tuple[int, str, bool]]] = {}
+        for part in rows:
+            for name, at, delta, last in zip(*(part[c].tolist() for c in ("key", "at", "delta", "last"))):
+                got.setdefault(name, []).append((int(at), delta or "", bool(last)))
+        names, places, told = [], [], []
+        for name, pieces in got.items():
+            text, n, following, before = texts.pop(name, ("", 0, 0, ()))
+            early, parts, ended = [], [text], False
+            for at, delta, last in sorted([*pieces, *map(tuple, before)]):
+                if at > following:
+                    early.append((at, delta, last))
+                elif at == following and not ended:  # a piece that came before is left out
+                    parts.append(delta)
+                    following, ended = at + 1, last
+            text = "".join(parts)
+            done, text = (sentences_of(text), "") if ended else closed(text)
+            if not ended:
+                texts[name] = (text, n + len(done), following, early)
+            names += [name] * len(done)
+            places += range(n, n + len(done))
+            told += done
+        if texts:
+            self.open.update((json.dumps(texts),))
+        elif was:
             self.open.clear()
-            self.early.clear()
-        elif not ended:
-            self.open.update((text, n + len(done), following))
-            if early:
-                self.early.put(early)
-            elif was:
-                self.early.clear()
-        if done:
-            yield pd.DataFrame({"key": key[0], "i": pd.array(range(n, n + len(done)), "int32"), "sentence": done})
+        if told:
+            yield pd.DataFrame({"key": names, "i": pd.array(places, "int32"), "sentence": told})
 
     def close(self) -> None:
         pass
 
 
-def sentence_stream(deltas: DataFrame, key: str = "doc_id") -> DataFrame:
+def sentence_stream(deltas: DataFrame, key: str = "doc_id", shards: int = 1024) -> DataFrame:
     """(key, i, sentence) of texts whose pieces come as (key, at, delta, last): at counts from 0, the last piece is marked.
 
     Pieces may come in any order and more than once until the text has ended; a null piece is empty. Texts with a null key
-    have no rows. A text whose last piece doesn't come keeps its open sentence in state.
+    have no rows. A text whose last piece doesn't come keeps its open sentence in state. `shards` must stay as it is as long as
+    the state is used; a shard's new pieces and open texts meet in a task.
     """
     rows = deltas.where(F.col(key).isNotNull()).select(named(key).alias("key"), F.col("at").cast("long").alias("at"), "delta", "last")
-    found = rows.groupBy("key").transformWithStateInPandas(_Segmenter(), "key string, i int, sentence string", "append", "None")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    found = dealt.groupBy("shard").transformWithStateInPandas(_Segmenter(), "key string, i int, sentence string", "append", "None")
     return found.select(key_of("key", deltas.schema[key].dataType).alias(key), "i", "sentence")
 
 
@@ -90,5 +98,6 @@ def in_pieces(texts: DataFrame, key: str = "doc_id", text_col: str = "text", siz
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut: Column = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
     parts = F.when(text == "", F.array(F.lit(""))).otherwise(cut)
-    rows = texts.select(key, F.size(parts).alias("n"), F.posexplode(parts).alias("at", "delta"))
+    told = texts.select(key, F.size(parts).alias("n"), parts.alias("_parts"))  # beside an explode, a text would be cut again for each of its pieces
+    rows = told.select(key, "n", F.posexplode("_parts").alias("at", "delta"))
     return rows.select(key, F.col("at").cast("long").alias("at"), "delta", (F.col("at") == F.col("n") - 1).alias("last"), "n")

@@ -221,6 +221,25 @@ def test_sentences_as_they_come(spark, tmp_path):
     assert got == sorted(tuple(r) for r in detectors.exploded_sentences(texts, "doc_id", "text").collect())
 
 
+def test_texts_share_a_value_of_state(spark, tmp_path):
+    """Many open texts, those of a shard in one value: frames and calls to the store go by shards."""
+    from proselake.streaming import deltas, state
+
+    texts = spark.createDataFrame([(k, f"One {k}. Two {k}. 'Three' {k} and more") for k in range(500)], "doc_id long, text string")
+    pieces = deltas.in_pieces(texts, size=5).drop("n")
+    source = str(tmp_path / "in")
+    for part in ("at % 2 = 0", "at % 2 = 1"):
+        pieces.where(part).coalesce(1).write.mode("append").parquet(source)
+    stream = deltas.sentence_stream(spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 1).parquet(source), shards=3)
+    with state.keyed_state(spark):
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    seen = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in map(lambda p: json.loads(p.json), q.recentProgress)]
+    assert max(seen) == 3
+    got = sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(tuple(r) for r in detectors.exploded_sentences(texts, "doc_id", "text").collect())
+
+
 def test_stream_stops_before_its_next_batch(spark, tmp_path):
     source = str(tmp_path / "in")
     for k in range(5):
