@@ -57,3 +57,11 @@ def test_equals_dictionaries(spark, order):
 
 def test_nothing_to_learn(spark):
     assert L.fit(spark.createDataFrame([(None,), ("",)], "text string")) is None
+
+
+def test_tokens_are_not_shuffled(spark):
+    """Groups of texts exchange packed grams: no row of a token is made before the losses."""
+    texts = spark.createDataFrame([(k, "a b c a b") for k in range(50)], "k int, text string")
+    found = L.losses(L.fit(texts, 2), texts, ["k"])
+    assert found.count() == 250
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
